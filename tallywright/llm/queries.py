@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import entry_match, lookalike
+from tallywright.llm import entry_match, lookalike, name_groups
 from tallywright.sources.tables import table
 
 
@@ -34,5 +34,17 @@ def p3_misses(spark: SparkSession, d: str) -> DataFrame:
     return _matched(spark, d).where(f"ref_id = '{entry_match.UNMATCHED}'").groupBy("source_field", "text").count()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_misses)}
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    return name_groups.group_names(table(spark, d, "pdf_assets"), table(spark, d, "captures"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_groups.same_organisation(_grouped(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _grouped(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_misses, p4_found, p4_groups)}
 SQL: dict[str, str] = {}
