@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tallywright.llm.lookalike import with_canonical
 from tallywright.llm.variants import deletion_variants, simplified, weighted_distance
+from tallywright.session import Workspace
 
 UNMATCHED = "UNMATCHED"
 # Fixed patterns: wrappers around a typed term, after folding of width and case. Each is removed at its end, repeatedly.
@@ -101,10 +102,11 @@ def match_records(records: DataFrame, terms: DataFrame, names: DataFrame) -> Dat
     Empty text and text of blanks or punctuation only is UNMATCHED; repeated records stay repeated.
     """
     open_ = records.where("text IS NOT NULL").join(names.select("source_field", "text").distinct(), ["source_field", "text"], "left_anti")
-    counts = records.where("text IS NOT NULL").groupBy("source_field", "text").agg(F.count("*").alias("n"))
-    folded = with_canonical(counts).select("source_field", "text", "n", core("canonical").alias("core"))
+    ws = Workspace(records.sparkSession, "entries")
+    counts = ws.save(records.where("text IS NOT NULL").groupBy("source_field", "text").agg(F.count("*").alias("n")))
+    folded = ws.save(with_canonical(counts).select("source_field", "text", "n", core("canonical").alias("core")))
     cores = folded.groupBy("source_field", "core").agg(F.sum("n").alias("n"))
-    matched = match_cores(cores, terms)
+    matched = ws.save(match_cores(cores, ws.save(terms)))
     by_text = folded.join(matched, ["source_field", "core"], "left").select("source_field", "text", F.coalesce("ref_id", F.lit(UNMATCHED)).alias("ref_id"), "weight")
     return open_.join(by_text, ["source_field", "text"], "left").select("source_field", "record_id", "text", "ref_id", "weight")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywright.session import Workspace
+
 # Letters of other alphabets -> Latin letters of the same shape.
 CYRILLIC = ("АВЕКМНОРСТУХЅІЈӀԚԜԌ", "ABEKMHOPCTYXSIJIQWG")
 CYRILLIC_SMALL = ("аеорсухѕіјһӏԁԛԝ", "aeopcyxsijhldqw")
@@ -87,8 +89,22 @@ def mapping_entries() -> tuple[tuple[str, tuple[tuple[str, int], ...]], ...]:
 _PIECES = T.ArrayType(T.StructType().add("ch", "string", False).add("ccc", "integer", False), False)
 
 
+_SAVED: dict[str, DataFrame] = {}
+
+
 def mapping_table(spark: SparkSession) -> DataFrame:
-    """Decomposition and look-alike table; its size is fixed by the Unicode database (about 7,000 rows), so it may be broadcast."""
+    """Decomposition and look-alike table; its size is fixed by the Unicode database (about 7,000 rows), so it may be broadcast.
+
+    It is written to the shared folder once per application: plans then hold a path instead of the rows.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SAVED:
+        _SAVED.clear()
+        _SAVED[app] = Workspace(spark, "lookalikes").save(_mapping_rows(spark).coalesce(1))
+    return _SAVED[app]
+
+
+def _mapping_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"ch": [c for c, _ in mapping_entries()], "pieces": [[{"ch": a, "ccc": b} for a, b in p] for _, p in mapping_entries()]}), T.StructType().add("ch", "string").add("pieces", _PIECES))
 
 
@@ -152,9 +168,11 @@ def equal_looking_pairs(records: DataFrame) -> DataFrame:
     texts without a visible sign take no part.
     """
     group = ["source_field", "scope", "canonical"]
-    rows = with_canonical(records.where("record_id IS NOT NULL AND text IS NOT NULL")).where("canonical <> ''").select(*group, "text", "record_id")
+    rows = Workspace(records.sparkSession, "canonical").save(
+        with_canonical(records.where("record_id IS NOT NULL AND text IS NOT NULL")).where("canonical <> ''").select(*group, "text", "record_id")
+    )
     mixed = rows.groupBy(*group).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*group)
-    kept = rows.join(mixed, group, "left_semi")
+    kept = Workspace(records.sparkSession, "equal-looking").save(rows.join(mixed, group, "left_semi"))
     classes = kept.select(*group, "text").distinct()
     pairs = classes.withColumnRenamed("text", "text_a").join(classes.withColumnRenamed("text", "text_b"), group).where("text_a < text_b")
     members = kept.distinct()
