@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import entry_match, lookalike, name_groups
+from tallywright.llm import entry_match, lookalike, mixing, name_groups, reading_level
 from tallywright.sources.tables import table
 
 
@@ -46,5 +46,38 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_misses, p4_found, p4_groups)}
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    filled, blocked, sized = mixing.plan_mixes(table(spark, d, "documents"), targets)
+    return mixing.share_report(filled, blocked, sized, targets)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Targets that the schedule left short and that an exact count of the available tokens confirms."""
+    return _report(spark, d).where("reached_tokens < target_tokens AND NOT reachable").select("mix_id", "source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    filled, blocked, _ = mixing.plan_mixes(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixture(filled, blocked)
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return reading_level.reading_levels(documents, reading_level.fit_model(documents, table(spark, d, "reading_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where("level >= 4").select("doc_id")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_misses, p4_found, p4_groups, p7_found, p7_shares, p7_mixture, p8_found, p8_levels)}
 SQL: dict[str, str] = {}

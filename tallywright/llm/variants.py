@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
-@functools.cache
+@functools.cache  # on the driver only
 def traditional_table() -> tuple[str, str]:
     """(traditional characters, simplified characters) of the common ideographs, by the Unicode transliterator that ships with Spark."""
     spark = SparkSession.getActiveSession()
