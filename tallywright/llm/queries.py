@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import entry_match, lookalike, mixing, name_groups, reading_level
+from tallywright.llm import entry_match, leaks, lookalike, mixing, name_groups, reading_level
 from tallywright.sources.tables import table
 
 
@@ -46,6 +46,18 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d)
 
 
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).select("doc_id", "item_id")
+
+
+def p6_removals(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.removal_spans(_leaked(spark, d))
+
+
 def _report(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     filled, blocked, sized = mixing.plan_mixes(table(spark, d, "documents"), targets)
@@ -79,5 +91,5 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_misses, p4_found, p4_groups, p7_found, p7_shares, p7_mixture, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_misses, p4_found, p4_groups, p6_found, p6_removals, p7_found, p7_shares, p7_mixture, p8_found, p8_levels)}
 SQL: dict[str, str] = {}
