@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywright.session import Workspace
+
 #: Base dimensions of the exponent vector, in order.
 DIMENSIONS = ("money", "ratio", "length", "mass", "time", "temperature")
 
@@ -223,6 +225,7 @@ def agreeing_pairs(converted: DataFrame, tolerance: float = 0.001) -> DataFrame:
         .select("observation_id", *key)
         .distinct()
     )
+    obs = Workspace(converted.sparkSession, "units").save(obs)  # read four times below
     classes = obs.select(*key).distinct().withColumn("bucket", _bucket(F.col("common_value"), tolerance))
     a = classes.select("source_key", "measure", "bucket", *(F.col(c).alias("a_" + c) for c in key[2:]))
     near = F.when(F.col("common_value") == 0, F.array(F.col("bucket"))).otherwise(F.array(F.col("bucket") - 4, F.col("bucket"), F.col("bucket") + 4))

@@ -59,7 +59,7 @@ def display_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
         label = labels.get(c, c)
         names[c] = label if label not in seen else f"{label} ({c})"
         seen[label] = 1
-    return df.withColumnsRenamed({k: v for k, v in names.items() if k != v})
+    return df.toDF(*(names[c] for c in df.columns))
 
 
 def report_markdown(df: DataFrame, title: str, rows: int = PREVIEW_ROWS) -> str:
