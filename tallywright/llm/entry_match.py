@@ -66,10 +66,11 @@ def reference_terms(source_field: str, entries: DataFrame, ref_id: str, name: st
     A term listed for several entries or ranks keeps the best rank (then the smallest id); a term that one entry excludes and
     another names therefore stays with the entry that names it.
     """
+    def listed(column: str, rank: int) -> Column:
+        return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: F.struct(x.alias("t"), F.lit(rank).alias("rank")))
+
     lists = [F.array(F.struct(F.col(name).alias("t"), F.lit(0).alias("rank")))]
-    for rank, column in enumerate((aliases, soft, exclude), start=1):
-        if column:
-            lists.append(F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x, r=rank: F.struct(x.alias("t"), F.lit(r).alias("rank"))))
+    lists += [listed(column, rank) for rank, column in enumerate((aliases, soft, exclude), start=1) if column]
     rows = entries.select(F.col(ref_id).alias("ref_id"), F.explode(F.concat(*lists)).alias("x")).select("ref_id", F.col("x.t").alias("text"), F.col("x.rank").alias("rank"))
     folded = with_canonical(rows.where("text IS NOT NULL")).select("ref_id", "rank", core("canonical").alias("term")).where("term <> ''")
     best = folded.groupBy("term").agg(F.min(F.struct("rank", "ref_id")).alias("m"))
