@@ -89,7 +89,10 @@ def match_cores(cores: DataFrame, terms: DataFrame) -> DataFrame:
     dictionary = keyed.select("*", F.explode(_keys("term")).alias("key"))
     probes = cores.where((F.length("core") > 0) & (F.length("core") <= longest)).select("source_field", "core", F.explode(_keys("core")).alias("key"))
     near = probes.join(dictionary, ["source_field", "key"]).where(F.abs(F.length("core") - F.length("term")) <= 2)
-    pairs = near.select("source_field", "core", "term", "ref_id", "rank", "frequency").distinct().withColumn("weight", _weight("core", "term")).where("weight IS NOT NULL")
+    tasks = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but many distances: spread by hand, not by size
+    spread = near.select("source_field", "core", "term", "ref_id", "rank", "frequency").distinct().repartition(tasks, "core", "term")
+    weight = _weight.asNondeterministic()  # keeps the null filter from pulling the distance below the spread, where it would run in one task
+    pairs = spread.withColumn("weight", weight("core", "term")).where("weight IS NOT NULL")
     order = Window.partitionBy("source_field", "core").orderBy("weight", "rank", F.desc("frequency"), "ref_id")
     best = pairs.withColumn("place", F.row_number().over(order)).where("place = 1")
     return best.select("source_field", "core", F.when(F.col("rank") == 3, UNMATCHED).otherwise(F.col("ref_id")).alias("ref_id"), "weight", "rank")
