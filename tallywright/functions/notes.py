@@ -9,6 +9,11 @@ DIGITS = ("零〇一二三四五六七八九", "00123456789")
 NUMERAL = "[零〇一二三四五六七八九十百]{1,5}"
 
 
+def let(x: Column, body) -> Column:
+    """Bind an expression to a variable, so that ``body`` may use it often while it is computed and compiled once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def _digit(x: Column, missing: int) -> Column:
     """Value of one numeral digit; ``missing`` for anything else."""
     d = F.translate(x, *DIGITS)
@@ -28,10 +33,13 @@ def _below_hundred(x: Column) -> Column:
 
 def chinese_number(x: Column | str) -> Column:
     """FN28: 0 to 999 from digits or numerals, else null."""
-    t = F.trim(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")))
-    left, right = F.substring_index(t, "百", 1), F.regexp_replace(t, "^[^百]*百", "")
-    hundreds = _digit(left, 1) * 100 + F.coalesce(F.when(right == "", 0).otherwise(_below_hundred(right)), F.lit(0))
-    return F.when(t.contains("百"), hundreds).otherwise(_below_hundred(t))
+
+    def number(t: Column) -> Column:
+        left = F.substring_index(t, "百", 1)
+        hundreds = let(F.regexp_replace(t, "^[^百]*百", ""), lambda right: _digit(left, 1) * 100 + F.coalesce(F.when(right == "", 0).otherwise(_below_hundred(right)), F.lit(0)))
+        return F.when(t.contains("百"), hundreds).otherwise(_below_hundred(t))
+
+    return let(F.trim(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))), number)
 
 
 def note_ordinal(x: Column | str) -> Column:
@@ -54,13 +62,15 @@ def note_reference(x: Column | str) -> Column:
 
 def peer_heading(x: Column | str) -> Column:
     """FN30: struct(ordinal, title) of a numbered heading, else null: term bands and amounts are no headings."""
-    s = F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), r"\s+", "")
     pattern = r"^[（(]?(\d{1,3}|" + NUMERAL + r")[）)]?(?:[.．、:：])?(.+?)$"
-    band = s.rlike(r"^\d+(?:个)?(?:月|日|天|年)(?:至|到|以上|以内|以下|—|–|-)")
-    ordinal, title = chinese_number(F.regexp_extract(s, pattern, 1)), F.regexp_extract(s, pattern, 2)
-    amount = title.rlike(r"(?i)^[+\-−(（]?\d|^(?:人民币|RMB|USD)\d")
-    good = s.rlike(pattern) & ~band & ordinal.isNotNull() & title.rlike(r"[A-Za-z\x{4E00}-\x{9FFF}]") & ~amount
-    return F.when(good, F.struct(ordinal.alias("ordinal"), title.alias("title")))
+
+    def heading(s: Column) -> Column:
+        band = s.rlike(r"^\d+(?:个)?(?:月|日|天|年)(?:至|到|以上|以内|以下|—|–|-)")
+        parts = F.when(s.rlike(pattern) & ~band, F.struct(chinese_number(F.regexp_extract(s, pattern, 1)).alias("ordinal"), F.regexp_extract(s, pattern, 2).alias("title")))
+        amount = lambda title: title.rlike(r"(?i)^[+\-−(（]?\d|^(?:人民币|RMB|USD)\d")
+        return let(parts, lambda h: F.when(h["ordinal"].isNotNull() & h["title"].rlike(r"[A-Za-z\x{4E00}-\x{9FFF}]") & ~amount(h["title"]), h))
+
+    return let(F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), r"\s+", ""), heading)
 
 
 def compose_reference(header: Column, value: Column) -> Column:
