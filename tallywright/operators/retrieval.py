@@ -25,17 +25,38 @@ def search_terms(metrics: DataFrame) -> DataFrame:
     return rows.where("term <> ''").groupBy("metric_id", "term").agg(F.max("weight").alias("weight"))
 
 
+def _term_finder(terms: list[str]):
+    """Arrow function: numbers of the terms that a text contains; one automaton for all terms, or plain search where the library is missing."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def find(text: pd.Series) -> pd.Series:
+        try:
+            import ahocorasick
+        except ImportError:
+            return text.map(lambda t: [k for k, w in enumerate(terms) if w in t])
+        automaton = ahocorasick.Automaton()
+        for k, w in enumerate(terms):
+            automaton.add_word(w, k)
+        automaton.make_automaton()
+        return text.map(lambda t: sorted({k for _, k in automaton.iter(t)}))
+
+    return find
+
+
 def score_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """RK1: (page_id, metric_id, score) of every page that holds a term: sum of the weights of the terms it contains.
 
-    The rulebook is short and fixed, so its terms are one array literal that each page is tested against in one pass; only hits are exploded and summed.
+    The rulebook is short and fixed: it is read by the driver and travels with the function. Every page is searched for all terms in one pass over its
+    normalized text; only hits are exploded, and they are summed per page before anything is shuffled.
     """
     rows = terms.orderBy("metric_id", "term").collect()  # the rulebook: a few hundred terms
     if not rows:
         return pages.sparkSession.createDataFrame([], "page_id long, metric_id string, score double")
-    terms_ = F.array(*(F.struct(F.lit(r.metric_id).alias("metric_id"), F.lit(r.term).alias("term"), F.lit(r.weight).alias("weight")) for r in rows))
-    normal = pages.select("page_id", normalize_text("text").alias("n"))
-    hits = normal.select("page_id", F.explode(F.filter(terms_, lambda t: F.col("n").contains(t["term"]))).alias("t"))
+    words = sorted({r.term for r in rows})
+    meanings = {w: [(r.metric_id, r.weight) for r in rows if r.term == w] for w in words}
+    table = F.array(*(F.array(*(F.struct(F.lit(m).alias("metric_id"), F.lit(w).alias("weight")) for m, w in meanings[x])) for x in words))
+    found = pages.select("page_id", _term_finder(words).asNondeterministic()(normalize_text("text")).alias("ks")).where(F.size("ks") > 0)
+    hits = found.select("page_id", F.explode("ks").alias("k")).select("page_id", F.explode(F.get(table, F.col("k"))).alias("t"))
     return hits.groupBy("page_id", "t.metric_id").agg(F.sum("t.weight").alias("score"))
 
 
