@@ -85,7 +85,7 @@ def match_cores(cores: DataFrame, terms: DataFrame) -> DataFrame:
     """
     frequency = terms.join(cores.withColumnRenamed("core", "term"), ["source_field", "term"]).groupBy("source_field", "ref_id").agg(F.sum("n").alias("frequency"))
     keyed = terms.join(frequency, ["source_field", "ref_id"], "left").select("source_field", "term", "ref_id", "rank", F.coalesce("frequency", F.lit(0)).alias("frequency"))
-    longest = 64  # no reference term is longer than this after folding; longer texts are cut off by the length bound below anyway
+    longest = (terms.agg(F.max(F.length("term"))).first()[0] or 0) + 2  # longer texts cannot lie within two steps of any term
     dictionary = keyed.select("*", F.explode(_keys("term")).alias("key"))
     probes = cores.where((F.length("core") > 0) & (F.length("core") <= longest)).select("source_field", "core", F.explode(_keys("core")).alias("key"))
     near = probes.join(dictionary, ["source_field", "key"]).where(F.abs(F.length("core") - F.length("term")) <= 2)
