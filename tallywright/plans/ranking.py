@@ -94,8 +94,9 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structural_order(spark: SparkSession, d: str) -> DataFrame:
-    """HI4: order of all row labels of a family over its captures, oldest capture first (sequential fold, tested against fixtures)."""
-    s = _sequence(spark, d)
+    """HI4: order of all row labels of one merge (a family in a batch) over its captures, oldest capture first (sequential fold, tested against fixtures)."""
+    batch = table(spark, d, "captures").select(F.col("capture_id").alias("source"), "batch_id")
+    s = _sequence(spark, d).join(batch, "source").withColumn("table_id", F.concat_ws("/", "table_id", "batch_id"))
     return sq.structural_order(s.select("table_id", F.substring("source", 5, 20).cast("long").alias("source_order"), "key", "pos"))
 
 
