@@ -63,6 +63,16 @@ class Workspace:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_tallywright_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            files, target = _files(self.spark, path)
+            files.delete(target, True)
+
+    @staticmethod
+    def holds(df: DataFrame) -> bool:
+        """Whether the table of a frame that ``save`` returned is still there."""
+        files, target = _files(df.sparkSession, df._tallywright_path)
+        return files.exists(target)
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
