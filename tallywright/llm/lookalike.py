@@ -98,7 +98,7 @@ def mapping_table(spark: SparkSession) -> DataFrame:
     It is written to the shared folder once per application: plans then hold a path instead of the rows.
     """
     app = spark.sparkContext.applicationId
-    if app not in _SAVED:
+    if app not in _SAVED or not Workspace.holds(_SAVED[app]):
         _SAVED.clear()
         _SAVED[app] = Workspace(spark, "lookalikes").save(_mapping_rows(spark).coalesce(1))
     return _SAVED[app]
