@@ -158,18 +158,17 @@ def assign_greedily(links: DataFrame) -> DataFrame:
     kept = links.join(sizes, "anchor").withColumn("place", F.row_number().over(w)).where("place <= children")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        rows = []
-        for _, child in pdf.sort_values(["child_order", "child"]).groupby(["child_order", "child"], sort=False):
-            free = child[~child["candidate"].isin(used)].sort_values(["score", "candidate"], ascending=[False, True])
-            first = child.iloc[0]
-            if len(free):
-                best = free.iloc[0]
-                used.add(best["candidate"])
-                rows.append((first["anchor"], first["child"], best["candidate"], float(best["score"]), "ASSIGNED"))
-            else:
-                rows.append((first["anchor"], first["child"], None, None, "CONFLICT"))
-        return pd.DataFrame(rows, columns=["anchor", "child", "candidate", "score", "status"])
+        links_ = sorted(zip(pdf["child_order"].tolist(), pdf["child"].tolist(), (-pdf["score"]).tolist(), pdf["candidate"].tolist()))
+        anchor, used, rows = pdf["anchor"].iloc[0], set(), []
+        for order, child in dict.fromkeys((o, c) for o, c, _, _ in links_):
+            rows.append([order, child, None, None, "CONFLICT"])
+        place = {(r[0], r[1]): r for r in rows}
+        for order, child, score, candidate in links_:  # children in order, each child's links best first
+            row = place[order, child]
+            if row[2] is None and candidate not in used:
+                used.add(candidate)
+                row[2:] = [candidate, -score, "ASSIGNED"]
+        return pd.DataFrame([(anchor, *r[1:]) for r in rows], columns=["anchor", "child", "candidate", "score", "status"])
 
     return kept.select("anchor", "child_order", "child", "candidate", "score").groupBy("anchor").applyInPandas(walk, _ASSIGNED)
 
