@@ -30,7 +30,7 @@ def parse_number(x: Column | str, strict_parity: bool = False) -> Column:
     folded = F.translate(s, "（）", "()")
     negative = (s if strict_parity else folded).startswith("(") & s.rlike("[)）]" if not strict_parity else r"\)")
     matched = folded.rlike(NUMBER) & ~s.isin("", *EMPTY_CELLS)
-    number = F.expr("CAST(NULL AS DOUBLE)") if False else F.regexp_replace(F.regexp_extract(folded, NUMBER, 2), "[,，]", "").try_cast("double")
+    number = F.regexp_replace(F.regexp_extract(folded, NUMBER, 2), "[,，]", "").try_cast("double")
     signed = F.when((F.regexp_extract(folded, NUMBER, 1) == "-") | negative, -number).otherwise(number)
     unit = F.when(F.regexp_extract(folded, NUMBER, 4) == "%", "%").otherwise(F.nullif(F.regexp_extract(folded, NUMBER, 3), F.lit("")))
     return F.struct(F.when(matched, signed).alias("value"), F.when(matched, unit).alias("unit"), (matched & number.isNotNull()).alias("ok"))

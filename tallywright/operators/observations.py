@@ -20,10 +20,10 @@ SCOPES = {"本集团": "CONSOLIDATED", "集团": "CONSOLIDATED", "本公司": "C
 MAPPED = ("AUTO_TAXONOMY", "AUTO_EXACT_IDENTITY", "CONFIRMED", "CONFIRMED_OVERRIDE")
 
 
-def latest_delivery(rows: DataFrame, key: Sequence[str], arrival: str) -> DataFrame:
-    """SE4, WI2: one row per key, the one that arrived last; rows equal in every column count once. Rows with a null key stay apart
-    by the whole row. Ties in arrival are broken by the row itself, so the result does not depend on row order."""
-    order = Window.partitionBy(*key).orderBy(F.col(arrival).desc_nulls_last(), F.xxhash64(*rows.columns))
+def latest_delivery(rows: DataFrame, key: Sequence[str], arrival: str, ties: Sequence[str] = ()) -> DataFrame:
+    """SE4, WI2: one row per key, the one that arrived last. Redelivered rows equal the first in all but their arrival, so rows that tie in it are
+    taken as equal; where they may differ, ``ties`` names the columns that settle it. Only the columns that later steps use are read and shuffled."""
+    order = Window.partitionBy(*key).orderBy(F.col(arrival).desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in ties))
     return rows.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
 
 
