@@ -25,6 +25,11 @@ def level_of(path: Column) -> Column:
     return F.least(F.lit(MAX_LEVEL), F.coalesce(F.size(F.split(path, SEPARATOR)) - 1, F.lit(0)))
 
 
+def deepest(rows: DataFrame) -> int:
+    """Number of levels in use, at most MAX_LEVEL + 1: one aggregate, so that no window column is made for levels that no row has."""
+    return min(MAX_LEVEL, rows.agg(F.max("level")).first()[0] or 0) + 1
+
+
 def parents_by_level(rows: DataFrame) -> DataFrame:
     """HI1: (capture_id, row_order, level, is_total) rows -> parent_row_order, confidence, evidence.
 
@@ -33,13 +38,13 @@ def parents_by_level(rows: DataFrame) -> DataFrame:
     streamed in row order and nothing is gathered.
     """
     w = Window.partitionBy("capture_id").orderBy("row_order").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows
-    for k in range(MAX_LEVEL):
+    out, levels = rows, max(2, deepest(rows) - 1)  # the deepest rows are nobody's parents; greatest() wants two columns
+    for k in range(levels):
         out = out.withColumn(f"__o{k}", F.max(F.when(~F.col("is_total") & (F.col("level") == k), F.col("row_order"))).over(w))
         out = out.withColumn(f"__t{k}", F.max(F.when(F.col("is_total") & (F.col("level") <= k), F.col("row_order"))).over(w))
-    open_ = [F.when((F.col("level") > k) & (F.col(f"__o{k}") > F.coalesce(F.col(f"__t{k}"), F.lit(-1))), F.col(f"__o{k}")) for k in range(MAX_LEVEL)]
+    open_ = [F.when((F.col("level") > k) & (F.col(f"__o{k}") > F.coalesce(F.col(f"__t{k}"), F.lit(-1))), F.col(f"__o{k}")) for k in range(levels)]
     parent = F.greatest(*open_)
-    scored = out.withColumn("parent_row_order", parent).drop(*(f"__{c}{k}" for c in "ot" for k in range(MAX_LEVEL)))
+    scored = out.withColumn("parent_row_order", parent).drop(*(f"__{c}{k}" for c in "ot" for k in range(levels)))
     base = F.when((F.col("level") > 0) & F.col("parent_row_order").isNotNull(), 0.66).otherwise(0.35)
     evidence = F.concat_ws("+", F.when((F.col("level") > 0) & F.col("parent_row_order").isNotNull(), "ROW_LEVEL"), F.lit("ORDER"), F.when(F.col("is_total"), "TOTAL_SUBTOTAL_CUE"))
     return scored.withColumn("confidence", F.when(F.col("is_total"), F.greatest(base, F.lit(0.72))).otherwise(base)).withColumn("evidence", evidence)
@@ -130,10 +135,10 @@ def formula_members(rows: DataFrame, found: DataFrame, span: int = 32) -> DataFr
     ).select("capture_id", "row_order", "member_order", "operator", F.lit(False).alias("nested"))
     bases = found.where("base_order IS NOT NULL").select("capture_id", "row_order", F.col("base_order").alias("member_order"), F.lit(1).alias("operator"), F.lit(False).alias("nested"))
     later = order.rowsBetween(1, Window.unboundedFollowing)
-    ends = rows
-    for k in range(MAX_LEVEL + 1):
+    ends, levels = rows, deepest(rows)
+    for k in range(levels):
         ends = ends.withColumn(f"__e{k}", F.min(F.when(F.col("level") <= k, F.col("row_order"))).over(later))
-    limit = F.coalesce(*[F.when(F.col("level") == k, F.col(f"__e{k}")) for k in range(MAX_LEVEL + 1)])
+    limit = F.coalesce(*[F.when(F.col("level") == k, F.col(f"__e{k}")) for k in range(levels)])
     top = F.max("row_order").over(Window.partitionBy("capture_id"))
     ranges = ends.select("capture_id", "row_order", F.coalesce(limit, top + 1).alias("until")).join(found.where("pattern = 'LEADING_PARENT_TOTAL'").select("capture_id", "row_order"), ["capture_id", "row_order"])
     spread = ranges.withColumn("span", F.explode(F.sequence(F.floor(F.col("row_order") / span), F.floor(F.col("until") / span))))
