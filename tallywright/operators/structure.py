@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.numbers import audit_status, block_tolerance, rounding_tolerance
 from tallywright.operators.hierarchy import SEPARATOR, resolve_paths
+from tallywright.session import Workspace
 
-#: Deepest level that parents are inferred for; deeper rows count as this level.
-MAX_LEVEL = 16
 TOTAL_WORDS = "合计|总计|小计|总额"
 DIMS = ("column_ordinal", "data_year", "statement_scope", "restated_flag")
 
@@ -22,29 +21,46 @@ def is_total(item: Column) -> Column:
 
 def level_of(path: Column) -> Column:
     """Depth of a row path; null counts as a top row."""
-    return F.least(F.lit(MAX_LEVEL), F.coalesce(F.size(F.split(path, SEPARATOR)) - 1, F.lit(0)))
+    return F.coalesce(F.size(F.split(path, SEPARATOR)) - 1, F.lit(0))
 
 
-def deepest(rows: DataFrame) -> int:
-    """Number of levels in use, at most MAX_LEVEL + 1: one aggregate, so that no window column is made for levels that no row has."""
-    return min(MAX_LEVEL, rows.agg(F.max("level")).first()[0] or 0) + 1
+def _nearest_by_level(rows: DataFrame, askers: DataFrame, later: bool, found: str) -> DataFrame:
+    """For each asking row the nearest earlier row of a smaller level (or, with ``later``, the nearest later row of the same or a smaller one), as ``found``.
+
+    Rows are published under every level that they can answer, up to the deepest of their table; a row asks under its own level and a
+    running window per (capture_id, level) finds the last one published. Work grows with the depth of a table, not with its length squared.
+    """
+    top = rows.groupBy("capture_id").agg(F.max("level").alias("__top"))
+    first = F.col("level") if later else F.col("level") + 1
+    published = rows.join(top, "capture_id").where(first <= F.col("__top")).select("capture_id", F.explode(F.sequence(first, F.col("__top"))).alias("key"), "row_order", F.lit(False).alias("asks"))
+    asking = askers.select("capture_id", F.col("level").alias("key"), "row_order", F.lit(True).alias("asks"))
+    place = F.col("row_order").desc() if later else F.col("row_order")
+    w = Window.partitionBy("capture_id", "key").orderBy(place, F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(~F.col("asks"), F.col("row_order")), True).over(w)
+    return published.unionByName(asking).withColumn(found, last).where("asks").select("capture_id", "row_order", found)
 
 
 def parents_by_level(rows: DataFrame) -> DataFrame:
     """HI1: (capture_id, row_order, level, is_total) rows -> parent_row_order, confidence, evidence.
 
-    The parent is the nearest earlier row of a smaller level; totals close a block and never become parents. Instead of
-    a stack walk, each level keeps its last row and its last closing total in running windows, so a table is
-    streamed in row order and nothing is gathered.
+    The parent is the nearest earlier row of a smaller level; totals close a block and never become parents, so a row whose nearest is a total takes
+    that total's own parent. The search is one window per level (no stack walk, nothing gathered); totals are stepped over in a few rounds,
+    as many as totals stand inside each other.
     """
-    w = Window.partitionBy("capture_id").orderBy("row_order").rowsBetween(Window.unboundedPreceding, -1)
-    out, levels = rows, max(2, deepest(rows) - 1)  # the deepest rows are nobody's parents; greatest() wants two columns
-    for k in range(levels):
-        out = out.withColumn(f"__o{k}", F.max(F.when(~F.col("is_total") & (F.col("level") == k), F.col("row_order"))).over(w))
-        out = out.withColumn(f"__t{k}", F.max(F.when(F.col("is_total") & (F.col("level") <= k), F.col("row_order"))).over(w))
-    open_ = [F.when((F.col("level") > k) & (F.col(f"__o{k}") > F.coalesce(F.col(f"__t{k}"), F.lit(-1))), F.col(f"__o{k}")) for k in range(levels)]
-    parent = F.greatest(*open_)
-    scored = out.withColumn("parent_row_order", parent).drop(*(f"__{c}{k}" for c in "ot" for k in range(levels)))
+    ws = Workspace(rows.sparkSession, "parents")
+    near = _nearest_by_level(rows, rows, False, "near")
+    state = ws.save(rows.select("capture_id", "row_order", "is_total").join(near, ["capture_id", "row_order"], "left"))
+    totals = ws.save(state.where("is_total").select("capture_id", F.col("row_order").alias("near"), F.col("near").alias("over")))
+    while True:
+        stepped = state.join(totals.withColumn("hit", F.lit(True)), ["capture_id", "near"], "left")
+        new = ws.save(stepped.select("capture_id", "row_order", "is_total", F.when(F.col("hit"), F.col("over")).otherwise(F.col("near")).alias("near"), F.coalesce("hit", F.lit(False)).alias("moved")))
+        done = new.where("moved").isEmpty()
+        ws.drop(state)
+        state = new.drop("moved")
+        state._tallywright_path = new._tallywright_path
+        if done:
+            break
+    scored = rows.join(state.select("capture_id", "row_order", F.col("near").alias("parent_row_order")), ["capture_id", "row_order"])
     base = F.when((F.col("level") > 0) & F.col("parent_row_order").isNotNull(), 0.66).otherwise(0.35)
     evidence = F.concat_ws("+", F.when((F.col("level") > 0) & F.col("parent_row_order").isNotNull(), "ROW_LEVEL"), F.lit("ORDER"), F.when(F.col("is_total"), "TOTAL_SUBTOTAL_CUE"))
     return scored.withColumn("confidence", F.when(F.col("is_total"), F.greatest(base, F.lit(0.72))).otherwise(base)).withColumn("evidence", evidence)
@@ -134,13 +150,9 @@ def formula_members(rows: DataFrame, found: DataFrame, span: int = 32) -> DataFr
         placed.where(~edge).select("capture_id", "block", F.col("row_order").alias("member_order")), ["capture_id", "block"]
     ).select("capture_id", "row_order", "member_order", "operator", F.lit(False).alias("nested"))
     bases = found.where("base_order IS NOT NULL").select("capture_id", "row_order", F.col("base_order").alias("member_order"), F.lit(1).alias("operator"), F.lit(False).alias("nested"))
-    later = order.rowsBetween(1, Window.unboundedFollowing)
-    ends, levels = rows, deepest(rows)
-    for k in range(levels):
-        ends = ends.withColumn(f"__e{k}", F.min(F.when(F.col("level") <= k, F.col("row_order"))).over(later))
-    limit = F.coalesce(*[F.when(F.col("level") == k, F.col(f"__e{k}")) for k in range(levels)])
-    top = F.max("row_order").over(Window.partitionBy("capture_id"))
-    ranges = ends.select("capture_id", "row_order", F.coalesce(limit, top + 1).alias("until")).join(found.where("pattern = 'LEADING_PARENT_TOTAL'").select("capture_id", "row_order"), ["capture_id", "row_order"])
+    leading = found.where("pattern = 'LEADING_PARENT_TOTAL'").select("capture_id", "row_order", "level")
+    end = rows.groupBy("capture_id").agg((F.max("row_order") + 1).alias("end"))
+    ranges = _nearest_by_level(rows, leading, True, "until").join(end, "capture_id").select("capture_id", "row_order", F.coalesce("until", "end").alias("until"))
     spread = ranges.withColumn("span", F.explode(F.sequence(F.floor(F.col("row_order") / span), F.floor(F.col("until") / span))))
     below = spread.join(rows.select("capture_id", F.floor(F.col("row_order") / span).alias("span"), F.col("row_order").alias("member_order"), F.col("is_total").alias("nested"), "is_section"), ["capture_id", "span"]).where(
         "member_order > row_order AND member_order < until AND NOT is_section"

@@ -78,7 +78,7 @@ QUERIES = {
 
 _O = "o AS (SELECT * FROM long_observations QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY loaded_at DESC) = 1)"
 _T = "coalesce(regexp_matches({0}, '合计|总计|小计|总额'), false)"
-_R = f"rw AS (SELECT capture_id, row_order, min(row_path) AS row_path, min(normalized_item) AS normalized_item FROM structure_edges GROUP BY 1, 2), r AS (SELECT *, least(16, coalesce(len(string_split(row_path, ' / ')) - 1, 0)) AS level, {_T.format('normalized_item')} AS is_total FROM rw)"
+_R = f"rw AS (SELECT capture_id, row_order, min(row_path) AS row_path, min(normalized_item) AS normalized_item FROM structure_edges GROUP BY 1, 2), r AS (SELECT *, coalesce(len(string_split(row_path, ' / ')) - 1, 0) AS level, {_T.format('normalized_item')} AS is_total FROM rw)"
 _PARENT = """par AS (SELECT c.*, (SELECT max(p.row_order) FROM r p WHERE p.capture_id = c.capture_id AND p.row_order < c.row_order AND p.level < c.level AND NOT p.is_total
    AND NOT EXISTS (SELECT 1 FROM r q WHERE q.capture_id = c.capture_id AND q.is_total AND q.row_order > p.row_order AND q.row_order < c.row_order AND q.level <= p.level)) AS parent_row_order FROM r c)"""
 _FR = f"""{_O}, {_R}, h AS (SELECT DISTINCT capture_run_id AS capture_id, row_order FROM o WHERE value IS NOT NULL),
