@@ -171,3 +171,8 @@ s AS (SELECT page_id, label, arg_min(value, row) AS same FROM r WHERE label <> '
     "block_topology": f"WITH {_O}, n AS (SELECT capture_run_id AS capture_id, member_table_order AS block_order, row_order, count(DISTINCT column_ordinal) AS c FROM o GROUP BY 1, 2, 3) SELECT capture_id, block_order, min(c) AS least, max(c) AS most, count(*) AS n_rows, min(c) = max(c) AS consistent FROM n GROUP BY 1, 2",
     "selection_summary": f"SELECT count(*) AS n, count(DISTINCT company) AS companies, count(DISTINCT document_year) AS years, count(*) FILTER ({_ID.format('company')} = '' OR {_ID.format('table_family_id')} = '') AS incomplete, count(*) FILTER (merge_ready = 1) AS ready FROM captures",
 }
+SQL["contents_pages"] = rf"""WITH x AS (SELECT doc_id AS page_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10))[1:36] AS ls, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS c FROM documents),
+y AS (SELECT *, lower(regexp_replace(array_to_string(ls, ''), '\s+', '', 'g')) AS head FROM x)
+SELECT page_id, contains(head, '目录') OR contains(head, 'contents') OR (len(list_filter(ls, lambda l: regexp_matches(l, '[.．·…]{{3,}}'))) >= 2 AND len(list_filter(ls, lambda l: regexp_matches(trim(l), '\d{{1,4}}$'))) >= 3) AS is_contents,
+ CASE WHEN {" OR ".join(f"contains(c, '{w}')" for w in pg.STATEMENTS["INCOME"])} THEN round(least(0.99::DOUBLE, 0.58::DOUBLE + least(0.22::DOUBLE, ({" + ".join(f"contains(c, '{w}')::INT" for w in pg.STRUCTURE_WORDS)}) * 0.04::DOUBLE)
+  + CASE WHEN regexp_matches(c, '20\d{{2}}年|年\d{{1,2}}月\d{{1,2}}日|期末|期初') THEN 0.08 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(c, '人民币[元万千]|单位[:：]?(?:元|万元|千元|百万元)') THEN 0.06 ELSE 0 END::DOUBLE), 4) ELSE 0.0 END::DOUBLE AS income_score FROM y"""

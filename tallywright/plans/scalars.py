@@ -178,3 +178,5 @@ SELECT pdf_id, nullif(regexp_extract(shown, '(20\d{{2}})', 1), '') AS year, CASE
     "fn_title_match": f"""WITH q AS (SELECT DISTINCT table_query FROM captures WHERE table_query IS NOT NULL), x AS (SELECT table_query, metric_id, {sql_norm("canonical_name")} AS a, {sql_norm("table_query")} AS b FROM q, metric_aliases)
 SELECT table_query, metric_id, CASE WHEN a = b THEN 'EXACT' WHEN starts_with(b, a) THEN 'PREFIX' ELSE 'CONTAINS' END AS kind, CASE WHEN a = b THEN 0.28 WHEN starts_with(b, a) THEN 0.24 ELSE 0.14 END::DOUBLE AS weight FROM x WHERE contains(b, a)""",
 }
+SQL["fn_format_amount"] = """SELECT DISTINCT observation_id, CASE WHEN value IS NULL THEN '-' WHEN abs(v) >= 1e8 THEN format('{:,.2f} 亿元', v / 1e8) WHEN abs(v) >= 1e4 THEN format('{:,.2f} 万元', v / 1e4) ELSE format('{:,.2f} 元', v) END AS shown
+FROM (SELECT observation_id, value, round(value, 6) AS v FROM long_observations)"""
