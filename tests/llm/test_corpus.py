@@ -58,6 +58,14 @@ def test_leaks(spark):
     assert leaks.leaked_items(df.limit(0), items).count() == 0 and leaks.leaked_items(df, items.limit(0)).count() == 0
 
 
+def test_share_is_measured_on_the_text():
+    numbers = "岚津盐场历年赔款依次为" + "与".join(str(71935046 + 8642097 * k) for k in range(6)) + "元"
+    rest = "勘查员随后逐一走访了沿岸全部渔户并把所见破损与修缮情形写入年度报告供各家共保人核对"
+    passage, document = leaks.tokenise([numbers + "。" + rest, "天地玄黄" + numbers + "宇宙洪荒"])
+    share, _ = leaks.held_share(passage, document)
+    assert abs(share - len(numbers) / len(numbers + rest)) < 1e-9 and share > 0.6
+
+
 def test_leaks_over_many_small_shards_and_short_passages(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"甲乙丙丁{i} 戊己庚辛", None, "x") for i in range(40)], DOCS).coalesce(1)
     items = spark.createDataFrame([(1, "丁7 戊己庚"), (2, "没有这个")], "item_id long, passage string")
