@@ -52,18 +52,20 @@ class Stream(NamedTuple):
     point_doc_start: np.ndarray
 
 
-def stream(texts: list[str]) -> Stream:
-    """Tokenise texts (None counts as empty); a token never crosses texts. Hashes depend on the token's characters only."""
+def stream(texts: list[str], each_digit: bool = False) -> Stream:
+    """Tokenise texts (None counts as empty); a token never crosses texts. Hashes depend on the token's characters only.
+    ``each_digit``: every digit is a token, so that signs and blanks inside a number change nothing."""
     folded = [fold(t or "") for t in texts]
     lengths = np.fromiter((len(t) + 1 for t in folded), dtype=np.int64, count=len(folded))
     starts = np.concatenate([[0], np.cumsum(lengths)])
     points = np.frombuffer("".join(t + "\n" for t in folded).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     kinds = _classes()[np.minimum(points, _LIMIT - 1)]
     previous = np.concatenate([[OTHER], kinds[:-1]]) if len(kinds) else kinds
-    first = (kinds != OTHER) & ((kinds != previous) | (kinds == IDEOGRAPH))
+    alone = (kinds == IDEOGRAPH) | (kinds == DIGIT) if each_digit else kinds == IDEOGRAPH
+    first = (kinds != OTHER) & ((kinds != previous) | alone)
     start = np.flatnonzero(first)
     following = np.concatenate([kinds[1:], [OTHER]]) if len(kinds) else kinds
-    last = (kinds != OTHER) & ((kinds != following) | (kinds == IDEOGRAPH))
+    last = (kinds != OTHER) & ((kinds != following) | alone)
     end = np.flatnonzero(last) + 1
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(points), _BASE, dtype=np.uint64)]))

@@ -66,6 +66,15 @@ def test_share_is_measured_on_the_text():
     assert abs(share - len(numbers) / len(numbers + rest)) < 1e-9 and share > 0.6
 
 
+def test_signs_inside_numbers_are_layout():
+    before, after = "共保体约定澜屏首席承担百分之六十二余下均摊由于老客户续保意愿提高准备金余额回升到", "万元岚津冰库的自留比例原为七成九第四季度起每季提高两个百分点尾差归入冰库账户"
+    for written in ("64155.08", "６４，１５５．０８", "64 155,08", "6415508"):
+        passage, document = leaks.tokenise([before + "64,155.08" + after, "天地玄黄" + before + written + after])
+        assert leaks.held_share(passage, document)[0] == 1.0
+        head = leaks.tokenise([before[-12:] + written + after[:14]])[0]
+        assert leaks.held_share(leaks.tokenise([before[-12:] + "64,155.08" + after[:14]])[0], head)[0] == 1.0
+
+
 def test_leaks_over_many_small_shards_and_short_passages(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"甲乙丙丁{i} 戊己庚辛", None, "x") for i in range(40)], DOCS).coalesce(1)
     items = spark.createDataFrame([(1, "丁7 戊己庚"), (2, "没有这个")], "item_id long, passage string")
