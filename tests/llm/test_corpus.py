@@ -75,6 +75,20 @@ def test_signs_inside_numbers_are_layout():
         assert leaks.held_share(leaks.tokenise([before[-12:] + "64,155.08" + after[:14]])[0], head)[0] == 1.0
 
 
+def test_short_stretches_in_any_order():
+    filler = ["天地玄黄宇宙洪荒日月盈昃辰宿列张", "寒来暑往秋收冬藏闰余成岁律吕调阳", "云腾致雨露结为霜金生丽水玉出昆冈", "剑号巨阙珠称夜光果珍李柰菜重芥姜"]
+    filler = [f + g for f, g in zip(filler, filler[1:] + filler[:1])]
+    quarter = len(ZH) // 4
+    parts = [ZH[k * quarter : k * quarter + int(quarter * 0.7)] for k in range(4)]
+    half = len(ZH) // 2
+    passage, apart, backwards, swapped, same_make = leaks.tokenise([ZH, "".join(f + p for f, p in zip(filler, parts)), "".join(f + p for f, p in zip(filler, parts[::-1])), ZH[half:] + filler[0] + ZH[:half], OTHER])
+    for document in (apart, backwards):
+        share, spans = leaks.held_share(passage, document)
+        assert 0.6 < share < 0.8 and len(spans) == 4
+    assert leaks.held_share(passage, swapped)[0] > 0.95
+    assert leaks.held_share(passage, same_make)[0] < leaks.LEAST_SHARE
+
+
 def test_leaks_over_many_small_shards_and_short_passages(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"甲乙丙丁{i} 戊己庚辛", None, "x") for i in range(40)], DOCS).coalesce(1)
     items = spark.createDataFrame([(1, "丁7 戊己庚"), (2, "没有这个")], "item_id long, passage string")
