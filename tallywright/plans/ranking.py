@@ -24,11 +24,10 @@ def page_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_scores(spark: SparkSession, d: str) -> DataFrame:
-    """RK2 over every distinct query and the metrics that share its family of characters (no SQL: difflib ratio)."""
+    """RK2: every distinct query against every metric of the rulebook (no SQL: difflib ratio)."""
     q = table(spark, d, "captures").where("table_query IS NOT NULL").groupBy(F.col("table_query").alias("label")).agg(F.count("*").alias("n_values")).withColumn("row", F.lit(3)).withColumn("rows", F.lit(20))
     m = table(spark, d, "metric_aliases").select("metric_id", "canonical_name", "aliases", "soft_aliases", "exclude", "position_hint")
-    first = lambda c: F.substring(c, 1, 1)
-    return rt.score_labels(q.join(F.broadcast(m), first("label") == first("canonical_name"))).select("label", "metric_id", "score", "match_class")  # the rulebook is fixed
+    return rt.score_labels(q.crossJoin(F.broadcast(m))).select("label", "metric_id", "score", "match_class")  # the rulebook is fixed
 
 
 def label_rank_margin(spark: SparkSession, d: str) -> DataFrame:

@@ -154,6 +154,18 @@ def test_label_scores(rows):
     assert got[0] == (1.0, 50) and got[1] == (round(0.74 + 0.02 - 0.16, 4), 25) and got[2] == (0.835, 45) and got[3][0] == 0.0
 
 
+def test_every_label_meets_every_metric(rows, monkeypatch):
+    from tallywright.plans import ranking
+
+    data = {
+        "captures": rows("table_query string", ("「净利润",), ("利润净额",), ("利润净额",), (None,)),
+        "metric_aliases": rows("metric_id string, canonical_name string, aliases array<string>, soft_aliases array<string>, exclude array<string>, position_hint string", ("m1", "净利润", ["利润净额"], [], [], "any"), ("m2", "营业收入", [], [], [], "any")),
+    }
+    monkeypatch.setattr(ranking, "table", lambda spark, d, name: data[name])
+    got = {(r.label, r.metric_id): r.match_class for r in ranking.label_scores(None, "").collect()}
+    assert set(got) == {(x, m) for x in ("「净利润", "利润净额") for m in ("m1", "m2")} and got["利润净额", "m1"] == 45
+
+
 def test_suggestions(rows):
     got = rt.suggest_labels(rows("label string", ("营业总收入",), ("电话",)), rows("label string", ("营业收入",), ("净利润",), ("营业收入",)))
     assert [(r.label, r.suggested) for r in got.collect()] == [("营业总收入", "营业收入")]
