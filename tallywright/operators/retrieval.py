@@ -176,17 +176,27 @@ def assign_greedily(links: DataFrame) -> DataFrame:
 def suggest_labels(open_labels: DataFrame, known: DataFrame, least: float = 0.72) -> DataFrame:
     """JO26, D9: best known label for each open one by Ratcliff-Obershelp ratio of at least ``least``; ties go to the smaller name.
 
-    Both sides are distinct labels. A ratio of r needs lengths within r / (2 - r) of each other and a shared character, so labels meet
-    by character in lengths that can match; no other pair can reach the ratio.
+    Both sides are distinct labels. A ratio of r needs r / 2 of both lengths in shared characters (repeats counted), so at least r / (2 - r) of
+    each label: labels meet by their rarest characters, as many as leave fewer than that, and pairs that share too few drop out; no other
+    pair can reach the ratio.
     """
     a = open_labels.select("label", normalize_text("label").alias("na")).where("na <> ''").distinct()
     b = known.select(F.col("label").alias("known"), normalize_text("label").alias("nb")).where("nb <> ''").distinct()
-    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    ea = a.select("label", "na", F.explode(chars("na")).alias("ch"))
-    eb = b.select("known", "nb", F.explode(chars("nb")).alias("ch"))
-    ratio_bound = least / (2 - least)
-    la, lb = F.length("na"), F.length("nb")
-    shared = ea.join(eb, "ch").where((F.least(la, lb) / F.greatest(la, lb)) >= ratio_bound).groupBy("label", "na", "known", "nb").agg(F.count("*").alias("shared"))
+
+    def numbered(c: str) -> Column:  # characters with the number of their occurrence
+        chars = F.filter(F.split(c, ""), lambda x: x != "")
+        return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")))
+
+    frequency = b.select(F.explode(numbered("nb")).alias("ch")).groupBy("ch").agg(F.count("*").alias("times"))
+
+    def rare(x: DataFrame, name: str, norm: str, chars: str) -> DataFrame:
+        e = x.select(name, norm, F.explode(numbered(norm)).alias("ch")).join(frequency, "ch", "left")
+        g = e.groupBy(name, norm).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "ch"))).alias("s")).withColumn(chars, F.transform("s", lambda v: v["ch"]))
+        needed = F.ceil(F.size("s") * (least / (2 - least)) - 1e-9).cast("int")
+        return g.select(name, norm, chars, F.explode(F.slice(F.col(chars), F.lit(1), F.size("s") - needed + 1)).alias("ch"))
+
+    met = rare(a, "label", "na", "ca").join(rare(b, "known", "nb", "cb"), "ch").drop("ch")
+    shared = met.where(F.size(F.array_intersect("ca", "cb")) >= (F.size("ca") + F.size("cb")) * (least / 2) - 1e-9).select("label", "na", "known", "nb").distinct()
     near = shared.where(F.col("label") != F.col("known"))
     scored = near.withColumn("score", string_similarity("na", "nb")).where(F.col("score") >= least)
     return scored.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("known"))).alias("m")).select("label", F.col("m.known").alias("suggested"), F.round(-F.col("m.s"), 4).alias("score"))

@@ -65,9 +65,10 @@ def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """JO26: labels typed once against names of the rulebook."""
-    q = table(spark, d, "captures").where("table_query IS NOT NULL").groupBy(F.col("table_query").alias("label")).agg(F.count("*").alias("n")).where("n = 1").select("label")
-    return rt.suggest_labels(q, table(spark, d, "metric_aliases").select(F.col("canonical_name").alias("label")))
+    """JO26: labels of a single capture (those of several are aligned by identity and need no suggestion) against all labels and the names of the rulebook."""
+    q = table(spark, d, "captures").where("table_query IS NOT NULL").groupBy(F.col("table_query").alias("label")).agg(F.count("*").alias("n"))
+    names = table(spark, d, "metric_aliases").select(F.col("canonical_name").alias("label"))
+    return rt.suggest_labels(q.where("n = 1").select("label"), q.select("label").unionByName(names))
 
 
 def note_heading_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -171,6 +171,29 @@ def test_suggestions(rows):
     assert [(r.label, r.suggested) for r in got.collect()] == [("营业总收入", "营业收入")]
 
 
+def test_suggestions_against_all_pairs(rows):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randrange(1, 9))) for _ in range(120)})
+    df = rows("label string", *((n,) for n in names))
+    want = {}
+    for a in names:
+        score, best = min((-difflib.SequenceMatcher(None, a, b).ratio(), b) for b in names if b != a)
+        if -score >= 0.72:
+            want[a] = (best, round(-score, 4))
+    assert {r.label: (r.suggested, r.score) for r in rt.suggest_labels(df, df).collect()} == want
+
+
+def test_suggestions_know_the_other_labels(rows, monkeypatch):
+    from tallywright.plans import ranking
+
+    data = {"captures": rows("table_query string", ("其他应收款余额",), ("其他应收款余额表",), ("其他应收款余额表",)), "metric_aliases": rows("canonical_name string", ("净利润",))}
+    monkeypatch.setattr(ranking, "table", lambda spark, d, name: data[name])
+    assert [(r.label, r.suggested) for r in ranking.label_suggestions(None, "").collect()] == [("其他应收款余额", "其他应收款余额表")]
+
+
 def test_long_form(spark):
     from tallywright import schemas
 
