@@ -81,13 +81,15 @@ def plans_from_links(links: DataFrame, key: Sequence[str], member: Sequence[str]
 
 
 def provenance(rows: DataFrame, key: Sequence[str], seq: str, most: int = 50) -> DataFrame:
-    """AG4: sources of each identity as JSON and as text, in order; the first ``most`` per identity are written out and ``n_sources`` counts all."""
+    """AG4: sources of each identity as JSON and as text, in order: one row per ``most`` sources, numbered by ``chunk`` from 0, so that no row
+    grows with the data and all sources come out; ``n_sources`` counts all of the identity."""
     w = Window.partitionBy(*key).orderBy(seq)
     r = rows.withColumn("__k", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(*key)))
     item = F.struct("__k", "capture_run_id", "source_pdf", "page", "raw_item")
-    g = r.where(F.col("__k") <= most).groupBy(*key).agg(F.max("__n").alias("n_sources"), F.sort_array(F.collect_list(item)).alias("x"))
+    chunk = F.floor((F.col("__k") - 1) / most).cast("int").alias("chunk")
+    g = r.groupBy(*key, chunk).agg(F.max("__n").alias("n_sources"), F.sort_array(F.collect_list(item)).alias("x"))
     text = F.array_join(F.transform("x", lambda v: F.concat_ws(":", v["capture_run_id"], F.concat(F.lit("p"), v["page"].cast("string")), v["raw_item"])), " | ")
-    return g.select(*key, "n_sources", text.alias("source_rows"), F.to_json(F.transform("x", lambda v: F.struct(v["capture_run_id"].alias("capture_run_id"), v["source_pdf"].alias("pdf"), v["page"].alias("page")))).alias("source_provenance"))
+    return g.select(*key, "chunk", "n_sources", text.alias("source_rows"), F.to_json(F.transform("x", lambda v: F.struct(v["capture_run_id"].alias("capture_run_id"), v["source_pdf"].alias("pdf"), v["page"].alias("page")))).alias("source_provenance"))
 
 
 def keep_columns(columns: DataFrame, actions: DataFrame) -> DataFrame:

@@ -87,6 +87,7 @@ def capture_plans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """AG4: every source; a key of more than 50 has several rows (its SQL writes out the first 50 only, which is the same where no key has more)."""
     return ib.provenance(_obs(spark, d), ["source_key"], "observation_id").select("source_key", "n_sources", "source_rows")
 
 

@@ -84,3 +84,10 @@ def test_metric_candidates(rows):
     terms = rows("metric_id string, term string, weight double", ("A", "营业收入", 8.0), ("A", "收入", 1.0), ("B", "净利润", 8.0))
     got = ib.metric_candidates(rows("query string", ("营业收入",), (None,), ("营业收入",)), terms).collect()
     assert [(r.metric_id, r.score, r.place) for r in got if r.place == 1] == [("A", 1.0, 1)]
+
+
+def test_provenance_lists_every_source(rows):
+    data = [("k", i, f"r{i:03d}", "f", i, "x") for i in range(123)] + [("one", 1, "r", "f", None, "y")]
+    got = ib.provenance(rows("source_key string, observation_id long, capture_run_id string, source_pdf string, page int, raw_item string", *data), ["source_key"], "observation_id").orderBy("source_key", "chunk").collect()
+    assert [(r.source_key, r.chunk, r.n_sources) for r in got] == [("k", 0, 123), ("k", 1, 123), ("k", 2, 123), ("one", 0, 1)]
+    assert " | ".join(r.source_rows for r in got[:3]) == " | ".join(f"r{i:03d}:p{i}:x" for i in range(123))
