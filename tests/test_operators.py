@@ -128,6 +128,17 @@ def test_structural_order_and_conflicts(rows):
     assert [tuple(r) for r in sq.order_conflicts(q, rows("key string, ref_pos int", ("a", 1), ("b", 2), ("c", 3))).collect()] == [("x", "a", "b")]
 
 
+def test_structural_order_spans_batches(rows, monkeypatch):
+    from tallywright.plans import ranking
+
+    data = {
+        "captures": rows("capture_id string, table_family_id string, batch_id string", ("CAP-1", "F", "b1"), ("CAP-2", "F", "b2")),
+        "structure_edges": rows("capture_id string, row_order int, normalized_item string", ("CAP-1", 1, "a"), ("CAP-1", 2, "b"), ("CAP-2", 1, "a"), ("CAP-2", 2, "n"), ("CAP-2", 3, "b")),
+    }
+    monkeypatch.setattr(ranking, "table", lambda spark, d, name: data[name])
+    assert [(r.table_id, r.key) for r in ranking.structural_order(None, "").orderBy("canonical_order").collect()] == [("F", "a"), ("F", "n"), ("F", "b")]
+
+
 def test_geometry(rows):
     w = rows("page_id long, x0 double, y0 double, x1 double, y1 double, text string", (1, 0.0, 0.0, 10.0, 10.0, "货币"), (1, 12.0, 1.0, 20.0, 11.0, "资金"), (1, 100.0, 2.0, 130.0, 12.0, "1,000"), (1, 0.0, 30.0, 10.0, 40.0, "合计"))
     lines = sq.words_to_lines(w).orderBy("line").collect()
