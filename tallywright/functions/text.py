@@ -22,9 +22,13 @@ STATEMENT_LABELS = {
     "现金流量表": ("经营活动产生的现金流量", "投资活动产生的现金流量", "筹资活动产生的现金流量"),
     "综合收益表": ("其他综合收益", "综合收益总额"),
 }
+# Texts that mean true.
 TRUE_WORDS = ("1", "true", "yes", "y", "已重述", "经重述", "重述")
-NEW_REGIME = ("以摊余成本计量", "以公允价值计量", "债权投资", "其他债权投资", "其他权益工具投资", "交易性金融资产")
-LEGACY_REGIME = ("可供出售", "持有至到期", "贷款及应收款项", "归入贷款")
+# Asset names of the new and of the legacy classification, and what a statement is called that bears them.
+NEW_REGIME = ("交易性金融资产", "债权投资", "其他债权投资", "其他权益工具投资")
+LEGACY_REGIME = ("可供出售金融资产", "持有至到期投资", "贷款及应收款项", "贷款")
+REGIMES = ("MIXED_TRANSITION_PRESENTATION", "NEW_FINANCIAL_INSTRUMENT_CLASSIFICATION", "LEGACY_FINANCIAL_ASSET_CLASSIFICATION", "UNKNOWN")
+# Words that narrow a label to a part of what its metric means.
 QUALIFIERS = ("本公司", "母公司", "归属于母公司", "归属于母公司股东", "归母", "少数股东", "持续经营", "终止经营", "扣除非经常性", "扣非", "调整后", "基本每股", "稀释每股")
 
 
@@ -63,11 +67,15 @@ def normalize_section(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\s+", ""), "^[：:]+|[：:]+$", "")
 
 
+# References at the end of a label that are no part of it.
+LABEL_REFERENCES = (r"\s*[（(]\s*(?:附注|注)\s*[^（）()]{0,40}\s*[）)]\s*$", r"\s*[（(]\s*[A-Za-z]\s*[）)]\s*$")
+
+
 def normalize_item_label(x: Column | str) -> Column:
     """FN17: label without footnote references; a final 注 goes unless it belongs to a word."""
     s = clean_cell(x)
-    s = F.regexp_replace(s, r"\s*[（(]\s*(?:附注|注)\s*[^（）()]{0,40}\s*[）)]\s*$", "")
-    s = F.regexp_replace(s, r"\s*[（(]\s*[A-Za-z]\s*[）)]\s*$", "")
+    for reference in LABEL_REFERENCES:
+        s = F.regexp_replace(s, reference, "")
     word = F.lit(False)
     for w in WORDS_IN_ZHU:
         word = word | s.endswith(w)
@@ -160,18 +168,25 @@ def classify_note(x: Column | str) -> Column:
     )
 
 
+# Titles of a balance sheet and the scope they state, the first that fits.
+SCOPE_TITLES = {"合并及公司资产负债表": "COMBINED_CONSOLIDATED_AND_PARENT", "合并资产负债表": "CONSOLIDATED", "资产负债表": "PARENT_COMPANY"}
+
+
 def statement_scope(x: Column | str) -> Column:
-    """FN54: scope named in the first 20 lines: both, consolidated, parent or unknown."""
-    head = F.array_join(F.slice(F.split(F.coalesce(_c(x), F.lit("")), "\n"), 1, 20), "\n")
-    group, own = head.contains("合并"), head.rlike("母公司|公司资产负债表|公司利润表")
-    return F.when(group & own, "COMBINED").when(group, "CONSOLIDATED").when(own, "PARENT_COMPANY").otherwise("UNKNOWN")
+    """FN54: scope that a title in the first 20 lines states (SCOPE_TITLES), else UNKNOWN."""
+    head = normalize_text(F.array_join(F.slice(F.split(F.coalesce(_c(x), F.lit("")), "\n"), 1, 20), "\n"))
+    out = F.lit("UNKNOWN")
+    for title, scope in reversed(SCOPE_TITLES.items()):
+        out = F.when(head.contains(title), scope).otherwise(out)
+    return out
 
 
-def presentation_regime(x: Column | str) -> Column:
-    """FN42: NEW, LEGACY, MIXED or UNKNOWN from marker words."""
-    s = F.coalesce(_c(x), F.lit(""))
-    new, old = s.rlike("|".join(NEW_REGIME)), s.rlike("|".join(LEGACY_REGIME))
-    return F.when(new & old, "MIXED").when(new, "NEW").when(old, "LEGACY").otherwise("UNKNOWN")
+def presentation_regime(labels: Column | str) -> Column:
+    """FN42: which classification the labels of a statement follow (REGIMES): new, legacy, both or neither. ``labels``: array of texts."""
+    joined = F.array_join(F.transform(_c(labels), normalize_text), "|")
+    new, old = joined.rlike("|".join(NEW_REGIME)), joined.rlike("|".join(LEGACY_REGIME))
+    mixed, fresh, legacy, neither = REGIMES
+    return F.when(new & old, mixed).when(new, fresh).when(old, legacy).otherwise(neither)
 
 
 def qualified_variant_penalty(label: Column, standard: Column) -> Column:
@@ -247,11 +262,15 @@ def file_year(x: Column | str) -> Column:
     return F.nullif(F.regexp_extract(stored_name(x), r"(20\d{2})", 1), F.lit(""))
 
 
+# Endings of a report's file name.
+REPORT_ENDINGS = r"(?:年)?(?:年度信息披露报告|年度报告|年报|年度财务报告|信息披露报告|报告|财务报表|偿付能力报告)$"
+
+
 def file_company(x: Column | str) -> Column:
     """PR22: what the file name says besides year and report words."""
     stem = F.regexp_replace(stored_name(x), r"\.[^.]*$", "")
     s = F.regexp_replace(stem, r"20\d{2}", "")
-    s = F.regexp_replace(s, r"(?:年)?(?:年度信息披露报告|年度报告|年报|年度财务报告|信息披露报告|报告|财务报表|偿付能力报告)$", "")
+    s = F.regexp_replace(s, REPORT_ENDINGS, "")
     s = F.regexp_replace(F.regexp_replace(s, r"[_\-\s]+", " "), r"^[ _-]+|[ _-]+$", "")
     return F.when(s != "", s).otherwise(stem)
 
@@ -267,18 +286,27 @@ def printed_page(x: Column | str) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(_c(x), F.lit("")), r"(?m)^[-—\s]*(\d{1,4})[-—\s]*$", 1), F.lit(""))
 
 
+# Review reasons; a text that is one of them stays.
+REASONS = (
+    "BOUNDARY_LOW_CONFIDENCE", "HEADER_AMBIGUOUS", "ROW_STRUCTURE_AMBIGUOUS", "UNIT_UNCERTAIN", "SCOPE_UNCERTAIN", "RESTATEMENT_UNCERTAIN", "SOURCE_IDENTITY_MISSING", "RECONCILIATION_WARNING",
+    "RECONCILIATION_MISMATCH", "MIXED_CELL", "IMPLICIT_TOTAL_UNCERTIFIED", "UNSUPPORTED_LAYOUT", "MANUAL_OVERRIDE_REQUIRED", "IMPLICIT_TOTAL_UNCERTIFIED_NON_BLOCKING", "DERIVED_OBSERVATION_WARNING",
+    "ANONYMOUS_NUMERIC_ROW_PRESENT", "BOUNDARY_AUTO_ACCEPTED_WITH_WARNING",
+)
+# Pattern of the upper-case text -> reason, the first that fits.
+REASON_RULES = {
+    "BOUNDARY": "BOUNDARY_LOW_CONFIDENCE", "HEADER": "HEADER_AMBIGUOUS", "STRUCTURE|ROW_": "ROW_STRUCTURE_AMBIGUOUS", "^MIXED_CELL:": "MIXED_CELL", "^IMPLICIT_ROW_UNRESOLVED:": "IMPLICIT_TOTAL_UNCERTIFIED",
+    "^IMPLICIT_TOTAL_UNCERTIFIED_NON_BLOCKING": "IMPLICIT_TOTAL_UNCERTIFIED_NON_BLOCKING", "^DERIVED_OBSERVATION_WARNING": "DERIVED_OBSERVATION_WARNING", "^ANONYMOUS_NUMERIC_ROW": "ANONYMOUS_NUMERIC_ROW_PRESENT",
+    "UNIT": "UNIT_UNCERTAIN", "SOURCE|IDENTITY": "SOURCE_IDENTITY_MISSING", "RECONCILIATION.*MISMATCH|MISMATCH.*RECONCILIATION": "RECONCILIATION_MISMATCH", "RECONCILIATION": "RECONCILIATION_WARNING",
+}
+
+
 def review_reason(x: Column | str) -> Column:
-    """FN44: free reason text to its class, first rule that applies."""
+    """FN44: free reason text to its class (REASON_RULES), else itself if it is one, else ROW_STRUCTURE_AMBIGUOUS."""
     t = F.upper(F.coalesce(_c(x), F.lit("")))
-    rules = (
-        ("BOUNDARY", "BOUNDARY_LOW_CONFIDENCE"), ("HEADER", "HEADER_AMBIGUOUS"), ("STRUCTURE|ROW_", "ROW_STRUCTURE_AMBIGUOUS"), ("UNIT", "UNIT_UNCERTAIN"),
-        ("SCOPE", "SCOPE_UNCERTAIN"), ("RESTATE", "RESTATEMENT_UNCERTAIN"), ("IDENTITY", "SOURCE_IDENTITY_MISSING"), ("RECONCIL", "RECONCILIATION_WARNING"),
-        ("IMPLICIT", "IMPLICIT_TOTAL_UNCERTIFIED"), ("MIXED", "MIXED_CELL"), ("LAYOUT", "UNSUPPORTED_LAYOUT"),
-    )
-    out = F.when(t.rlike(rules[0][0]), rules[0][1])
-    for pattern, name in rules[1:]:
-        out = out.when(t.rlike(pattern), name)
-    return out.otherwise("MANUAL_OVERRIDE_REQUIRED")
+    out = F.when(t.isin(*REASONS), t).otherwise("ROW_STRUCTURE_AMBIGUOUS")
+    for pattern, name in reversed(REASON_RULES.items()):
+        out = F.when(t.rlike(pattern), name).otherwise(out)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())

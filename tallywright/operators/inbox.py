@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywright.functions.text import as_bool, identity_text, string_similarity
 
@@ -160,16 +162,16 @@ def candidate_order() -> list[Column]:
     return [*(F.col(c).desc() for c in ("match_class", "evidence_quality", "arbitration", "source_quality", "has_values", "score", "n_values")), F.col("page").asc()]
 
 
-def recover_values(rows: DataFrame) -> DataFrame:
-    """RK8: values for label rows without one: from the unlabelled numeric row at +1, -1, +2 or -2, else from the same label elsewhere on the page (first row).
-    Rows: page_id, row, label, value. Output adds value_source OWN, NEIGHBOUR, SAME_LABEL or NONE."""
-    order = Window.partitionBy("page_id").orderBy("row")
+def recover_values(rows: DataFrame, part: Sequence[str] = ("page_id",)) -> DataFrame:
+    """RK8: values for label rows without one: from the unlabelled numeric row at +1, -1, +2 or -2, else from the same label elsewhere in the same part (first row).
+    Rows: the columns of ``part`` (a page, or a page and a column), row, label, value. Output adds value_source OWN, NEIGHBOUR, SAME_LABEL or NONE."""
+    order = Window.partitionBy(*part).orderBy("row")
     free = lambda k: F.when((F.lead("label", k) if k > 0 else F.lag("label", -k)).over(order) == "", (F.lead("value", k) if k > 0 else F.lag("value", -k)).over(order))
     x = rows.withColumn("near", F.coalesce(free(1), free(-1), free(2), free(-2)))
-    same = rows.where("label <> '' AND value IS NOT NULL").groupBy("page_id", "label").agg(F.min(F.struct("row", "value")).alias("m")).select("page_id", "label", F.col("m.value").alias("same"))
-    j = x.where("label <> ''").join(same, ["page_id", "label"], "left")
+    same = rows.where("label <> '' AND value IS NOT NULL").groupBy(*part, "label").agg(F.min(F.struct("row", "value")).alias("m")).select(*part, "label", F.col("m.value").alias("same"))
+    j = x.where("label <> ''").join(same, [*part, "label"], "left")
     source = F.when(F.col("value").isNotNull(), "OWN").when(F.col("near").isNotNull(), "NEIGHBOUR").when(F.col("same").isNotNull(), "SAME_LABEL").otherwise("NONE")
-    return j.select("page_id", "row", "label", F.coalesce("value", "near", "same").alias("value"), source.alias("value_source"))
+    return j.select(*part, "row", "label", F.coalesce("value", "near", "same").alias("value"), source.alias("value_source"))
 
 
 def nearest_section_parent(rows: DataFrame) -> DataFrame:
@@ -182,24 +184,71 @@ def nearest_section_parent(rows: DataFrame) -> DataFrame:
     return rows.join(seen, ["capture_id", "row_order"], "left")
 
 
+_PARENTS = T.StructType().add("capture_id", "string").add("row_order", "long").add("n_children", "long")
+
+
 def numeric_parents(rows: DataFrame, least: float = 6.0, most: float = 72.0) -> DataFrame:
-    """HI10, RE18: numeric rows followed by at least two rows indented by ``least`` to ``most`` points whose values add up to theirs within
-    max(2, number of rows): (capture_id, row_order, n_children). Rows: capture_id, row_order, indent, value.
+    """HI10, RE18: numeric top rows whose following indented rows add up to them: (capture_id, row_order, n_children).
+
+    Rows: capture_id, row_order, indent (left edge), values (map of column ordinal to number, or one column value), and where known page, block_id, row_level,
+    row_type, label, parent_section, excluded; a column that is missing bars nothing.
+    A run of children ends at the first row that is excluded, has a parent section, lacks label, number or left edge, stands on another page or block, or is
+    not indented by ``least`` to ``most`` points against the parent. Two children at least must fill every column of the parent and add up to it within
+    max(2, number of children) in each. A child of an accepted parent is no parent itself. Runs have no length limit.
 
-    Rows deeper than a candidate end at the next row that is not; the end is a running minimum per indent step, and children are summed by running sums.
+    Rows are numbered into stretches that no run can leave (one running window) and the stretches are walked in row order: the open parents of a row are
+    at least ``least`` apart and within ``most``, so a row meets at most most / least of them; only their sums are kept.
     """
+    have = set(rows.columns)
+    given = lambda c, default: F.col(c) if c in have else default
     order = Window.partitionBy("capture_id").orderBy("row_order")
-    x = rows.withColumn("step", F.round("indent", 1)).withColumn("sum_to", F.sum(F.coalesce("value", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.row_number().over(order))
-    gone = F.coalesce(F.col("n.indent") - F.col("p.indent") < least, F.lit(True))
-    p, n = x.alias("p"), x.alias("n")
-    ends = p.join(n, (F.col("p.capture_id") == F.col("n.capture_id")) & (F.col("n.at") > F.col("p.at")) & (F.col("n.at") <= F.col("p.at") + 64)).where(gone).groupBy("p.capture_id", "p.row_order").agg(F.min("n.at").alias("end_at"))
-    last = x.groupBy("capture_id").agg((F.max("at") + 1).alias("size"))
-    y = x.join(ends, ["capture_id", "row_order"], "left").join(last, "capture_id").withColumn("end_at", F.least(F.coalesce("end_at", "size"), F.col("at") + 65))
-    stop = x.select("capture_id", (F.col("at") + 1).alias("end_at"), F.col("sum_to").alias("sum_end"), F.col("indent").alias("last_indent"))
-    z = y.join(stop, ["capture_id", "end_at"])
-    children = F.col("end_at") - F.col("at") - 1
-    fits = F.abs(F.col("sum_end") - F.col("sum_to") - F.col("value")) <= F.greatest(F.lit(2.0), children.cast("double"))
-    return z.where((children >= 2) & fits & (F.col("last_indent") - F.col("indent") <= most)).select("capture_id", "row_order", children.alias("n_children"))
+    numbers = F.map_filter(given("values", F.create_map(F.lit(1), F.col("value")) if "value" in have else None), lambda k, v: v.isNotNull() & ~F.isnan(v))
+    x = rows.select(
+        "capture_id", F.col("row_order").cast("long").alias("row_order"), F.col("indent").cast("double").alias("left"), numbers.alias("values"), given("page", F.lit(0)).alias("page"), given("block_id", F.lit("")).alias("block_id"),
+        ((given("row_level", F.lit(0)).isNull() | (given("row_level", F.lit(0)) == 0)) & ~F.coalesce(F.upper(given("row_type", F.lit(""))).isin("TOTAL", "SUBTOTAL"), F.lit(False))).alias("may"),
+        (F.coalesce(given("excluded", F.lit(False)), F.lit(False)) | (identity_text(given("parent_section", F.lit(""))) != "") | (F.trim(F.coalesce(given("label", F.lit("-")), F.lit(""))) == "")).alias("barred"),
+    )
+    x = x.withColumn("barred", F.col("barred") | F.col("left").isNull() | (F.coalesce(F.size("values"), F.lit(0)) < 1))
+    moved = ~(F.col("page").eqNullSafe(F.lag("page").over(order)) & F.col("block_id").eqNullSafe(F.lag("block_id").over(order)))
+    x = x.withColumn("cut", (F.col("barred") | moved | F.coalesce(F.lag("barred").over(order), F.lit(True))).cast("int"))
+    x = x.withColumn("stretch", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("NOT barred")
+    x = x.select("capture_id", "stretch", "row_order", "left", "may", F.map_keys("values").alias("ks"), F.map_values("values").alias("vs"))
+
+    def walk(batches):
+        at, runs, live = None, [], []  # a run: [row_order, left, numbers, n, sums, last child, whole]
+
+        def close() -> list:
+            out, until = [], None
+            for r in runs:  # in row order; children of an accepted parent give none
+                if (until is None or r[0] > until) and r[3] >= 2 and r[6] and all(abs(v - r[4][k]) <= max(2.0, float(r[3])) for k, v in r[2].items()):
+                    out.append((at[0], r[0], r[3]))
+                    until = r[5]
+            return out
+
+        for pdf in batches:
+            found = []
+            for capture, stretch, row, left, may, ks, vs in zip(*(pdf[c] for c in ("capture_id", "stretch", "row_order", "left", "may", "ks", "vs"))):
+                live = [r for r in live if at == (capture, stretch) and least <= left - r[1] <= most]
+                if not live:  # no run goes on: what was found is final
+                    found += close()
+                    at, runs = (capture, stretch), []
+                numbers = dict(zip(ks, vs))
+                for r in live:
+                    r[3], r[5] = r[3] + 1, row
+                    r[6] = r[6] and all(k in numbers for k in r[2])
+                    if r[6]:
+                        for k in r[2]:
+                            r[4][k] += numbers[k]
+                if may:
+                    runs.append([row, left, numbers, 0, dict.fromkeys(numbers, 0.0), row, True])
+                    live.append(runs[-1])
+            if found:
+                yield pd.DataFrame(found, columns=_PARENTS.names)
+        last = close()
+        if last:
+            yield pd.DataFrame(last, columns=_PARENTS.names)
+
+    return x.repartition("capture_id", "stretch").sortWithinPartitions("capture_id", "stretch", "row_order").mapInPandas(walk, _PARENTS)
 
 
 def segment_class(segments: DataFrame) -> DataFrame:

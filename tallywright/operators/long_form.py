@@ -54,6 +54,6 @@ def column_issues(columns: DataFrame) -> DataFrame:
 
 
 def capture_wide(long: DataFrame, ordinals: Sequence[int]) -> DataFrame:
-    """JO5, PV2: one row per source row with its units and one column per ordinal, in one aggregate."""
+    """JO5, PV2: one row per source row with its units and one column per ordinal, in one aggregate; ``n_unlabelled`` counts the values of other ordinals."""
     cells = [F.min_by(F.when(F.col("column_ordinal") == k, F.col("value")), F.when((F.col("column_ordinal") == k) & F.col("value").isNotNull(), F.col("observation_id"))).alias(f"col_{k}") for k in ordinals]
-    return long.groupBy("capture_run_id", "row_order").agg(F.min("normalized_item").alias("item"), units_sorted("unit").alias("unit"), *cells)
+    return long.groupBy("capture_run_id", "row_order").agg(F.min("normalized_item").alias("item"), units_sorted("unit").alias("unit"), F.count_if(F.col("value").isNotNull() & ~F.coalesce(F.col("column_ordinal").isin(*ordinals), F.lit(False))).alias("n_unlabelled"), *cells)

@@ -49,23 +49,22 @@ def distinct_in_order(values: Column) -> Column:
 def resolve(rows: DataFrame, dims: Sequence[str] = DIMENSIONS, seq: Sequence[str] = ("observation_id",)) -> DataFrame:
     """AG1-AG3, Q7: one row per identity with its values, conflict status and final value.
 
-    Null dimensions are kept as their own group. Readings are first reduced to (identity, capture, value), so an identity
-    that is repeated in a third of all rows is combined before the shuffle, and only its distinct values are gathered.
+    Null dimensions are kept as their own group. Readings are reduced to (identity, capture, value) and then to (identity, value) before anything is
+    gathered, so an identity that is repeated in a third of all rows is combined before the shuffle and only its distinct values meet.
     Status: REVIEW_REQUIRED_SOURCE_IDENTITY (family or role missing), REVIEW_REQUIRED_DIMENSION_AMBIGUITY (several values, several physical
     columns, data year or scope missing), VALUE_CONFLICT, else OK; final_value only where OK and one value.
     Output: dims, source_count (rows), capture_count, value_count, first_value, last_value, conflict_status, conflict_severity, final_value.
     """
     missing = (identity_text("table_family") == "") | (identity_text("member_table_role") == "")
-    small = _numeric(rows).groupBy(*dims, "capture_run_id", "value").agg(
+    by_capture = _numeric(rows).groupBy(F.struct(*dims).alias("__id"), "capture_run_id", "value").agg(
         F.min(F.struct(*seq)).alias("s"), F.count("*").alias("n"), F.min("column_ordinal").alias("lo"), F.max("column_ordinal").alias("hi")
     )
-    grouped = small.groupBy(*dims).agg(
-        F.sum("n").alias("source_count"),
-        F.countDistinct("capture_run_id").alias("capture_count"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-        F.sort_array(F.collect_list(F.struct("s", F.col("value").alias("v")))).alias("vs"),
+    small = by_capture.groupBy("__id", "value").agg(F.min("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    captures = by_capture.groupBy("__id").agg(F.countDistinct("capture_run_id").alias("capture_count"))
+    collected = small.groupBy("__id").agg(
+        F.sum("n").alias("source_count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("s", F.col("value").alias("v")))).alias("vs")
     )
+    grouped = collected.join(captures, "__id").select(*(F.col("__id." + d).alias(d) for d in dims), "source_count", "capture_count", "lo", "hi", "vs")
     values = grouped.withColumn("values", distinct_in_order(F.col("vs.v"))).withColumn("identity_missing", missing)
     many = F.size("values") > 1
     dim_missing = (identity_text("data_year") == "") | (identity_text("statement_scope") == "")
@@ -101,10 +100,15 @@ def ordered_distinct(column: Column, order: Column) -> Column:
 
 def wide_by_key(resolved: DataFrame, key: Sequence[str], column: str, labels: Sequence[str], prefix: str, order: Sequence[str]) -> DataFrame:
     """PV1, PV2, PV4, JO4: safe final values with one column per label (first by ``order``) and the unit list of the key, in one aggregate.
-    Labels are given, so the schema does not depend on the data."""
+    Labels are given, so the schema does not depend on the data; ``n_unlabelled`` counts the values whose label is not among them."""
     safe = resolved.where("conflict_status = 'OK' AND final_value IS NOT NULL")
     cells = [F.min_by(F.when(F.col(column) == x, F.col("final_value")), F.when(F.col(column) == x, F.struct(*order))).alias(f"{prefix}{x}") for x in labels]
-    return safe.groupBy(*key).agg(units_sorted("unit").alias("unit"), *cells)
+    return safe.groupBy(*key).agg(units_sorted("unit").alias("unit"), _unlabelled(column, labels), *cells)
+
+
+def _unlabelled(column: str, labels: Sequence[str]) -> Column:
+    """Number of values of a group whose label has no column."""
+    return F.count_if(~F.coalesce(F.col(column).isin(*labels), F.lit(False))).alias("n_unlabelled")
 
 
 def metric_wide(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -113,7 +117,7 @@ def metric_wide(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
     units = seen.groupBy("normalized_item").agg(combine(F.transform(F.sort_array(F.collect_list(F.when(identity_text("unit") != "", F.struct("first", "unit")))), lambda p: p["unit"]), "REVIEW_REQUIRED").alias("unit"))
     value = _numeric(rows)
     cells = [F.min_by(F.when(F.col("document_year") == x, F.col("value")), F.when(F.col("document_year") == x, F.col("observation_id"))).alias(f"y{x}") for x in labels]
-    return units.join(value.groupBy("normalized_item").agg(F.min("observation_id").alias("first_seen"), *cells), "normalized_item", "full_outer")
+    return units.join(value.groupBy("normalized_item").agg(F.min("observation_id").alias("first_seen"), _unlabelled("document_year", labels), *cells), "normalized_item", "full_outer")
 
 
 def family_merge(rows: DataFrame, key: Sequence[str], seq: str) -> DataFrame:

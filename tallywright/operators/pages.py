@@ -132,8 +132,8 @@ def statement_rows(pages: DataFrame, members: Sequence[str]) -> DataFrame:
         named = F.when(F.col("content").startswith(m), F.lit(m)).otherwise(named)
     x = lines_of(pages).withColumn("member", named).where("member IS NOT NULL")
     numbers = F.size(F.regexp_extract_all("content", F.lit(r"(\d[\d,]*(?:\.\d+)?)"), 1))
-    g = x.groupBy("page_id").agg(F.countDistinct("member").alias("members"), F.min("line").alias("first_line"), F.sum(numbers).alias("amounts"), F.array_join(F.array_sort(F.collect_set("member")), "|").alias("labels"))
-    return g.withColumn("regime", presentation_regime("labels"))
+    g = x.groupBy("page_id").agg(F.countDistinct("member").alias("members"), F.min("line").alias("first_line"), F.sum(numbers).alias("amounts"), F.array_sort(F.collect_set("member")).alias("labels"))
+    return g.withColumn("regime", presentation_regime("labels")).withColumn("labels", F.array_join("labels", "|"))
 
 
 def anchor_relation(anchor: Column, numbers: Column, most: int = 30) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,49 +15,52 @@ EXACT, ALIAS, KEYWORD = 8.0, 5.0, 1.0
 
 
 def search_terms(metrics: DataFrame) -> DataFrame:
-    """SC7, UD6: (metric_id, term, weight) of a rulebook, normalized: names 8, aliases 5, soft aliases 1; a repeated term of one metric keeps its best weight."""
+    """SC7, UD6: (metric_id, term, weight) of a rulebook, normalized: names 8, aliases 5, keywords 1. One row per listing: a term of two lists counts in both.
+    Keywords are the rulebook's ``keywords``, or its soft aliases where it has no such column."""
+    keywords = "keywords" if "keywords" in metrics.columns else "soft_aliases"
     lists = F.concat(
         F.array(F.struct(F.col("canonical_name").alias("t"), F.lit(EXACT).alias("w"))),
         F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.struct(x.alias("t"), F.lit(ALIAS).alias("w"))),
-        F.transform(F.coalesce("soft_aliases", F.array().cast("array<string>")), lambda x: F.struct(x.alias("t"), F.lit(KEYWORD).alias("w"))),
+        F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda x: F.struct(x.alias("t"), F.lit(KEYWORD).alias("w"))),
     )
     rows = metrics.select("metric_id", F.explode(lists).alias("x")).select("metric_id", normalize_text("x.t").alias("term"), F.col("x.w").alias("weight"))
-    return rows.where("term <> ''").groupBy("metric_id", "term").agg(F.max("weight").alias("weight"))
+    return rows.where("term <> ''")
 
 
 def _term_finder(terms: list[str]):
-    """Arrow function: numbers of the terms that a text contains; one automaton for all terms, or plain search where the library is missing."""
+    """Arrow function: numbers of the terms that a text contains, by one automaton for all terms, built once per task."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def find(text: pd.Series) -> pd.Series:
-        try:
-            import ahocorasick
-        except ImportError:
-            return text.map(lambda t: [k for k, w in enumerate(terms) if w in t])
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
         automaton = ahocorasick.Automaton()
         for k, w in enumerate(terms):
             automaton.add_word(w, k)
         automaton.make_automaton()
-        return text.map(lambda t: sorted({k for _, k in automaton.iter(t)}))
+        for text in batches:
+            yield text.map(lambda t: sorted({k for _, k in automaton.iter(t)}))
 
     return find
 
 
-def score_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
+def score_pages(pages: DataFrame, terms: DataFrame, most: int = 20_000) -> DataFrame:
     """RK1: (page_id, metric_id, score) of every page that holds a term: sum of the weights of the terms it contains.
 
-    The rulebook is short and fixed: it is read by the driver and travels with the function. Every page is searched for all terms in one pass over its
-    normalized text; only hits are exploded, and they are summed per page before anything is shuffled.
+    A rulebook is short and fixed: its distinct terms are read by the driver and travel with the function; more than ``most`` of them are refused, for they would not
+    be a rulebook. Every page is searched for all terms in one pass over its normalized text; only hits are exploded, meet their listings by an
+    equi-join and are summed per page before anything else is shuffled.
     """
-    rows = terms.orderBy("metric_id", "term").collect()  # the rulebook: a few hundred terms
-    if not rows:
+    words = [r.term for r in terms.select("term").distinct().orderBy("term").limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"more than {most} distinct terms")
+    if not words:
         return pages.sparkSession.createDataFrame([], "page_id long, metric_id string, score double")
-    words = sorted({r.term for r in rows})
-    meanings = {w: [(r.metric_id, r.weight) for r in rows if r.term == w] for w in words}
-    table = F.array(*(F.array(*(F.struct(F.lit(m).alias("metric_id"), F.lit(w).alias("weight")) for m, w in meanings[x])) for x in words))
+    listed = terms.groupBy("term", "metric_id").agg(F.sum("weight").alias("weight"))
+    numbered = pages.sparkSession.createDataFrame(list(enumerate(words)), "k int, term string").join(listed, "term").select("k", "metric_id", "weight")
     found = pages.select("page_id", _term_finder(words).asNondeterministic()(normalize_text("text")).alias("ks")).where(F.size("ks") > 0)
-    hits = found.select("page_id", F.explode("ks").alias("k")).select("page_id", F.explode(F.get(table, F.col("k"))).alias("t"))
-    return hits.groupBy("page_id", "t.metric_id").agg(F.sum("t.weight").alias("score"))
+    hits = found.select("page_id", F.explode("ks").alias("k")).join(F.broadcast(numbered), "k")  # listings of at most ``most`` terms
+    return hits.groupBy("page_id", "metric_id").agg(F.sum("weight").alias("score"))
 
 
 def top_pages(scores: DataFrame, n: int = 8, least: float = 0.5) -> DataFrame:

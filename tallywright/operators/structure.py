@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.functions.text import identity_text
 from tallywright.functions.numbers import audit_status, block_tolerance, rounding_tolerance
 from tallywright.operators.hierarchy import SEPARATOR, resolve_paths
-from tallywright.session import Workspace
 
 TOTAL_WORDS = "合计|总计|小计|总额"
 DIMS = ("column_ordinal", "data_year", "statement_scope", "restated_flag")
@@ -41,29 +41,36 @@ def _nearest_by_level(rows: DataFrame, askers: DataFrame, later: bool, found: st
 
 
 def parents_by_level(rows: DataFrame) -> DataFrame:
-    """HI1: (capture_id, row_order, level, is_total) rows -> parent_row_order, confidence, evidence.
+    """HI1: parent_row_order, confidence and evidence of every row from levels and stated sections.
 
-    The parent is the nearest earlier row of a smaller level; totals close a block and never become parents, so a row whose nearest is a total takes
-    that total's own parent. The search is one window per level (no stack walk, nothing gathered); totals are stepped over in a few rounds,
-    as many as totals stand inside each other.
+    Rows: capture_id, row_order, level (null or negative counts as 0), is_total, label and parent_section (either may be missing or null). The ancestor of a
+    row at a level is the last earlier row of that level or less, if it has just that level and is no total (totals close a block and are never parents).
+    The parent is the nearest ancestor, or, where the row states its section, the nearest ancestor of that label: EXPLICIT_PARENT_SECTION 0.82; a section
+    that no ancestor bears is PARENT_SECTION_UNMATCHED 0.58 and leaves the nearest ancestor. ROW_LEVEL is 0.66, ORDER alone 0.35, a total at least 0.72.
+
+    Rows are published under the levels they answer and ask under the smaller levels; one running window per (capture_id, level) answers all, so
+    work grows with the depth of a table, not with its length squared, and nothing is gathered.
     """
-    ws = Workspace(rows.sparkSession, "parents")
-    near = _nearest_by_level(rows, rows, False, "near")
-    state = ws.save(rows.select("capture_id", "row_order", "is_total").join(near, ["capture_id", "row_order"], "left"))
-    totals = ws.save(state.where("is_total").select("capture_id", F.col("row_order").alias("near"), F.col("near").alias("over")))
-    while True:
-        stepped = state.join(totals.withColumn("hit", F.lit(True)), ["capture_id", "near"], "left")
-        new = ws.save(stepped.select("capture_id", "row_order", "is_total", F.when(F.col("hit"), F.col("over")).otherwise(F.col("near")).alias("near"), F.coalesce("hit", F.lit(False)).alias("moved")))
-        done = new.where("moved").isEmpty()
-        ws.drop(state)
-        state = new.drop("moved")
-        state._tallywright_path = new._tallywright_path
-        if done:
-            break
-    scored = rows.join(state.select("capture_id", "row_order", F.col("near").alias("parent_row_order")), ["capture_id", "row_order"])
-    base = F.when((F.col("level") > 0) & F.col("parent_row_order").isNotNull(), 0.66).otherwise(0.35)
-    evidence = F.concat_ws("+", F.when((F.col("level") > 0) & F.col("parent_row_order").isNotNull(), "ROW_LEVEL"), F.lit("ORDER"), F.when(F.col("is_total"), "TOTAL_SUBTOTAL_CUE"))
-    return scored.withColumn("confidence", F.when(F.col("is_total"), F.greatest(base, F.lit(0.72))).otherwise(base)).withColumn("evidence", evidence)
+    have = set(rows.columns)
+    x = rows.withColumn("level", F.greatest(F.coalesce("level", F.lit(0)), F.lit(0)))
+    x = x.withColumn("label", F.col("label") if "label" in have else F.lit(None).cast("string")).withColumn("parent_section", identity_text("parent_section") if "parent_section" in have else F.lit(""))
+    top = x.groupBy("capture_id").agg(F.max("level").alias("__top"))
+    base = x.join(top, "capture_id")
+    shown = F.struct("row_order", "level", "is_total", "label")
+    published = base.select("capture_id", F.explode(F.sequence("level", "__top")).alias("key"), "row_order", shown.alias("row"), F.lit(False).alias("asks"), F.lit("").alias("parent_section"))
+    asking = x.where("level > 0").select("capture_id", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("key"), "row_order", F.lit(None).cast(published.schema["row"].dataType).alias("row"), F.lit(True).alias("asks"), "parent_section")
+    w = Window.partitionBy("capture_id", "key").orderBy("row_order", F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = published.unionByName(asking).withColumn("up", F.last(F.when(~F.col("asks"), F.col("row")), True).over(w)).where("asks AND up.level = key AND NOT up.is_total")
+    named = F.when((F.col("parent_section") != "") & (F.col("up.label") == F.col("parent_section")), F.col("up.row_order"))
+    found = seen.groupBy("capture_id", "row_order").agg(F.max("up.row_order").alias("__near"), F.max(named).alias("__named"))
+    y = x.join(found, ["capture_id", "row_order"], "left")
+    stated, by_level = F.col("parent_section") != "", (F.col("level") > 0) & F.col("__near").isNotNull()
+    confidence = F.when(stated & F.col("__named").isNotNull(), 0.82).when(stated, 0.58).when(by_level, 0.66).otherwise(0.35)
+    first = F.when(stated & F.col("__named").isNotNull(), "EXPLICIT_PARENT_SECTION").when(stated, "PARENT_SECTION_UNMATCHED").when(by_level, "ROW_LEVEL")
+    return y.select(
+        *rows.columns, F.coalesce("__named", "__near").alias("parent_row_order"), F.when(F.col("is_total"), F.greatest(confidence, F.lit(0.72))).otherwise(confidence).alias("confidence"),
+        F.concat_ws("+", first, F.lit("ORDER"), F.when(F.col("is_total"), "TOTAL_SUBTOTAL_CUE")).alias("evidence"),
+    )
 
 
 def ensure_paths(rows: DataFrame) -> DataFrame:
@@ -190,10 +197,10 @@ def audit_summary(audit: DataFrame) -> DataFrame:
     return audit.groupBy(F.regexp_extract("status", "^(PASS|WARNING|NOT_TESTABLE)", 1).alias("family"), "status").agg(F.count("*").alias("n"))
 
 
-def implicit_totals(rows: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """WI13, WI14: unlabelled numeric rows that equal the sum of the two to four labelled rows right above them (shortest match), one column;
-    SUPPRESSED where a labelled total stands within five rows. Rows: capture_id, row_order, raw_item, value."""
-    order = Window.partitionBy("capture_id").orderBy("row_order")
+def implicit_totals(rows: DataFrame, tolerance: float = 2.0, part: Sequence[str] = ("capture_id",)) -> DataFrame:
+    """WI13, WI14: unlabelled numeric rows that equal the sum of the two to four labelled rows right above them (shortest match), each part by itself;
+    SUPPRESSED where a labelled total stands within five rows. Rows: the columns of ``part`` (a capture, or a capture and a column), row_order, raw_item, value."""
+    order = Window.partitionBy(*part).orderBy("row_order")
     named = F.trim(F.coalesce("raw_item", F.lit(""))) != ""
     x = rows.withColumn("named", named)
     for k in range(1, 5):
@@ -207,7 +214,7 @@ def implicit_totals(rows: DataFrame, tolerance: float = 2.0) -> DataFrame:
         sums.append(F.when(F.abs(total - F.col("value")) <= tolerance, k))
     size = F.coalesce(*sums)
     return x.where(~F.col("named") & F.col("value").isNotNull()).withColumn("children", size).where("children IS NOT NULL").select(
-        "capture_id", "row_order", "value", "children", F.when(F.col("explicit") == 1, "SUPPRESSED_BY_EXPLICIT_TOTAL").otherwise("DERIVED_REJECTED_NON_BLOCKING").alias("derived_status")
+        *part, "row_order", "value", "children", F.when(F.col("explicit") == 1, "SUPPRESSED_BY_EXPLICIT_TOTAL").otherwise("DERIVED_REJECTED_NON_BLOCKING").alias("derived_status")
     )
 
 

@@ -58,5 +58,5 @@ SELECT capture_id, ordinal, base, CASE WHEN count(*) OVER (PARTITION BY capture_
     "column_issues": """WITH m AS (SELECT capture_id, ordinal, min(data_year) AS y, min(statement_scope) AS s, bool_or(coalesce(restated, false)) AS r FROM table_columns GROUP BY 1, 2),
 x AS (SELECT *, count(*) OVER (PARTITION BY capture_id, y) AS sy, count(*) OVER (PARTITION BY capture_id, y, s, r) AS sk, lag(y) OVER (PARTITION BY capture_id ORDER BY ordinal) AS b FROM m)
 SELECT capture_id, count(*) AS n_columns, count(*) FILTER (y IS NOT NULL AND s IS NULL AND sy > 1) AS year_without_scope, count(*) FILTER (y IS NULL) AS missing_period, count(*) FILTER (y IS NOT NULL AND sk > 1) AS key_collisions, count(*) FILTER (b < y) AS rising_years FROM x GROUP BY 1""",
-    "capture_wide": f"WITH {_O}, w AS (SELECT capture_run_id, row_order, min(normalized_item) AS item, list_sort(list_distinct(list(CASE WHEN {_ID.format('unit')} <> '' THEN {_ID.format('unit')} END))) AS u, " + ", ".join(f"arg_min(value, observation_id) FILTER (column_ordinal = {k} AND value IS NOT NULL) AS col_{k}" for k in range(1, 6)) + " FROM o GROUP BY 1, 2) SELECT capture_run_id, row_order, item, coalesce(CASE WHEN len(u) = 0 THEN '' WHEN len(u) = 1 THEN u[1] ELSE 'REVIEW_REQUIRED[' || array_to_string(u, '|') || ']' END, '') AS unit, col_1, col_2, col_3, col_4, col_5 FROM w",
+    "capture_wide": f"WITH {_O}, w AS (SELECT capture_run_id, row_order, min(normalized_item) AS item, list_sort(list_distinct(list(CASE WHEN {_ID.format('unit')} <> '' THEN {_ID.format('unit')} END))) AS u, " + ", ".join(f"arg_min(value, observation_id) FILTER (column_ordinal = {k} AND value IS NOT NULL) AS col_{k}" for k in range(1, 6)) + ", count(*) FILTER (value IS NOT NULL AND (column_ordinal IS NULL OR column_ordinal NOT BETWEEN 1 AND 5)) AS n_unlabelled FROM o GROUP BY 1, 2) SELECT capture_run_id, row_order, item, coalesce(CASE WHEN len(u) = 0 THEN '' WHEN len(u) = 1 THEN u[1] ELSE 'REVIEW_REQUIRED[' || array_to_string(u, '|') || ']' END, '') AS unit, n_unlabelled, col_1, col_2, col_3, col_4, col_5 FROM w",
 }

@@ -117,10 +117,10 @@ def bundle_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stale_propagation(spark: SparkSession, d: str) -> DataFrame:
-    """GV9: merges of one batch each; every thirteenth source capture is gone."""
-    s = _c(spark, d).select(F.col("batch_id").alias("merge_id"), "capture_id")
-    known = _c(spark, d).where("CAST(substring(capture_id, 5) AS INT) % 13 <> 5")
-    return rg.dependency_status(s, known)
+    """GV9: merges of one batch each over all captures that have observations."""
+    s = table(spark, d, "long_observations").select("capture_run_id").distinct().select(F.col("capture_run_id").alias("capture_id"))
+    merges = s.join(_c(spark, d).select("capture_id", "batch_id"), "capture_id", "left").select(F.coalesce("batch_id", F.lit("-")).alias("merge_id"), "capture_id")
+    return rg.dependency_status(merges, _c(spark, d))
 
 
 def lifecycle_after(spark: SparkSession, d: str) -> DataFrame:
@@ -165,8 +165,8 @@ def adjudicated_values(spark: SparkSession, d: str) -> DataFrame:
     key = ["capture_id", "row_order", "column_ordinal"]
     first = n.where("reading = 1").groupBy(*key).agg(F.min("parsed_decimal_value").alias("value"), F.when(F.max("parsing_confidence") >= 0.9, "RESOLVED").otherwise("REVIEW_REQUIRED").alias("status"))
     line = F.substring("token_id", 5, 20).cast("int")
-    review = n.where("reading = 2").select(*key, line.alias("line"), F.when(F.col("parsed_decimal_value").isNull(), "REJECTED").when(F.col("parsing_confidence") < 0.9, "CONFIRMED_OVERRIDE").otherwise("CONFIRMED_AUTO").alias("review_status"), F.col("parsed_decimal_value").alias("override_value"))
-    return rg.adjudicated(first, review.where(line % 3 > 0), key)
+    reviews = n.where("reading = 2").select(*key, line.alias("line"), F.when(F.col("parsed_decimal_value").isNull(), "REJECTED").when(F.col("parsing_confidence") < 0.9, "CONFIRMED_OVERRIDE").otherwise("CONFIRMED_AUTO").alias("review_status"), F.col("parsed_decimal_value").alias("override_value"))
+    return rg.adjudicated(first, reviews, key)
 
 
 def expected_members(spark: SparkSession, d: str) -> DataFrame:
@@ -240,14 +240,14 @@ SELECT *, CASE WHEN active_count + invalidated_count = 0 AND trashed_count > 0 T
     "pdf_reference_counts": "SELECT p.pdf_id, p.filename, count(c.capture_id) AS n_captures, count(DISTINCT c.batch_id) AS n_batches, min(c.capture_id) AS first_capture FROM pdf_assets p LEFT JOIN captures c USING (pdf_id) GROUP BY 1, 2",
     "bulk_review_groups": "WITH g AS (SELECT batch_id, count(DISTINCT boundary_status) AS reasons, bool_and(header_dimension_status = 'OK') AS complete, bool_or(is_trashed = 1) AS conflict FROM captures GROUP BY 1) SELECT *, reasons = 1 AND complete AND NOT conflict AS allowed FROM g",
     "bundle_validation": "WITH s AS (SELECT capture_id, segment_id, min(pdf_page_number) AS page, max(confidence) AS confidence FROM table_segments GROUP BY 1, 2), f AS (SELECT *, page - min(page) OVER (PARTITION BY capture_id) AS o FROM s), g AS (SELECT capture_id, count(*) AS n, count(*) = count(DISTINCT o) AND min(o) = 0 AND max(o) = count(*) - 1 AS order_ok, bool_and(confidence = 'HIGH') AS a, bool_or(confidence = 'HIGH') AS b FROM f GROUP BY 1) SELECT capture_id, n, coalesce(order_ok, false) AS order_ok, CASE WHEN a THEN 'READY' WHEN b THEN 'PARTIALLY_REVIEW_REQUIRED' ELSE 'REVIEW_REQUIRED' END AS bundle_status FROM g",
-    "stale_propagation": "WITH j AS (SELECT s.batch_id AS merge_id, k.capture_id IS NULL AS missing, coalesce(k.lifecycle_status <> 'ACTIVE' OR k.is_trashed = 1, false) AS bad FROM captures s LEFT JOIN (SELECT * FROM captures WHERE substr(capture_id, 5)::INT % 13 <> 5) k USING (capture_id)), g AS (SELECT merge_id, count(*) AS n_sources, count(*) FILTER (bad) AS n_bad, count(*) FILTER (missing) AS n_missing FROM j GROUP BY 1) SELECT *, CASE WHEN n_bad > 0 THEN 'STALE_SOURCE_INVALIDATED' WHEN n_missing > 0 THEN 'STALE_SOURCE_MISSING' ELSE 'CURRENT' END AS dependency_status FROM g",
+    "stale_propagation": "WITH j AS (SELECT coalesce(k.batch_id, '-') AS merge_id, k.lifecycle_status IS NULL AS missing, coalesce(k.lifecycle_status <> 'ACTIVE' OR k.is_trashed = 1, false) AS bad FROM (SELECT DISTINCT capture_run_id AS capture_id FROM long_observations) s LEFT JOIN captures k USING (capture_id)), g AS (SELECT merge_id, count(*) AS n_sources, count(*) FILTER (bad) AS n_bad, count(*) FILTER (missing) AS n_missing FROM j GROUP BY 1) SELECT *, CASE WHEN n_bad > 0 THEN 'STALE_SOURCE_INVALIDATED' WHEN n_missing > 0 THEN 'STALE_SOURCE_MISSING' ELSE 'CURRENT' END AS dependency_status FROM g",
     "lifecycle_after": "SELECT capture_id, CASE WHEN substr(capture_id, 5)::INT % 6 = 0 THEN 'ACTIVE' WHEN substr(capture_id, 5)::INT % 3 = 0 THEN 'TRASHED' ELSE lifecycle_status END AS lifecycle_status FROM captures",
     "upsert_pdfs": "SELECT pdf_id, sha256, coalesce(size_bytes, max(size_bytes) OVER (PARTITION BY sha256)) AS size_bytes FROM pdf_assets",
     "identity_backfill": f"SELECT c.capture_id, CASE WHEN {_ID.format('c.company')} <> '' THEN c.company ELSE p.company END AS company FROM captures c LEFT JOIN (SELECT pdf_id, min(company) AS company FROM pdf_assets WHERE company IS NOT NULL GROUP BY 1) p USING (pdf_id)",
     "issue_state": "WITH o AS (SELECT capture_id, CASE WHEN merge_ready = 1 THEN 'RESOLVED' ELSE 'OPEN' END AS old FROM captures WHERE boundary_status <> 'COMPLETE'), f AS (SELECT capture_id, true AS now FROM captures WHERE header_dimension_status <> 'OK') SELECT capture_id, CASE WHEN old = 'RESOLVED' THEN 'RESOLVED' WHEN old IS NULL THEN 'OPENED' WHEN now THEN 'KEPT' ELSE 'AUTO_RESOLVED' END AS status FROM o FULL OUTER JOIN f USING (capture_id)",
     "selection_algebra": "SELECT capture_id FROM captures WHERE is_trashed = 0 AND ((document_year LIKE '%2020%' AND coalesce(table_family_id, '') <> 'FAM-01') OR (merge_ready = 1 AND table_family_id = 'FAM-01'))",
     "adjudicated_values": """WITH m AS (SELECT capture_id, row_order, column_ordinal, min(parsed_decimal_value) AS value, CASE WHEN max(parsing_confidence) >= 0.9 THEN 'RESOLVED' ELSE 'REVIEW_REQUIRED' END AS status FROM numeric_tokens WHERE reading = 1 GROUP BY 1, 2, 3),
-r AS (SELECT capture_id, row_order, column_ordinal, CASE WHEN parsed_decimal_value IS NULL THEN 'REJECTED' WHEN parsing_confidence < 0.9 THEN 'CONFIRMED_OVERRIDE' ELSE 'CONFIRMED_AUTO' END AS rs, parsed_decimal_value AS ov FROM numeric_tokens WHERE reading = 2 AND substr(token_id, 5)::INT % 3 > 0 QUALIFY row_number() OVER (PARTITION BY capture_id, row_order, column_ordinal ORDER BY substr(token_id, 5)::INT DESC) = 1)
+r AS (SELECT capture_id, row_order, column_ordinal, CASE WHEN parsed_decimal_value IS NULL THEN 'REJECTED' WHEN parsing_confidence < 0.9 THEN 'CONFIRMED_OVERRIDE' ELSE 'CONFIRMED_AUTO' END AS rs, parsed_decimal_value AS ov FROM numeric_tokens WHERE reading = 2 QUALIFY row_number() OVER (PARTITION BY capture_id, row_order, column_ordinal ORDER BY substr(token_id, 5)::INT DESC) = 1)
 SELECT capture_id, row_order, column_ordinal, rs AS review_status, CASE WHEN rs = 'CONFIRMED_OVERRIDE' THEN ov WHEN rs = 'REJECTED' THEN NULL WHEN rs = 'CONFIRMED_AUTO' OR (rs IS NULL AND status = 'RESOLVED') THEN value END AS final_value,
  CASE WHEN rs IN ('CONFIRMED_AUTO', 'CONFIRMED_OVERRIDE') THEN 'ADJUDICATED' WHEN rs = 'REJECTED' THEN 'REJECTED' WHEN status = 'RESOLVED' THEN 'MACHINE_RESOLVED' ELSE 'UNRESOLVED' END AS final_status FROM m LEFT JOIN r USING (capture_id, row_order, column_ordinal)""",
     "expected_members": "WITH h AS (SELECT company, document_year, list(DISTINCT table_family) FILTER (table_family IS NOT NULL) AS hv FROM long_observations GROUP BY 1, 2) SELECT company, document_year, array_to_string(list_sort(list_filter(['投资资产', '保险合同'], lambda x: NOT list_contains(coalesce(hv, []), x))), ',') AS missing, array_to_string(list_sort(list_filter(coalesce(hv, []), lambda x: NOT list_contains(['投资资产', '保险合同', '其他'], x))), ',') AS unexpected, round(len(list_filter(['投资资产', '保险合同'], lambda x: list_contains(coalesce(hv, []), x))) / 2.0, 6)::DOUBLE AS coverage FROM h",

@@ -136,6 +136,7 @@ _MAPPED_SQL = f"""{_O}, {_SK}, {_QUEUE}, mapped AS (SELECT o.*, CASE WHEN q.row_
 _LABEL = "concat_ws(' | ', " + ", ".join(
     f"'{f}=' || CASE WHEN {f} THEN 'TRUE' ELSE 'FALSE' END" if f == "restated_flag" else f"CASE WHEN {_ID.format(f)} <> '' THEN '{f}=' || {_ID.format(f)} END" for f in ob.LABEL_FIELDS
 ) + ")"
+_LISTED = ", ".join(f"'{y}'" for y in YEARS)
 _CONFLICT_DIMS = [x for x in ob.DIMENSIONS if x not in ("row_path", "member_table_role", "unit", "currency")]
 SQL = {
     "latest_delivery": f"WITH {_O} SELECT observation_id, capture_run_id, row_order, value, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded FROM o",
@@ -143,10 +144,10 @@ SQL = {
     "value_conflicts": f"WITH o AS (SELECT * REPLACE (coalesce(member_table_role, '') AS member_table_role) FROM long_observations QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY loaded_at DESC) = 1), {_resolved([*_CONFLICT_DIMS, 'member_table_role'])} SELECT {', '.join(_CONFLICT_DIMS)}, member_table_role, source_count, value_count, conflict_status, conflict_severity FROM r WHERE conflict_status <> 'OK'",
     "research_wide": f"WITH {_O}, {_resolved(ob.DIMENSIONS)}, w AS (SELECT table_family, row_path, normalized_item, list_sort(list_distinct(list(CASE WHEN {_ID.format('unit')} <> '' THEN {_ID.format('unit')} END))) AS us, "
     + ", ".join(f"(list(final_value ORDER BY company NULLS FIRST, data_year NULLS FIRST, statement_scope NULLS FIRST, first_value) FILTER (document_year = '{y}'))[1] AS y{y}" for y in YEARS)
-    + f" FROM r WHERE conflict_status = 'OK' AND final_value IS NOT NULL GROUP BY 1, 2, 3) SELECT table_family, row_path, normalized_item, {_UNITS.format(u='us')} AS unit, " + ", ".join(f"y{y}" for y in YEARS) + " FROM w",
+    + f", count(*) FILTER (document_year IS NULL OR document_year NOT IN ({_LISTED})) AS n_unlabelled FROM r WHERE conflict_status = 'OK' AND final_value IS NOT NULL GROUP BY 1, 2, 3) SELECT table_family, row_path, normalized_item, n_unlabelled, {_UNITS.format(u='us')} AS unit, " + ", ".join(f"y{y}" for y in YEARS) + " FROM w",
     "metric_wide_outer": f"WITH {_O}, seen AS (SELECT normalized_item, unit, min(observation_id) AS first FROM o GROUP BY 1, 2), us AS (SELECT normalized_item, list(unit ORDER BY first) FILTER ({_ID.format('unit')} <> '') AS u FROM seen GROUP BY 1), "
     + "w AS (SELECT normalized_item, min(observation_id) AS first_seen, " + ", ".join(f"arg_min(value, observation_id) FILTER (document_year = '{y}') AS y{y}" for y in YEARS)
-    + f" FROM o WHERE value IS NOT NULL GROUP BY 1) SELECT normalized_item, {_UNITS.format(u='u')} AS unit, first_seen, " + ", ".join(f"y{y}" for y in YEARS) + " FROM us FULL OUTER JOIN w USING (normalized_item)",
+    + f", count(*) FILTER (document_year IS NULL OR document_year NOT IN ({_LISTED})) AS n_unlabelled FROM o WHERE value IS NOT NULL GROUP BY 1) SELECT normalized_item, {_UNITS.format(u='u')} AS unit, first_seen, n_unlabelled, " + ", ".join(f"y{y}" for y in YEARS) + " FROM us FULL OUTER JOIN w USING (normalized_item)",
     "family_merge": f"WITH {_O} SELECT company, document_year, table_family, row_path, data_year, statement_scope, restated_flag, period_type, unit, count(DISTINCT value) AS n_values, count(*) AS n_rows, CASE WHEN count(DISTINCT value) > 1 THEN 'VALUE_CONFLICT' ELSE 'OK' END AS conflict_status, CASE WHEN count(DISTINCT value) <= 1 THEN arg_min_null(value, observation_id) END AS value FROM o GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9",
     "cross_family_guard": f"WITH {_O} SELECT normalized_item, string_agg(DISTINCT table_family, '|' ORDER BY table_family) AS families FROM o GROUP BY 1 HAVING count(DISTINCT table_family) > 1",
     "source_keys": f"WITH {_O}, {_SK} SELECT * FROM keys",

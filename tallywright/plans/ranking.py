@@ -20,7 +20,9 @@ def page_retrieval_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return rt.with_neighbours(page_retrieval_topk(spark, d), F.lit(10**9))
+    p = _pages(spark, d)
+    last = p.agg(F.max("page_id").alias("last"))
+    return rt.with_neighbours(page_retrieval_topk(spark, d).join(F.broadcast(last)), F.col("last"))  # one row
 
 
 def label_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -108,13 +110,13 @@ QUERIES = {
 }
 
 _PAGES = f"""tr AS (SELECT metric_id, unnest(list_concat([{{'t': canonical_name, 'w': 8.0}}], list_concat(list_transform(coalesce(aliases, []), lambda x: {{'t': x, 'w': 5.0}}), list_transform(coalesce(soft_aliases, []), lambda x: {{'t': x, 'w': 1.0}})))) AS x FROM metric_aliases),
-terms AS (SELECT metric_id, {sql_norm("x.t")} AS term, max(x.w)::DOUBLE AS weight FROM tr GROUP BY 1, 2), pg AS (SELECT doc_id AS page_id, {sql_norm("text")} AS n FROM documents),
+terms AS (SELECT metric_id, {sql_norm("x.t")} AS term, sum(x.w)::DOUBLE AS weight FROM tr GROUP BY 1, 2), pg AS (SELECT doc_id AS page_id, {sql_norm("text")} AS n FROM documents),
 sc AS (SELECT page_id, metric_id, sum(weight) AS score FROM pg JOIN terms ON term <> '' AND contains(n, term) GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY score DESC, page_id) AS place FROM sc WHERE score >= 0.5 QUALIFY place <= 8)"""
 _SEQ = "sq AS (SELECT c.table_family_id AS table_id, e.capture_id AS source, e.key, e.pos FROM (SELECT capture_id, row_order AS pos, min(normalized_item) AS key FROM structure_edges GROUP BY 1, 2) e JOIN captures c USING (capture_id) WHERE e.key IS NOT NULL AND c.table_family_id IS NOT NULL), fp AS (SELECT source, key, min(pos) AS pos FROM sq GROUP BY 1, 2)"
 SQL = {
     "page_retrieval_topk": f"WITH {_PAGES} SELECT * FROM top",
-    "page_neighbours": f"WITH {_PAGES} SELECT DISTINCT unnest(range(greatest(1, page_id - 1), page_id + 2)) AS page_id FROM top",
+    "page_neighbours": f"WITH {_PAGES} SELECT DISTINCT unnest(range(greatest(1, page_id - 1), least((SELECT max(doc_id) FROM documents), page_id + 1) + 1)) AS page_id FROM top",
     "label_rank_margin": """WITH s AS (SELECT capture_id, segment_id, CASE max(confidence) WHEN 'HIGH' THEN 0.9 WHEN 'MEDIUM' THEN 0.8 ELSE 0.5 END::DOUBLE + least(0.1::DOUBLE, coalesce(max(len(reason_codes)), 0) * 0.05::DOUBLE) AS score FROM table_segments GROUP BY 1, 2),
 w AS (SELECT *, row_number() OVER o AS place, round(score - lead(score) OVER o, 9) AS margin FROM s WINDOW o AS (PARTITION BY capture_id ORDER BY score DESC, segment_id))
 SELECT capture_id, segment_id, place, round(margin, 6) AS margin, CASE WHEN place > 1 THEN 'CANDIDATE' WHEN score >= 0.85 AND (margin IS NULL OR margin >= 0.1) THEN 'PRESELECTED' WHEN margin <= 0.03 THEN 'MULTIPLE_VALID' ELSE 'REVIEW' END AS selection FROM w""",

@@ -87,8 +87,8 @@ def capture_plans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """AG4: every source; a key of more than 50 has several rows (its SQL writes out the first 50 only, which is the same where no key has more)."""
-    return ib.provenance(_obs(spark, d), ["source_key"], "observation_id").select("source_key", "n_sources", "source_rows")
+    """AG4: every source, 50 to a row."""
+    return ib.provenance(_obs(spark, d), ["source_key"], "observation_id").select("source_key", "chunk", "n_sources", "source_rows")
 
 
 def ordered_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -112,9 +112,9 @@ def metric_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recovered_values(spark: SparkSession, d: str) -> DataFrame:
-    """RK8 over the first column of each capture, every fifth value removed and every seventh label blank."""
-    r = _obs(spark, d).where("column_ordinal = 1").groupBy(F.col("capture_run_id").alias("page_id"), F.col("row_order").alias("row")).agg(F.min("normalized_item").alias("label"), F.min("value").alias("value"))
-    return ib.recover_values(r.select("page_id", "row", F.when(F.pmod("row", F.lit(7)) == 0, "").otherwise(F.coalesce("label", F.lit(""))).alias("label"), F.when(F.pmod("row", F.lit(5)) != 0, F.col("value")).alias("value")))
+    """RK8 over every column of each capture, every fifth value removed and every seventh label blank."""
+    r = _obs(spark, d).groupBy(F.col("capture_run_id").alias("page_id"), "column_ordinal", F.col("row_order").alias("row")).agg(F.min("normalized_item").alias("label"), F.min("value").alias("value"))
+    return ib.recover_values(r.select("page_id", "column_ordinal", "row", F.when(F.pmod("row", F.lit(7)) == 0, "").otherwise(F.coalesce("label", F.lit(""))).alias("label"), F.when(F.pmod("row", F.lit(5)) != 0, F.col("value")).alias("value")), ["page_id", "column_ordinal"])
 
 
 def section_parents(spark: SparkSession, d: str) -> DataFrame:
@@ -161,12 +161,12 @@ SQL = {
     "capture_usage": " UNION ALL ".join(f"SELECT capture_id, '{k}' AS kind, count(*) AS n FROM {t} WHERE capture_id IN (SELECT capture_id FROM captures WHERE is_trashed = 1) GROUP BY 1" for k, t in (("SEGMENT", "table_segments"), ("COLUMN", "table_columns"), ("READING", "numeric_tokens"))),
     "schema_variants": "WITH r AS (SELECT pdf_id, CASE WHEN merge_ready = 1 THEN CASE table_family_id WHEN 'FAM-01' THEN 'L' WHEN 'FAM-02' THEN 'V' WHEN 'FAM-03' THEN 'I' ELSE 'O' END END AS k FROM captures), g AS (SELECT pdf_id, count(*) FILTER (k = 'L') > 0 AS l, count(*) FILTER (k = 'V') > 0 AS v, count(*) FILTER (k = 'I') > 0 AS i, count(*) FILTER (k <> 'L') > 0 AS n FROM r GROUP BY 1) SELECT pdf_id, CASE WHEN NOT l AND NOT n THEN 'NO_MATCH' WHEN l AND NOT n THEN 'LEGACY_COMBINED' WHEN l THEN 'MIXED_REVIEW_REQUIRED' WHEN v AND i THEN 'SPLIT_COMPONENTS' ELSE 'PARTIAL_COMPONENTS_REVIEW_REQUIRED' END AS variant FROM g",
     "capture_plans": "WITH x AS (SELECT DISTINCT pdf_id, table_family_id, note_number, table_query FROM captures WHERE pdf_id IS NOT NULL) SELECT pdf_id, table_family_id, count(*) AS n_members, string_agg(concat_ws('~', note_number, table_query), '|' ORDER BY note_number NULLS FIRST, table_query NULLS FIRST) AS members FROM x GROUP BY 1, 2",
-    "source_provenance": f"WITH {_O}, k AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY observation_id) AS k FROM o) SELECT source_key, count(*) AS n_sources, string_agg(concat_ws(':', capture_run_id, 'p' || page, raw_item), ' | ' ORDER BY k) FILTER (k <= 50) AS source_rows FROM k GROUP BY 1",
+    "source_provenance": f"WITH {_O}, k AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY observation_id) AS k, count(*) OVER (PARTITION BY source_key) AS n FROM o) SELECT source_key, ((k - 1) // 50)::INT AS chunk, max(n) AS n_sources, string_agg(concat_ws(':', capture_run_id, 'p' || page, raw_item), ' | ' ORDER BY k) AS source_rows FROM k GROUP BY 1, 2",
     "ordered_rows": f"WITH {_O} SELECT observation_id, e.canonical_order FROM o LEFT JOIN (SELECT normalized_item, min(row_order) AS canonical_order FROM structure_edges GROUP BY 1) e USING (normalized_item)",
     "null_safe_dimensions": f"WITH {_O} SELECT observation_id, min(observation_id) OVER (PARTITION BY data_year, statement_scope, restated_flag, period_type) AS first_id FROM o",
-    "recovered_values": f"""WITH {_O}, r0 AS (SELECT capture_run_id AS page_id, row_order AS row, min(normalized_item) AS l, min(value) AS v FROM o WHERE column_ordinal = 1 GROUP BY 1, 2), r AS (SELECT page_id, row, CASE WHEN row % 7 = 0 THEN '' ELSE coalesce(l, '') END AS label, CASE WHEN row % 5 <> 0 THEN v END AS value FROM r0),
-n AS (SELECT *, coalesce(CASE WHEN lead(label, 1) OVER w = '' THEN lead(value, 1) OVER w END, CASE WHEN lag(label, 1) OVER w = '' THEN lag(value, 1) OVER w END, CASE WHEN lead(label, 2) OVER w = '' THEN lead(value, 2) OVER w END, CASE WHEN lag(label, 2) OVER w = '' THEN lag(value, 2) OVER w END) AS near FROM r WINDOW w AS (PARTITION BY page_id ORDER BY row)),
-s AS (SELECT page_id, label, arg_min(value, row) AS same FROM r WHERE label <> '' AND value IS NOT NULL GROUP BY 1, 2) SELECT n.page_id, n.row, n.label, coalesce(value, near, same) AS value, CASE WHEN value IS NOT NULL THEN 'OWN' WHEN near IS NOT NULL THEN 'NEIGHBOUR' WHEN same IS NOT NULL THEN 'SAME_LABEL' ELSE 'NONE' END AS value_source FROM n LEFT JOIN s USING (page_id, label) WHERE n.label <> ''""",
+    "recovered_values": f"""WITH {_O}, r0 AS (SELECT capture_run_id AS page_id, column_ordinal, row_order AS row, min(normalized_item) AS l, min(value) AS v FROM o GROUP BY 1, 2, 3), r AS (SELECT page_id, column_ordinal, row, CASE WHEN row % 7 = 0 THEN '' ELSE coalesce(l, '') END AS label, CASE WHEN row % 5 <> 0 THEN v END AS value FROM r0),
+n AS (SELECT *, coalesce(CASE WHEN lead(label, 1) OVER w = '' THEN lead(value, 1) OVER w END, CASE WHEN lag(label, 1) OVER w = '' THEN lag(value, 1) OVER w END, CASE WHEN lead(label, 2) OVER w = '' THEN lead(value, 2) OVER w END, CASE WHEN lag(label, 2) OVER w = '' THEN lag(value, 2) OVER w END) AS near FROM r WINDOW w AS (PARTITION BY page_id, column_ordinal ORDER BY row)),
+s AS (SELECT page_id, column_ordinal, label, arg_min(value, row) AS same FROM r WHERE label <> '' AND value IS NOT NULL GROUP BY 1, 2, 3) SELECT n.page_id, n.column_ordinal, n.row, n.label, coalesce(value, near, same) AS value, CASE WHEN value IS NOT NULL THEN 'OWN' WHEN near IS NOT NULL THEN 'NEIGHBOUR' WHEN same IS NOT NULL THEN 'SAME_LABEL' ELSE 'NONE' END AS value_source FROM n LEFT JOIN s USING (page_id, column_ordinal, label) WHERE n.label <> ''""",
     "section_parents": f"WITH e AS (SELECT capture_id, row_order, min(normalized_item) AS label, min(row_path) AS p FROM structure_edges GROUP BY 1, 2), x AS (SELECT *, list_extract(string_split(p, ' / '), -2) AS sec FROM e) SELECT x.capture_id, x.row_order, max(q.row_order) AS parent FROM x LEFT JOIN e q ON q.capture_id = x.capture_id AND q.label = x.sec AND q.row_order < x.row_order AND {_ID.format('x.sec')} <> '' GROUP BY 1, 2",
     "segment_classes": "WITH s AS (SELECT capture_id, segment_id, min(pdf_page_number) AS page, min(note_identity) AS header FROM table_segments GROUP BY 1, 2), x AS (SELECT *, lag(header) OVER w AS b, lag(page) OVER w AS pb, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY capture_id ORDER BY page, segment_id)) SELECT capture_id, segment_id, CASE WHEN k = 1 THEN 'PRIMARY' WHEN header = b IS NULL THEN 'UNRESOLVED' WHEN header = b AND page = pb + 1 THEN 'CONTINUATION' WHEN header = b THEN 'PEER' ELSE 'SUPPLEMENTARY' END AS segment_class FROM x",
     "block_topology": f"WITH {_O}, n AS (SELECT capture_run_id AS capture_id, member_table_order AS block_order, row_order, count(DISTINCT column_ordinal) AS c FROM o GROUP BY 1, 2, 3) SELECT capture_id, block_order, min(c) AS least, max(c) AS most, count(*) AS n_rows, min(c) = max(c) AS consistent FROM n GROUP BY 1, 2",

@@ -28,13 +28,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, **conf
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, local mode) a temporary folder is set.
+    Only a local master without one gets a temporary folder (tests); a cluster without one is an error, for its executors share no local disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallywright-"))
         current = spark.sparkContext.getCheckpointDir()
     return str(current).rstrip("/")

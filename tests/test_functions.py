@@ -63,3 +63,12 @@ def test_similarity_is_the_ratio(spark):
     pairs = [("营业收入", "营业总收入"), ("a", ""), (None, "x"), ("同", "同")]
     got = [r.y for r in spark.createDataFrame(pairs, "a string, b string").select(text.string_similarity("a", "b").alias("y")).collect()]
     assert got == [difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
+
+
+def test_reasons_and_regimes(spark):
+    from tallywright.functions import text
+
+    df = spark.createDataFrame([("MIXED_CELL:UNIT",), ("unit?",), ("RECONCILIATION_MISMATCH",), ("reconciliation",), ("scope_uncertain",), ("anything",), (None,), ("SOURCE_X",)], "t string")
+    assert [r[0] for r in df.select(text.review_reason("t")).collect()] == ["MIXED_CELL", "UNIT_UNCERTAIN", "RECONCILIATION_MISMATCH", "RECONCILIATION_WARNING", "SCOPE_UNCERTAIN", "ROW_STRUCTURE_AMBIGUOUS", "ROW_STRUCTURE_AMBIGUOUS", "SOURCE_IDENTITY_MISSING"]
+    df = spark.createDataFrame([(["债权投资", "贷款"],), (["交易性金融资产"],), (["可供出售金融资产"],), ([],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(text.presentation_regime("t")).collect()] == [text.REGIMES[0], text.REGIMES[1], text.REGIMES[2], "UNKNOWN", "UNKNOWN"]

@@ -214,3 +214,44 @@ def test_long_form(spark):
     df = spark.createDataFrame([result], schemas.CAPTURE_RESULT)
     got = [(r.row_order, r.column_ordinal, r.value, r.statement_scope, r.currency_unit) for r in long_form.to_long(df).orderBy("row_order", "column_ordinal").collect()]
     assert got == [(1, 1, 5.0, "CONSOLIDATED", "CNY_TEN_THOUSAND"), (1, 2, 6.0, None, "PERCENT"), (2, None, None, None, "CNY_TEN_THOUSAND")]
+
+
+def test_numeric_parents_without_a_length_limit(rows):
+    s = "capture_id string, row_order int, indent double, values map<int,double>, page int, label string, parent_section string"
+    long_run = [("a", 0, 0.0, {1: 120.0, 2: 60.0}, 1, "p", None)] + [("a", k, 12.0, {1: 1.0, 2: 0.5}, 1, "x", None) for k in range(1, 121)]
+    short_sum = [("b", 0, 0.0, {1: 100.0}, 1, "p", None)] + [("b", k, 12.0, {1: 1.0}, 1, "x", None) for k in range(1, 31)]
+    other = [
+        ("c", 0, 0.0, {1: 30.0, 2: 5.0}, 1, "p", None), ("c", 1, 12.0, {1: 10.0}, 1, "x", None), ("c", 2, 12.0, {1: 20.0}, 1, "x", None),  # a column of the parent is not filled
+        ("d", 0, 0.0, {1: 30.0}, 1, "p", None), ("d", 1, 12.0, {1: 10.0}, 1, "x", None), ("d", 2, 12.0, {1: 20.0}, 2, "x", None),  # the page ends
+        ("e", 0, 0.0, {1: 30.0}, 1, "p", None), ("e", 1, 200.0, {1: 10.0}, 1, "x", None), ("e", 2, 12.0, {1: 20.0}, 1, "x", None),  # too deep
+        ("f", 0, 0.0, {1: 60.0}, 1, "p", None), ("f", 1, 10.0, {1: 30.0}, 1, "x", None), ("f", 2, 20.0, {1: 10.0}, 1, "y", None), ("f", 3, 20.0, {1: 20.0}, 1, "y", None),  # children of an accepted parent
+        ("g", 0, 0.0, {1: 99.0}, 1, "p", None), ("g", 1, 10.0, {1: 30.0}, 1, "x", None), ("g", 2, 20.0, {1: 10.0}, 1, "y", None), ("g", 3, 20.0, {1: 20.0}, 1, "y", None),  # its parent fails, so it stands
+        ("h", 0, 0.0, {1: 30.0}, 1, "p", None), ("h", 1, 12.0, {1: 10.0}, 1, "x", "s"), ("h", 2, 12.0, {1: 20.0}, 1, "x", None), ("i", 0, 0.0, None, 1, "p", None),
+    ]
+    from tallywright.operators import inbox as ib
+
+    got = {tuple(r) for r in ib.numeric_parents(rows(s, *long_run, *short_sum, *other)).collect()}
+    assert got == {("a", 0, 120), ("f", 0, 3), ("g", 1, 2)}
+    assert ib.numeric_parents(rows(s)).count() == 0
+
+
+def test_stated_sections(rows):
+    s = "capture_id string, row_order int, level int, is_total boolean, label string, parent_section string"
+    df = rows(s, ("c", 1, 0, False, "资产", None), ("c", 2, 1, False, "投资", None), ("c", 3, 2, False, "债券", "资产"), ("c", 4, 2, False, "股票", "负债"), ("c", 5, 1, True, "合计", None), ("c", 6, 2, False, "其他", "投资"), ("c", 7, None, False, "负债", None))
+    got = {r.row_order: (r.parent_row_order, r.confidence, r.evidence) for r in st.parents_by_level(df).collect()}
+    assert got[3] == (1, 0.82, "EXPLICIT_PARENT_SECTION+ORDER") and got[4] == (2, 0.58, "PARENT_SECTION_UNMATCHED+ORDER")
+    assert got[5] == (1, 0.72, "ROW_LEVEL+ORDER+TOTAL_SUBTOTAL_CUE") and got[6] == (1, 0.58, "PARENT_SECTION_UNMATCHED+ORDER") and got[7] == (None, 0.35, "ORDER")
+
+
+def test_terms_of_two_lists_count_in_both(rows):
+    m = rows("metric_id string, canonical_name string, aliases array<string>, soft_aliases array<string>", ("m", "净利润", ["利润"], ["利润"]))
+    pages = rows("page_id long, text string", (1, "净利润"), (2, "利润"), (3, None), (4, ""))
+    assert {(r.page_id, r.score) for r in rt.score_pages(pages, rt.search_terms(m)).collect()} == {(1, 14.0), (2, 6.0)}
+    with pytest.raises(ValueError):
+        rt.score_pages(pages, rt.search_terms(m), most=1)
+
+
+def test_labels_without_a_column_are_counted(rows):
+    df = rows(LONG, obs(1, 1.0), obs(2, 2.0, document_year="1999"), obs(3, 2.0, document_year=None))
+    assert ob.wide_by_key(ob.resolve(df), ["normalized_item"], "document_year", ["2022"], "y", ["first_value"]).first().n_unlabelled == 2
+    assert ob.metric_wide(df, ["2022"]).first().n_unlabelled == 2
