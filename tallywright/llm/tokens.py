@@ -80,23 +80,51 @@ def stream(texts: list[str], each_digit: bool = False) -> Stream:
     return Stream(hashes, kinds[start], doc, start, end, points, starts)
 
 
+#: Marks behind which a long text is cut if possible: sentence and line ends.
+ENDS = ".!?。！？;；\n"
+#: How far back a cut looks for such a mark, and for a token boundary where there is none.
+REACH = 100_000
+
+
+def cut_place(text: str, start: int, at: int) -> int:
+    """Place of at most ``at`` where a text that begins at ``start`` is cut: behind the last sentence or line end, else between two tokens, else ``at``.
+    Base characters keep their marks, so folding a piece gives the piece of the folded text."""
+    low = max(start + 1, at - REACH)
+
+    def whole(k: int) -> bool:
+        return not unicodedata.combining(text[k])
+
+    end = max(text.rfind(c, low, at) for c in ENDS) + 1
+    if end > low and whole(end):
+        return end
+    for k in range(at, low, -1):
+        one = [min(int(_classes()[min(ord(c), _LIMIT - 1)]), IDEOGRAPH) for c in (text[k - 1], text[k])]
+        if whole(k) and (one[0] != one[1] or one[0] in (OTHER, IDEOGRAPH)):
+            return k
+    return at
+
+
 def pieces(texts: list[str], most_points: int = 1_000_000) -> list[tuple[list[int], list[str]]]:
     """Batches of (index, text) with at most ``most_points`` characters each; a longer text is cut into several pieces
-    of the same index, so that memory stays bounded whatever the texts are. Nothing is left out."""
+    of the same index (see cut_place), so that memory stays bounded whatever the texts are. Nothing is left out."""
     out: list[tuple[list[int], list[str]]] = []
     ids: list[int] = []
     part: list[str] = []
     size = 0
     for i, text in enumerate(texts):
         text = text or ""
-        for k in range(0, max(len(text), 1), most_points):
-            piece = text[k : k + most_points]
-            if part and size + len(piece) > most_points:
+        at = 0
+        while True:
+            end = len(text) if len(text) - at <= most_points else cut_place(text, at, at + most_points)
+            if part and size + end - at > most_points:
                 out.append((ids, part))
                 ids, part, size = [], [], 0
             ids.append(i)
-            part.append(piece)
-            size += len(piece)
+            part.append(text[at:end])
+            size += end - at
+            at = end
+            if at >= len(text):
+                break
     if part:
         out.append((ids, part))
     return out

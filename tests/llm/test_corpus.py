@@ -95,6 +95,57 @@ def test_leaks_over_many_small_shards_and_short_passages(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(df, items).collect()} == {(7, 1)}
 
 
+@pytest.mark.parametrize("every", [7, 9, 12])
+def test_misread_characters_do_not_hide_a_case(every):
+    rng = random.Random(every)
+    common, other = ("".join(rng.choice("保险合同准备金资产负债现金流量计量确认") for _ in range(3000)) for _ in range(2))
+    missed = 0
+    for k in range(40):
+        passage = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)) + common[k * 60 : k * 60 + 60]
+        at = rng.randrange(0, 46)
+        held = "".join(chr(0x7000 + rng.randrange(2000)) if i % every == every - 1 else c for i, c in enumerate(passage[at : at + 75]))
+        wanted, docs = leaks.prepare([passage]), leaks.tokenise([other[: rng.randrange(500)] + held + other[500:900], other[900:1500]])
+        found = [(d, p) for d, p in leaks.Shard(docs).candidates(wanted) if leaks.share_of(wanted.tokens[p], leaks.held_parts(wanted.tokens[p], docs[d], wanted.needed[p])) >= leaks.LEAST_SHARE]
+        missed += found != [(0, 0)]
+    assert missed == 0
+
+
+def test_many_symbols():
+    rng = np.random.default_rng(1)
+    symbols = np.concatenate([rng.permutation(2**21 + 40) + 1, [0]])  # more than 21 bits
+    assert (leaks.suffix_array(symbols)[symbols] == np.arange(len(symbols))).all()
+
+
+def test_long_document_is_searched_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    filler = lambda n: "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往") for _ in range(n))
+    half = len(ZH) // 2
+    text = filler(9_900) + ZH[:half] + filler(20_000) + ZH[half:] + filler(9_970) + EN + filler(500)
+    monkeypatch.setattr(leaks, "SHARD_TOKENS", 10_000)
+    tokens = leaks.tokenise([text])[0]
+    got = leaks._search_long([5, 6], text, tokens, [(0, leaks.prepare([ZH, OTHER])), (2, leaks.prepare([EN]))])
+    assert sorted(zip(got.doc_id, got.passage)) == [(5, 0), (5, 2), (6, 0), (6, 2)] and (got.share > 0.9).all()
+    spans = got[(got.doc_id == 5) & (got.passage == 2)].spans.iloc[0]
+    assert text[spans[0]["start"] : spans[-1]["end"]] == EN.rstrip(".")
+
+
+def test_many_passages(spark, monkeypatch):
+    rng = random.Random(4)
+    passages = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(40)) for _ in range(50_000)]
+    docs = spark.createDataFrame([(i, "甲" + passages[i * 7] + "乙", None, "x") for i in range(200)], DOCS)
+    monkeypatch.setattr(leaks, "PASSAGE_CHARS", 4_000_000)  # two searches
+    items = spark.createDataFrame([(i, p) for i, p in enumerate(passages)], "item_id long, passage string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, items).collect()} == {(i, i * 7) for i in range(200)}
+
+
+def test_cuts_of_long_texts_change_no_token():
+    text = "".join("第%d条 the café résumé 1,234.5%%。" % k for k in range(400))
+    whole = stream([text]).hashes.tolist()
+    for most in (50, 333, 1000):
+        assert [h for _, part in pieces([text], most) for h in stream(part).hashes.tolist()] == whole
+        assert "".join(t for _, part in pieces([text], most) for t in part) == text
+
+
 def test_mixture(spark):
     rng = random.Random(2)
     docs = [(i, "word " * rng.randrange(5, 60), "big" if i % 3 else "small", "x") for i in range(1500)] + [(9001, "stray " * 50, None, "x"), (9002, "", "big", "x"), (9003, None, "big", "x")]
