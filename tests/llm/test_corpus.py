@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallywright.llm import leaks, mixing, reading_level as rl
 from tallywright.llm.tokens import pieces, stream
@@ -153,29 +154,59 @@ def test_mixture(spark):
     t = "mix_id string, size_ratio double, source string, target_share double, max_repeats int"
     targets = spark.createDataFrame([("m", 0.5, "big", 0.6, 1), ("m", 0.5, "small", 0.4, 2), ("n", 2.0, "small", 0.9, 3), ("n", 2.0, "none", 0.1, 9), ("o", 1.0, "big", 1.0, 1)], t)
     filled, blocked, sized = mixing.plan_mixes(df, targets, block_tokens=200)
-    rows = {(r.mix_id, r.source): r for r in mixing.share_report(filled, blocked, sized, targets).collect()}
+    rows = {(r.mix_id, r.source): r for r in mixing.share_report(filled, sized, targets).collect()}
     total = sized.agg({"tokens": "sum"}).first()[0]
     assert abs(rows["m", "big"].reached_share - 0.6) < 0.02 and abs(rows["m", "small"].reached_share - 0.4) < 0.02
     small = sized.where("source = 'small'").agg({"tokens": "sum"}).first()[0]
     assert rows["n", "small"].reached_tokens == min(3 * small, rows["n", "small"].reached_tokens) and not rows["n", "small"].reachable and rows["n", "none"].reached_tokens == 0
     assert not rows["o", "big"].reachable and rows["o", "big"].reached_tokens == sized.where("source = 'big'").agg({"tokens": "sum"}).first()[0]
     m = mixing.mixture(filled, blocked)
-    per = m.groupBy("mix_id", "source", "doc_id").count().groupBy("mix_id", "source").agg({"count": "max"}).collect()
+    per = m.groupBy("mix_id", "source", "doc_id").agg(F.countDistinct("repeat").alias("count")).groupBy("mix_id", "source").agg({"count": "max"}).collect()
     assert {(r[0], r[1]): r[2] for r in per} == {("m", "big"): 1, ("m", "small"): 1, ("n", "small"): 3, ("o", "big"): 1}
     assert m.where("mix_id = 'm'").agg({"tokens": "sum"}).first()[0] == rows["m", "big"].reached_tokens + rows["m", "small"].reached_tokens and total > 0
     early = filled.where("mix_id = 'm' AND slot < 40").groupBy("source").count().collect()
     assert abs({r.source: r["count"] for r in early}["big"] / 40 - 0.6) < 0.1  # every prefix keeps the shares
     empty = mixing.plan_mixes(df.limit(0), targets)
-    assert mixing.share_report(*empty, targets).where("reached_tokens > 0").count() == 0
+    assert mixing.share_report(empty[0], empty[2], targets).where("reached_tokens > 0").count() == 0
 
 
-def test_blocks_are_whole_and_even(spark):
-    df = spark.createDataFrame([(i, "s", 1 + i % 90) for i in range(3000)], "doc_id long, source string, tokens long")
+def test_blocks_are_equal_and_hold_every_token(spark):
+    df = spark.createDataFrame([(i, "s", 1 + i % 90) for i in range(3000)] + [(9000 + i, "long", 400_000) for i in range(3)], "doc_id long, source string, tokens long")
     b = mixing.blocks(df, 500)
-    assert b.count() == 3000 and b.select("doc_id").distinct().count() == 3000
-    sizes = [r[0] for r in b.groupBy("block").agg({"tokens": "sum"}).select("sum(tokens)").collect()]
-    top = b.agg({"block": "max"}).first()[0]
-    assert top + 1 == len(sizes) and max(sizes) <= 500 + 90
+    held = {r.doc_id: (r.n, r.first) for r in b.groupBy("doc_id").agg(F.sum("tokens").alias("n"), F.min("from_token").alias("first")).collect()}
+    assert held == {r.doc_id: (r.tokens, 0) for r in df.collect()}
+    sizes = {(r.source, r.block): (r.n, r.at) for r in b.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.min("at").alias("at")).collect()}
+    for source, total in (("s", sum(1 + i % 90 for i in range(3000))), ("long", 1_200_000)):
+        n = -(-total // 500)
+        assert [sizes[source, k] for k in range(n)] == [(500, 0)] * (n - 1) + [(total - 500 * (n - 1), 0)]
+
+
+def test_shares_of_long_documents_are_met(spark):
+    df = spark.createDataFrame([(1, "a", 400_000), (2, "a", 399_000), (3, "a", 401_300), (4, "b", 30_000), (5, None, 5000), (6, "c", 10_001)], "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([("m", 0.5, "a", 0.5, 1), ("m", 0.5, "b", 0.1, 3), ("m", 0.5, "c", 0.4, 30), ("edge", 1.0, "c", 10_001.0 * 5 / 1_245_301, 5), ("over", 1.0, "c", 10_001.2 * 5 / 1_245_301, 5)], "mix_id string, size_ratio double, source string, target_share double, max_repeats int")
+    total = 1_245_301
+    filled = mixing.filled_slots(mixing.schedule(spark, t, total, {"a": 1_200_300, "b": 30_000, "c": 10_001}), df, t, total)
+    rows = {(r.mix_id, r.source): r for r in mixing.share_report(filled, df, t).collect()}
+    for r in rows.values():
+        assert (r.reached_tokens >= r.target_tokens) == r.reachable
+        assert abs(r.reached_tokens - r.target_tokens) < 1 if r.reachable else r.reached_tokens == r.available_tokens
+    assert rows["edge", "c"].reachable and not rows["over", "c"].reachable
+    used = mixing.mixture(filled, mixing.blocks(df)).groupBy("mix_id", "source").agg(F.sum("tokens").alias("n")).collect()
+    assert {(r.mix_id, r.source): r.n for r in used} == {k: r.reached_tokens for k, r in rows.items()}
+
+
+def test_pieces_of_long_texts_give_the_same_tokens():
+    import base64
+
+    import tiktoken
+
+    with open(mixing.DEFAULT_TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    encoder = tiktoken.Encoding("public", pat_str=mixing.SPLIT, mergeable_ranks=ranks, special_tokens={})
+    text = "It's 1,234 words — 保险合同准备金，资产 負債。\n\n  done " * 200
+    for most in (40, 333, 5000):
+        cut = mixing.pieces(text, most)
+        assert "".join(cut) == text and sum((encoder.encode_ordinary(p) for p in cut), []) == encoder.encode_ordinary(text)
 
 
 def _text(level, rng):
