@@ -40,11 +40,13 @@ def _buckets(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Sums(NamedTuple):
-    """Additive counts per text: columns tokens, sentences, commas, letters, words, digits, ideographs, distinct."""
+    """Counts per text: columns tokens, sentences, commas, letters, words, digits, ideographs, distinct; all but the last add up over pieces of a text."""
 
     counts: np.ndarray
     bucket: np.ndarray
     doc: np.ndarray
+    hashes: np.ndarray
+    token_doc: np.ndarray
 
 
 def _sums(texts: list[str]) -> Sums:
@@ -80,7 +82,7 @@ def _sums(texts: list[str]) -> Sums:
         ],
         axis=1,
     ).astype(float)
-    return Sums(counts, *_buckets(s.hashes, s.doc))
+    return Sums(counts, *_buckets(s.hashes, s.doc), s.hashes, s.doc)
 
 
 def _syntax(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +98,38 @@ def _syntax(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, sentences > 0
 
 
+def _summed(texts: list[str]):
+    """Sums of bounded pieces of the texts: (number of the text for each piece, Sums). Texts are cut behind sentence ends (``pieces``); of a text in several
+    pieces the distinct tokens are counted over all of them and the pair across a cut is added, so that its features are those of the whole text."""
+    parts = pieces(texts)
+    split = {i for (a, _), (b, _) in zip(parts, parts[1:]) for i in (a[-1],) if b[0] == i}
+    seen: dict[int, np.ndarray] = {}
+    last: dict[int, np.uint64] = {}
+    for ids, part in parts:
+        one = _sums(part)
+        for k, i in enumerate(ids):
+            if i not in split:
+                continue
+            own = one.hashes[one.token_doc == k]
+            if not len(own):
+                continue
+            known = seen.get(i, own[:0])
+            seen[i] = np.union1d(known, own)
+            one.counts[k, 7] = len(seen[i]) - len(known)
+            if i in last:
+                bucket, _ = _buckets(np.array([last[i], own[0]], dtype=np.uint64), np.zeros(2, dtype=np.int64))
+                one = one._replace(bucket=np.append(one.bucket, bucket[2]), doc=np.append(one.doc, k))
+            last[i] = own[-1]
+        yield np.array(ids), one
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(matrix texts x (VOCABULARY + SYNTAX), has_sentence): scaled shares of the vocabulary buckets, then syntax."""
     n = len(texts)
     counts, vocabulary = np.zeros((n, 8)), np.zeros((n, VOCABULARY))
-    for ids, part in pieces(texts):
-        one = _sums(part)
-        ids_ = np.array(ids)
-        np.add.at(counts, ids_, one.counts)
-        vocabulary += np.bincount(ids_[one.doc] * VOCABULARY + one.bucket, minlength=n * VOCABULARY).reshape(n, VOCABULARY)
+    for ids, one in _summed(texts):
+        np.add.at(counts, ids, one.counts)
+        vocabulary += np.bincount(ids[one.doc] * VOCABULARY + one.bucket, minlength=n * VOCABULARY).reshape(n, VOCABULARY)
     syntax, ok = _syntax(counts)
     share = vocabulary / np.maximum(vocabulary.sum(axis=1, keepdims=True), 1)
     return np.hstack([share * 20, syntax]).astype(np.float32), ok
@@ -120,12 +145,10 @@ def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Ranker score of each text (nan without a sentence), without building the feature matrix."""
     n = len(texts)
     counts, total, number = np.zeros((n, 8)), np.zeros(n), np.zeros(n)
-    for ids, part in pieces(texts):
-        one = _sums(part)
-        ids_ = np.array(ids)
-        np.add.at(counts, ids_, one.counts)
-        total += np.bincount(ids_[one.doc], weights=weights[one.bucket], minlength=n)
-        number += np.bincount(ids_[one.doc], minlength=n)
+    for ids, one in _summed(texts):
+        np.add.at(counts, ids, one.counts)
+        total += np.bincount(ids[one.doc], weights=weights[one.bucket], minlength=n)
+        number += np.bincount(ids[one.doc], minlength=n)
     syntax, ok = _syntax(counts)
     return np.where(ok, total / np.maximum(number, 1) * 20 + syntax @ weights[VOCABULARY:], np.nan)
 

@@ -245,3 +245,15 @@ def test_scores_equal_the_matrix():
     x, ok = rl.features(texts)
     assert np.allclose(rl.scores(texts, w)[ok], x[ok] @ w, atol=1e-4) and list(ok) == [True, True, False]
     assert pd.isna(rl.scores(texts, w)[2])
+
+
+def test_level_of_a_long_text_does_not_depend_on_its_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = "".join(f"第{k}条 本集团于{k % 97}年确认 the reserve of {k}.5%。" + ("\n" if k % 5 == 0 else "") for k in range(3000))
+    weights = rng.normal(size=rl.VOCABULARY + rl.SYNTAX)
+    whole, matrix = rl.scores(["短句子在此。", text, ""], weights), rl.features(["短句子在此。", text, ""])[0]
+    cut = pieces
+    for most in (1000, 7777):
+        monkeypatch.setattr(rl, "pieces", lambda texts: cut(texts, most))
+        assert np.allclose(rl.scores(["短句子在此。", text, ""], weights), whole, rtol=1e-12, equal_nan=True)
+        assert np.allclose(rl.features(["短句子在此。", text, ""])[0], matrix)
