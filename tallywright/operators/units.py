@@ -42,99 +42,200 @@ MULTIPLIERS = {
 }
 # Characters folded before the lexicon is applied.
 FOLD = str.maketrans({"萬": "万", "億": "亿", "圓": "元", "圆": "元", "’": "'", "‘": "'", "幣": "币", "單": "单", "－": "-"})
-PER = ("/", "每")
+PER = ("/", "每", "per")
+# Words around a unit expression that state nothing.
+FILLERS = ("金额单位", "计量单位", "货币单位", "单位", "币种", "均为", "为", "in", "of", "amounts", "amount", "currency", "unit:", "expressed", "stated")
+#: Signs that may stand anywhere in a unit expression.
+SIGNS = re.compile(r"[\s:：()（）\[\]【】,，.。;；*·]+")
 
 
-def _lexicon() -> re.Pattern:
-    words = [*CURRENCIES, *UNITS, *MULTIPLIERS, *PER]
-    parts = []
-    for w in sorted(words, key=lambda w: (-len(w), w)):
-        latin = re.fullmatch(r"[a-z ]+", w)
-        parts.append(rf"(?<![a-z]){re.escape(w)}(?![a-z])" if latin else re.escape(w))
-    return re.compile("|".join([*parts, r"\d+(?:\.\d+)?", r"\^-?\d+"]))
+def _pattern(words) -> str:
+    """Longest word first; a word of letters does not begin or end inside another."""
+    return "|".join(rf"(?<![a-z]){re.escape(w)}(?![a-z])" if re.fullmatch(r"[a-z ]+", w) else re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
-_LEXICON = _lexicon()
+_TOKEN = re.compile("|".join([_pattern([*CURRENCIES, *UNITS, *MULTIPLIERS, *PER]), r"\d+(?:\.\d+)?", r"\^-?\d+"]))
+_FILLER = re.compile(_pattern(FILLERS))
+_BLANK = re.compile(r"\s*")
 
 
-def parse_unit_text(text: str | None) -> dict | None:
-    """Read a unit expression or a sentence that contains one.
+class UnreadableUnit(ValueError):
+    """A text that states something, but no unit expression."""
+
+
+def _expression(tokens: list[str]) -> dict | None:
+    """Meaning of the tokens of one expression; None where they state nothing (numbers only).
 
-    expression := factor ((blank | PER) factor)*;  factor := number | multiplier | currency | unit [^exponent].
-    Returns scale, offset, currency and the exponent vector; None where nothing is stated
-    (null, blank, dashes, words outside the lexicon).
+    expression := product [PER product];  product := factor+;  factor := [number] multiplier | currency | unit [^exponent].
+    Two different currencies, an exponent without a unit, or a number that multiplies nothing are no expression.
     """
-    if text is None or not isinstance(text, str):
-        return None
-    folded = unicodedata.normalize("NFKC", text).translate(FOLD).lower()
-    scale, offset, currency, stated = 1.0, 0.0, None, False
+    scale, offset, currency, sign, stated = 1.0, 0.0, None, 1, False
     exponents = [0] * len(DIMENSIONS)
-    sign, last = 1, None
-    number_open = 1.0
-    for token in (m.group() for m in _LEXICON.finditer(folded)):
+    number, last = None, None
+    for token in tokens:
         if token in PER:
-            sign = -1
-            continue
-        if token[0] == "^":
-            if last is not None:
-                dim, unit_scale, s = last
-                power = int(token[1:])
-                exponents[dim] += s * (power - 1)
-                scale *= unit_scale ** (s * (power - 1))
-            continue
-        if token[0].isdigit():
-            number_open = float(token)
-            continue
-        stated = True
-        if token in MULTIPLIERS:
-            scale *= (MULTIPLIERS[token] * number_open) ** sign
-            number_open = 1.0
+            if sign < 0:
+                raise UnreadableUnit(token)
+            sign, last = -1, None
+        elif token[0] == "^":
+            if last is None:
+                raise UnreadableUnit(token)
+            dim, unit_scale = last
+            power = int(token[1:])
+            exponents[dim] += sign * (power - 1)
+            scale *= unit_scale ** (sign * (power - 1))
+            last = None
+        elif token[0].isdigit():
+            number = float(token)
+        elif token in MULTIPLIERS:
+            scale *= (MULTIPLIERS[token] * (1.0 if number is None else number)) ** sign
+            stated, number, last = True, None, None
         elif token in CURRENCIES:
-            currency = currency or CURRENCIES[token]
+            if currency not in (None, CURRENCIES[token]):
+                raise UnreadableUnit(token)
+            currency, stated, last = CURRENCIES[token], True, None
         else:
-            dim_name, unit_scale, unit_offset = UNITS[token]
-            dim = DIMENSIONS.index(dim_name)
+            name, unit_scale, unit_offset = UNITS[token]
+            dim = DIMENSIONS.index(name)
             exponents[dim] += sign
             scale *= unit_scale**sign
-            offset = unit_offset if sign > 0 else offset
-            last = (dim, unit_scale, sign)
+            offset += unit_offset
+            stated, last = True, (dim, unit_scale)
     if not stated:
         return None
     if not any(exponents):  # a bare multiplier or currency counts money
         exponents[0] = 1
-    return {"scale": scale, "offset": offset, "currency": currency, "dims": exponents}
+    if offset and (sum(map(abs, exponents)) != 1 or max(exponents) != 1):
+        offset = 0.0  # a shifted scale has its zero only where it stands alone
+    bare = all(t in MULTIPLIERS and not t.isascii() or t[0].isdigit() for t in tokens)
+    return {"scale": scale, "offset": offset, "currency": currency, "dims": exponents, "only_currency": all(t in CURRENCIES for t in tokens), "bare": bare}
+
+
+def _folded(text: str) -> str:
+    return unicodedata.normalize("NFKC", text).translate(FOLD).lower()
+
+
+def _result(meaning: dict | None) -> dict | None:
+    return meaning and {k: meaning[k] for k in ("scale", "offset", "currency", "dims")}
+
+
+def parse_unit_expression(text: str | None) -> dict | None:
+    """Meaning of a unit field: the whole text must be one expression, with FILLERS and SIGNS between its parts.
+
+    Returns scale, offset, currency and the exponent vector; None where nothing is stated (null, blank, dashes). Other text raises UnreadableUnit.
+    """
+    if text is None or not isinstance(text, str):
+        return None
+    folded, tokens, at = _folded(text), [], 0
+    while at < len(folded):
+        for pattern in (_TOKEN, _FILLER, SIGNS):
+            m = pattern.match(folded, at)
+            if m:
+                if pattern is _TOKEN:
+                    tokens.append(m.group())
+                at = m.end()
+                break
+        else:
+            if folded[at] not in "-—–'/\"_":
+                raise UnreadableUnit(text)
+            at += 1
+    return _result(_expression(tokens))
+
+
+def parse_unit_sentence(text: str | None) -> dict | None:
+    """Meaning of a sentence that states a unit somewhere: words and expressions in any order.
+
+    Expressions are the runs of tokens with nothing but blanks between them. One that names a currency alone and one that names a scale alone go
+    together; expressions of different meaning cancel each other (None), as does an expression that is none. A numeral of ideographs alone
+    (十, 万) counts only where no expression states more. None also where nothing is stated.
+    """
+    if text is None or not isinstance(text, str):
+        return None
+    folded, runs, end = _folded(text), [], -1
+    for m in _TOKEN.finditer(folded):
+        if runs and _BLANK.fullmatch(folded, end, m.start()):
+            runs[-1].append(m.group())
+        else:
+            runs.append([m.group()])
+        end = m.end()
+    runs = [r for r in runs if not (len(r) == 1 and re.fullmatch("[a-z]", r[0]))]  # a letter alone is a word of the sentence
+    try:
+        found = [x for x in map(_expression, runs) if x]
+    except UnreadableUnit:
+        return None
+    found = [x for x in found if not x["bare"]] or found
+    scales = {(x["scale"], x["offset"], tuple(x["dims"])) for x in found if not x["only_currency"]}
+    currencies = {x["currency"] for x in found if x["currency"]}
+    if not found or len(scales) > 1 or len(currencies) > 1:
+        return None
+    scale, offset, dims = next(iter(scales), (1.0, 0.0, tuple(found[0]["dims"])))
+    return {"scale": scale, "offset": offset, "currency": next(iter(currencies), None), "dims": list(dims)}
+
+
+def _readable(text: str | None) -> dict | None:
+    """parse_unit_expression, None where the text cannot be read."""
+    try:
+        return parse_unit_expression(text)
+    except UnreadableUnit:
+        return None
+
+
+def parse_unit_text(text: str | None) -> dict | None:
+    """Meaning of a text that is a unit expression or a sentence with one; None for other texts."""
+    try:
+        return parse_unit_expression(text)
+    except UnreadableUnit:
+        return parse_unit_sentence(text)
 
 
 UNIT_TYPE = T.StructType().add("scale", "double").add("offset", "double").add("currency", "string").add("dims", T.ArrayType(T.IntegerType()))
 
 
-@F.pandas_udf(UNIT_TYPE)
-def parse_unit(text: pd.Series) -> pd.DataFrame:
-    """Column form of parse_unit_text; each distinct text of an Arrow batch is parsed once."""
-    memo = {t: parse_unit_text(t) for t in text.dropna().unique()}
-    empty = {"scale": None, "offset": None, "currency": None, "dims": None}
-    rows = [memo.get(t) or empty for t in text.where(text.notna(), None)]
-    return pd.DataFrame(rows, columns=list(empty))
+def _column(parser):
+    @F.pandas_udf(UNIT_TYPE)
+    def parse(text: pd.Series) -> pd.DataFrame:
+        memo = {t: parser(t) for t in text.dropna().unique()}  # each distinct text of an Arrow batch is parsed once
+        empty = {"scale": None, "offset": None, "currency": None, "dims": None}
+        rows = [memo.get(t) or empty for t in text.where(text.notna(), None)]
+        return pd.DataFrame(rows, columns=list(empty))
+
+    return parse
+
 
+#: Column forms of the two parsers; null where nothing is stated or the text cannot be read.
+parse_unit, parse_sentence = _column(_readable), _column(parse_unit_sentence)
 
-_OWN_TYPE = T.StructType().add("scale", "double").add("offset", "double").add("currency", "string").add("ratio", "boolean")
+_OWN_TYPE = T.StructType().add("scale", "double").add("offset", "double").add("currency", "string").add("dims", T.ArrayType(T.IntegerType())).add("state", "string")
 
 
 @F.pandas_udf(_OWN_TYPE)
 def _parse_pair(unit: pd.Series, currency: pd.Series) -> pd.DataFrame:
-    """Unit and currency fields of one row, read together (currency: own field first, then the unit)."""
-    units = {t: parse_unit_text(t) for t in unit.dropna().unique()}
-    moneys = {t: parse_unit_text(t) for t in currency.dropna().unique()}
+    """Unit and currency fields of one row, read together (currency: own field first, then the unit); state: STATED, NOT_STATED or UNREADABLE."""
+
+    def read(t: str) -> tuple[dict | None, str]:
+        try:
+            meaning = parse_unit_expression(t)
+        except UnreadableUnit:
+            return None, "UNREADABLE"
+        return meaning, "STATED" if meaning else "NOT_STATED"
+
+    units = {t: read(t) for t in unit.dropna().unique()}
+    moneys = {t: _readable(t) for t in currency.dropna().unique()}
     out = []
     for u, c in zip(unit, currency):
-        p = units.get(u) if isinstance(u, str) else None
+        p, state = units[u] if isinstance(u, str) else (None, "NOT_STATED")
         q = moneys.get(c) if isinstance(c, str) else None
-        cur = (q or {}).get("currency") or (p or {}).get("currency")
-        if p is None:
-            out.append((None, None, cur, None))
-        else:
-            out.append((p["scale"], p["offset"], cur, p["dims"][1] == 1))
-    return pd.DataFrame(out, columns=["scale", "offset", "currency", "ratio"])
+        p, q = p or {}, q or {}
+        out.append((p.get("scale"), p.get("offset"), q.get("currency") or p.get("currency"), p.get("dims"), state))
+    return pd.DataFrame(out, columns=_OWN_TYPE.names)
+
+
+#: Exponent vectors that a measure must have; other measures take any.
+EXPECTED = {"AMOUNT": "money", "RATIO": "ratio"}
+
+
+def _vector(name: str) -> Column:
+    return F.array(*(F.lit(int(d == name)) for d in DIMENSIONS))
 
 
 def declarations_in_force(contexts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -144,13 +245,13 @@ def declarations_in_force(contexts: DataFrame, pages: DataFrame) -> DataFrame:
     declaring pages and carries values forward in one window per pdf; ``pages`` is distinct, so a window holds
     pages of one document, never observations.
     """
-    unit, text = parse_unit(F.col("unit")), parse_unit(F.col("unit_source_text"))
+    unit, text = parse_unit(F.col("unit")), parse_sentence(F.col("unit_source_text"))
     declared = (
         contexts.select("pdf_id", "page", unit.alias("u"), text.alias("t"), parse_unit(F.col("currency")).alias("c"))
         .select(
             "pdf_id",
             "page",
-            F.coalesce(F.when(F.col("u.dims")[0] == 1, F.col("u.scale")), F.when(F.col("t.dims")[0] == 1, F.col("t.scale"))).alias("d_scale"),
+            F.coalesce(F.when(F.col("u.dims") == _vector("money"), F.col("u.scale")), F.when(F.col("t.dims") == _vector("money"), F.col("t.scale"))).alias("d_scale"),
             F.coalesce("c.currency", "u.currency", "t.currency").alias("d_currency"),
         )
         .where("pdf_id IS NOT NULL AND page IS NOT NULL AND (d_scale IS NOT NULL OR d_currency IS NOT NULL)")
@@ -166,11 +267,12 @@ def declarations_in_force(contexts: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def to_common_units(observations: DataFrame, segments: DataFrame, contexts: DataFrame, fx: DataFrame) -> DataFrame:
-    """Value of every observation in its common unit: CNY yuan for AMOUNT, plain ratio for RATIO.
+    """Value of every observation in its common unit: CNY yuan for AMOUNT, plain ratio for RATIO, the base units of its dimension for other measures.
 
-    Scale: own unit, segment unit, declaration in force. Currency: own currency, own unit, segment unit,
-    declaration, else CNY. Rows whose scale is nowhere stated, whose value is null or NaN or whose rate is unknown get a null
-    ``common_value`` and a ``unit_status`` that says why; no row is dropped, repeated rows stay repeated.
+    Scale: own unit, segment unit, declaration in force (the latter two state money only). Currency: own currency, own unit, segment unit,
+    declaration, else CNY. The common value is value x scale + offset, for money x rate. It is null, and ``unit_status`` says why, where the value is null or NaN
+    (NO_VALUE), the own unit cannot be read (UNREADABLE_UNIT) or is of another dimension than the measure (WRONG_DIMENSION), no scale is stated
+    (NO_SCALE) or the rate is unknown (NO_RATE). No row is dropped, repeated rows stay repeated.
     Output: observation_id, source_key, measure, value, scale, currency, common_value, unit_status.
     """
     obs = observations.select(
@@ -181,7 +283,7 @@ def to_common_units(observations: DataFrame, segments: DataFrame, contexts: Data
     seg = (
         segments.where("segment_id IS NOT NULL AND unit IS NOT NULL")
         .select(F.col("segment_id").alias("physical_segment_id"), parse_unit(F.col("unit")).alias("s"))
-        .where("s.dims[0] = 1")
+        .where(F.col("s.dims") == _vector("money"))
         .groupBy("physical_segment_id")
         .agg(F.max("s.scale").alias("s_scale"), F.max("s.currency").alias("s_currency"))
     )
@@ -189,20 +291,25 @@ def to_common_units(observations: DataFrame, segments: DataFrame, contexts: Data
     decl = declarations_in_force(contexts, pages).withColumnRenamed("pdf_id", "source_pdf")
     rates = fx.groupBy("currency", "rate_year").agg(F.max("cny_per_unit").alias("rate"))
     joined = obs.join(seg, "physical_segment_id", "left").join(decl, ["source_pdf", "page"], "left")
-    is_ratio = F.col("measure") == "RATIO"
+    stated, readable = F.col("own.state") == "STATED", F.col("own.state") != "UNREADABLE"
+    expected = F.when(F.col("measure") == "AMOUNT", _vector("money")).when(F.col("measure") == "RATIO", _vector("ratio"))
+    fits = expected.isNull() | (F.col("own.dims") == expected)
+    elsewhere = F.when(F.col("measure") == "AMOUNT", F.coalesce("s_scale", "d_scale"))
+    is_money = F.coalesce(F.when(F.col("measure") == "AMOUNT", True).when(stated, F.col("own.dims") == _vector("money")), F.lit(False))
     staged = joined.select(
         "observation_id", "source_key", "measure", "value", "rate_year",
-        F.when(is_ratio, F.when(F.col("own.ratio"), F.col("own.scale")))
-        .otherwise(F.coalesce(F.when(~F.col("own.ratio"), F.col("own.scale")), F.col("s_scale"), F.col("d_scale"))).alias("scale"),
-        F.when(is_ratio, F.lit(None)).otherwise(F.coalesce("own.currency", "s_currency", "d_currency", F.lit("CNY"))).alias("currency"),
+        F.when(stated, F.when(fits, F.col("own.scale"))).when(readable, elsewhere).alias("scale"), F.when(stated & fits, F.col("own.offset")).otherwise(0.0).alias("offset"),
+        F.when(is_money, F.coalesce("own.currency", "s_currency", "d_currency", F.lit("CNY"))).alias("currency"), readable.alias("readable"), (stated & ~fits).alias("misfit"),
     )
     rated = staged.join(rates, ["currency", "rate_year"], "left")
-    factor = F.when(is_ratio, F.lit(1.0)).when(F.col("currency") == "CNY", F.lit(1.0)).otherwise(F.col("rate"))
-    return rated.select(
-        "observation_id", "source_key", "measure", "value", "scale", "currency",
-        (F.col("value") * F.col("scale") * factor).alias("common_value"),
-        F.when(F.col("value").isNull(), "NO_VALUE").when(F.col("scale").isNull(), "NO_SCALE").when(factor.isNull(), "NO_RATE").otherwise("CONVERTED").alias("unit_status"),
+    factor = F.when(F.col("currency").isNull() | (F.col("currency") == "CNY"), F.lit(1.0)).otherwise(F.col("rate"))
+    status = (
+        F.when(F.col("value").isNull(), "NO_VALUE").when(~F.col("readable"), "UNREADABLE_UNIT").when(F.col("misfit"), "WRONG_DIMENSION")
+        .when(F.col("scale").isNull(), "NO_SCALE").when(factor.isNull(), "NO_RATE").otherwise("CONVERTED")
     )
+    return rated.select(
+        "observation_id", "source_key", "measure", "value", "scale", "currency", ((F.col("value") * F.col("scale") + F.col("offset")) * factor).alias("common_value"), status.alias("unit_status")
+    )
 
 
 def _bucket(value: Column, tolerance: float) -> Column:

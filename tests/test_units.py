@@ -67,3 +67,26 @@ def test_empty_and_extra_columns(rows):
     assert units.found_agreements(empty, rows(SEG), rows(CTX), rows(FX)).count() == 0
     two = rows(extra, ("a", "k", "RATIO", None, None, None, None, 5.0, "%", None, "x", "y", 1), ("b", "k", "RATIO", None, None, None, None, 50.0, "‰", None, "x", "y", 1), ("c", None, "RATIO", None, None, None, None, 5.0, "%", None, "x", "y", 1))
     assert [tuple(r) for r in units.found_agreements(two, rows(SEG), rows(CTX), rows(FX)).collect()] == [("a", "b")]
+
+
+@pytest.mark.parametrize("text", ["无", "Tables", "foo 万元", "万元 bar", "RMB HKD", "人民币/港币万元", "^2", "m/s/h"])
+def test_unit_fields_are_rejected(text):
+    with pytest.raises(units.UnreadableUnit):
+        units.parse_unit_expression(text)
+
+
+def test_sentences():
+    assert units.parse_unit_sentence("截至十二月三十一日，金额单位：元")["scale"] == 1
+    assert units.parse_unit_sentence("币种：人民币；单位：万元") == {"scale": 1e4, "offset": 0.0, "currency": "CNY", "dims": [1, 0, 0, 0, 0, 0]}
+    assert units.parse_unit_sentence("金额以万元列示，每股收益以元列示") is None  # two meanings
+    assert units.parse_unit_sentence("人民币万元或港币") is None and units.parse_unit_sentence("nothing here") is None and units.parse_unit_sentence("RMB million, see table x")["scale"] == 1e6 and units.parse_unit_sentence("以万列示")["scale"] == 1e4
+
+
+def test_dimensions_and_offsets(rows):
+    obs = rows(OBS, ("kg", "k", "AMOUNT", None, None, None, "2020", 5.0, "kg", None), ("c", "k", "TEMPERATURE", None, None, None, None, 20.0, "°C", None), ("f", "k", "TEMPERATURE", None, None, None, None, 68.0, "°F", None),
+               ("v", "k", "SPEED", None, None, None, None, 36.0, "km/h", None), ("r", "k", "RATIO", None, None, None, None, 5.0, "元", None), ("u", "k", "AMOUNT", None, None, None, None, 5.0, "see note", None), ("p", "k", "MASS", None, None, None, None, 2.0, "thousand kg", None),
+               ("n", "k", "MASS", None, None, None, None, 2.0, None, None), ("y", "k", None, None, None, None, "2020", 2.0, "HK$ million", None))
+    got = {r.observation_id: r for r in units.to_common_units(obs, rows(SEG), rows(CTX), rows(FX, ("HKD", "2020", 0.8))).collect()}
+    assert got["kg"].unit_status == "WRONG_DIMENSION" and got["kg"].common_value is None and got["r"].unit_status == "WRONG_DIMENSION" and got["u"].unit_status == "UNREADABLE_UNIT"
+    assert got["c"].common_value == pytest.approx(293.15) and got["f"].common_value == pytest.approx(293.15) and got["v"].common_value == pytest.approx(10.0)
+    assert got["p"].common_value == 2000 and got["n"].unit_status == "NO_SCALE" and got["y"].common_value == pytest.approx(1.6e6) and got["c"].currency is None
