@@ -7,7 +7,7 @@ import sys
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,13 @@ RADICALS = (
 KEPT_KINDS = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
 #: Invisible characters that the categories Cf and Cc do not cover.
 EXTRA_HIDDEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
-#: Texts made only of these need no look-up.
-PLAIN = r"^[ -~\x{4E00}-\x{9FFF}]*$"
+#: Texts made only of these need no look-up: ASCII, common ideographs, Hangul syllables.
+PLAIN = r"^[ -~\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]*$"
+#: Signs that may combine with the one before them or be reordered: marks, conjoining jamo, half-width sound marks.
+COMBINING = r"[\p{M}\x{1100}-\x{11FF}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{FF9E}\x{FF9F}]"
+# Numbers of leading consonants, vowels and final consonants of Hangul (the last with the empty one), and their first characters.
+HANGUL_L, HANGUL_V, HANGUL_T = 19, 21, 28
+FIRST_L, FIRST_V, FIRST_T, FIRST_SYLLABLE = 0x1100, 0x1161, 0x11A7, 0xAC00
 
 
 @functools.cache
@@ -52,7 +57,7 @@ def _shapes() -> dict[str, str]:
 def _decompose(ch: str) -> str:
     """Full decomposition of one character without the kinds that change its look."""
     raw = unicodedata.decomposition(ch)
-    if not raw:
+    if not raw or 0x3131 <= ord(ch) <= 0x318E:  # letters of Hangul that stand alone do not look like parts of a syllable
         return ch
     parts = raw.split()
     if parts[0].startswith("<"):
@@ -86,6 +91,19 @@ def mapping_entries() -> tuple[tuple[str, tuple[tuple[str, int], ...]], ...]:
     return tuple(out)
 
 
+@functools.cache
+def compositions() -> dict[str, str]:
+    """Two characters that compose -> the character they compose to, from the Unicode database; Hangul follows from its numbers instead."""
+    out = {}
+    for cp in range(0xC0, sys.maxunicode + 1):
+        raw = unicodedata.decomposition(chr(cp)) if not 0xAC00 <= cp <= 0xD7A3 else ""
+        if raw and not raw.startswith("<") and " " in raw:
+            pair = "".join(chr(int(p, 16)) for p in raw.split())
+            if unicodedata.normalize("NFC", pair) == chr(cp):  # excluded ones do not compose
+                out[pair] = chr(cp)
+    return out
+
+
 _PIECES = T.ArrayType(T.StructType().add("ch", "string", False).add("ccc", "integer", False), False)
 
 
@@ -99,56 +117,102 @@ def mapping_table(spark: SparkSession) -> DataFrame:
     """
     app = spark.sparkContext.applicationId
     if app not in _SAVED or not Workspace.holds(_SAVED[app]):
-        _SAVED.clear()
         _SAVED[app] = Workspace(spark, "lookalikes").save(_mapping_rows(spark).coalesce(1))
     return _SAVED[app]
 
 
 def _mapping_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame({"ch": [c for c, _ in mapping_entries()], "pieces": [[{"ch": a, "ccc": b} for a, b in p] for _, p in mapping_entries()]}), T.StructType().add("ch", "string").add("pieces", _PIECES))
+    entries = mapping_entries()
+    rows = pd.DataFrame(
+        {
+            "ch": [c for c, _ in entries],
+            "pieces": [[{"ch": a, "ccc": b} for a, b in p] for _, p in entries],
+            "whole": [unicodedata.normalize("NFC", "".join(a for a, _ in p)) for _, p in entries],
+        }
+    )
+    return spark.createDataFrame(rows, T.StructType().add("ch", "string").add("pieces", _PIECES).add("whole", "string"))
+
+
+def _code(x: Column) -> Column:
+    return F.ascii(x)
+
+
+def _character(code: Column) -> Column:
+    """The character of the basic plane with this number."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+
 
+def _hangul(starter: Column, ch: Column) -> Column:
+    """Syllable of a leading consonant and a vowel, or of a syllable without final consonant and one; else null."""
+    a, b = _code(starter), _code(ch)
+    lead = a.between(FIRST_L, FIRST_L + HANGUL_L - 1) & b.between(FIRST_V, FIRST_V + HANGUL_V - 1)
+    tail = a.between(FIRST_SYLLABLE, FIRST_SYLLABLE + HANGUL_L * HANGUL_V * HANGUL_T - 1) & ((a - FIRST_SYLLABLE) % HANGUL_T == 0) & b.between(FIRST_T + 1, FIRST_T + HANGUL_T - 1)
+    return F.when(lead, _character(((a - FIRST_L) * HANGUL_V + (b - FIRST_V)) * HANGUL_T + FIRST_SYLLABLE)).when(tail, _character(a + b - FIRST_T))
 
-@F.pandas_udf(T.StringType())
-def _recompose(segment: pd.Series) -> pd.Series:
-    """Canonical composition of a starter with its ordered marks."""
-    return segment.map(lambda s: unicodedata.normalize("NFC", s))
+
+def _composed(pieces: Column, table: Column) -> Column:
+    """Canonical composition of one stretch: ``pieces`` are its characters with their classes in order, ``table`` the compositions.
+
+    A character composes with the starter unless one between them has its class or a greater one, or is a starter itself. What does not compose stays
+    behind the starter; a starter that does not compose begins anew.
+    """
+    text = lambda s: F.concat(s["done"], s["starter"], s["rest"])
+
+    def step(state: Column, piece: Column) -> Column:
+        free = (state["rest"] == "") | ((state["ccc"] < piece["ccc"]) & (state["ccc"] > 0))
+        pair = F.when(free, F.coalesce(F.try_element_at(table, F.concat(state["starter"], piece["ch"])), _hangul(state["starter"], piece["ch"])))
+        new = lambda done, starter, rest, ccc: F.struct(done.alias("done"), starter.alias("starter"), rest.alias("rest"), ccc.alias("ccc"))
+        return (
+            F.when(pair.isNotNull(), new(state["done"], pair, state["rest"], state["ccc"]))
+            .when(piece["ccc"] == 0, new(text(state), piece["ch"], F.lit(""), F.lit(0)))
+            .otherwise(new(state["done"], state["starter"], F.concat(state["rest"], piece["ch"]), piece["ccc"]))
+        )
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("starter"), F.lit("").alias("rest"), F.lit(0).alias("ccc"))
+    return F.aggregate(pieces, start, step, text)
 
 
 def canonical_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     """Distinct non-null texts of ``column`` with their canonical form: (text, canonical).
 
-    Texts of plain ASCII and common ideographs only have their blanks squeezed. All others are exploded to positioned
-    code points, which meet the broadcast mapping; marks are ordered by combining class inside their segment (a starter
-    and what follows it), segments with marks are recomposed and the text is rebuilt in position order. Runs of blanks
-    become one, blanks at the ends go. Empty text and text of hidden characters only give ''. All regrouping is by text, so it needs one shuffle.
+    Plain texts only have their blanks squeezed. All others are exploded to positioned code points, which meet the broadcast mapping, and are rebuilt in
+    position order: one shuffle by text. Texts with signs that combine are cut into stretches first: marks are ordered by combining class behind
+    their starter, stretches of more than one character are recomposed with the broadcast composition table, and the text is put together again.
+    Runs of blanks become one, blanks at the ends go. Empty text and text of hidden characters only give ''.
     """
     spark = texts.sparkSession
     distinct = texts.select(F.col(column).alias("text")).where("text IS NOT NULL").distinct()
     plain = distinct.where(F.col("text").rlike(PLAIN)).select("text", F.col("text").alias("canonical"))
-    key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("#"), "text").alias("k2")]
-    other = distinct.where(~F.col("text").rlike(PLAIN))
-    points = other.select(*key, F.posexplode(F.split("text", "")).alias("pos", "ch")).join(F.broadcast(mapping_table(spark)), "ch", "left")
-    pieces = points.select("k1", "k2", "pos", F.posexplode(F.coalesce("pieces", F.array(F.struct(F.col("ch"), F.lit(0).alias("ccc"))))).alias("sub", "piece"))
-    segment = F.sum((F.col("piece.ccc") == 0).cast("int")).over(_by_text().orderBy("pos", "sub"))
-    ordered = (
-        pieces.select("k1", "k2", "pos", "sub", "piece", segment.alias("seg"))
-        .groupBy("k1", "k2", "seg")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("piece.ccc").alias("ccc"), "pos", "sub", F.col("piece.ch").alias("ch")))).alias("cs"))
-        .select("k1", "k2", "seg", F.size("cs").alias("n"), F.array_join(F.col("cs.ch"), "").alias("s"))
-    )
-    rebuilt = (
-        ordered.withColumn("s", F.when(F.col("n") > 1, _recompose(F.when(F.col("n") > 1, F.col("s")).otherwise(F.lit("")))).otherwise(F.col("s")))
-        .groupBy("k1", "k2")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "s"))), lambda x: x["s"]), "").alias("canonical"))
-    )
-    complex_ = other.select("text", *key).join(rebuilt, ["k1", "k2"], "left").select("text", F.coalesce("canonical", F.lit("")).alias("canonical"))
+    other = distinct.where(~F.col("text").rlike(PLAIN)).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("#"), "text")).withColumn("combining", F.col("text").rlike(COMBINING))
+    table = F.broadcast(mapping_table(spark))
+
+    def points(x: DataFrame) -> DataFrame:
+        return x.select("k1", "k2", F.posexplode(F.split("text", "")).alias("pos", "ch")).join(table, "ch", "left")
+
+    def rebuilt(x: DataFrame, order: str, piece: str) -> DataFrame:
+        sorted_ = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(piece).alias("p"))))
+        return x.groupBy("k1", "k2").agg(F.array_join(F.transform(sorted_, lambda v: v["p"]), "").alias("canonical"))
+
+    simple = rebuilt(points(other.where("NOT combining")).withColumn("whole", F.coalesce("whole", "ch")), "pos", "whole")
+    pieces = points(other.where("combining")).select("k1", "k2", "pos", F.posexplode(F.coalesce("pieces", F.array(F.struct(F.col("ch"), F.lit(0).alias("ccc"))))).alias("sub", "p"))
+    by_text = Window.partitionBy("k1", "k2").orderBy("pos", "sub")
+    glued = F.col("p.ch").rlike(r"^[\p{M}\x{1160}-\x{11FF}\x{D7B0}-\x{D7FF}]")  # a starter that may compose with the one before it
+    placed = pieces.select("k1", "k2", "pos", "sub", "p", F.sum((F.col("p.ccc") == 0).cast("int")).over(by_text).alias("seg"), F.sum((~glued).cast("int")).over(by_text).alias("stretch"))
+    stretches = placed.groupBy("k1", "k2", "stretch").agg(F.sort_array(F.collect_list(F.struct("seg", F.col("p.ccc").alias("ccc"), "pos", "sub", F.col("p.ch").alias("ch")))).alias("cs"))
+    joined = stretches.join(F.broadcast(_composition_row(spark)))  # one row
+    composed = joined.select("k1", "k2", "stretch", F.when(F.size("cs") > 1, _composed(F.col("cs"), F.col("compositions"))).otherwise(F.col("cs")[0]["ch"]).alias("s"))
+    forms = simple.unionByName(rebuilt(composed, "stretch", "s"))
+    complex_ = other.select("text", "k1", "k2").join(forms, ["k1", "k2"], "left").select("text", F.coalesce("canonical", F.lit("")).alias("canonical"))
     return plain.unionByName(complex_).withColumn("canonical", F.trim(F.regexp_replace("canonical", " +", " ")))
 
 
-def _by_text():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("k1", "k2")
+def _composition_row(spark: SparkSession) -> DataFrame:
+    """The composition table (about 1,000 pairs, fixed by the Unicode database) as one map; like the mapping it is written once per application."""
+    key = spark.sparkContext.applicationId + "/compositions"
+    if key not in _SAVED or not Workspace.holds(_SAVED[key]):
+        one = spark.createDataFrame(pd.DataFrame({"compositions": [list(compositions().items())]}), T.StructType().add("compositions", T.ArrayType(T.StructType().add("pair", "string").add("ch", "string"))))
+        _SAVED[key] = Workspace(spark, "compositions").save(one.select(F.map_from_entries("compositions").alias("compositions")).coalesce(1))
+    return _SAVED[key]
 
 
 def with_canonical(records: DataFrame, column: str = "text", out: str = "canonical") -> DataFrame:

@@ -56,3 +56,24 @@ def test_hot_copies_do_not_meet(spark):
     data = [("f", "", f"r{i:04d}", "同一标题") for i in range(3000)] + [("f", "", "s", "同一‍标题")]
     df = lk.equal_looking_pairs(spark.createDataFrame(data, s))
     assert df.count() == 3000 and df.select("record_b").distinct().count() == 1
+
+
+def test_every_character_and_its_normal_forms_have_one_canonical_form(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x10000, 0x1F000)]
+    texts = {f for c in chars for f in (c, unicodedata.normalize("NFD", c), unicodedata.normalize("NFC", c))}
+    mixed = [a + b + c for a in "aoe각가ᄇはが" for b in "̣́ᅡᆨ゙" for c in "̧̣́ᆨz"]
+    texts |= {f for m in mixed for f in (m, unicodedata.normalize("NFD", m), unicodedata.normalize("NFC", m))}
+    got = {r.text: r.canonical for r in lk.canonical_texts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    wrong = [c for c in [*chars, *mixed] if len({got[c], got[unicodedata.normalize("NFD", c)], got[unicodedata.normalize("NFC", c)]}) > 1]
+    assert not wrong, [hex(ord(c[0])) for c in wrong[:20]]
+    assert all(unicodedata.normalize("NFC", got[m]) == got[m] for m in mixed)
+
+
+def test_hangul_in_both_forms(spark):
+    import unicodedata
+
+    words = ["보험", "책임준비금", "각", "ㄱㅏ"]
+    got = {r.text: r.canonical for r in lk.canonical_texts(spark.createDataFrame([(f,) for w in words for f in (w, unicodedata.normalize("NFD", w))], "text string")).collect()}
+    assert all(got[unicodedata.normalize("NFD", w)] == got[w] == w for w in words)
