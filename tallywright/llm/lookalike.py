@@ -180,9 +180,18 @@ def canonical_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     their starter, stretches of more than one character are recomposed with the broadcast composition table, and the text is put together again.
     Runs of blanks become one, blanks at the ends go. Empty text and text of hidden characters only give ''.
     """
-    spark = texts.sparkSession
     distinct = texts.select(F.col(column).alias("text")).where("text IS NOT NULL").distinct()
-    plain = distinct.where(F.col("text").rlike(PLAIN)).select("text", F.col("text").alias("canonical"))
+    plain = distinct.where(F.col("text").rlike(PLAIN)).select("text", _squeezed("text").alias("canonical"))
+    return plain.unionByName(_looked_up(distinct))
+
+
+def _squeezed(text: str) -> Column:
+    return F.trim(F.regexp_replace(text, " +", " "))
+
+
+def _looked_up(distinct: DataFrame) -> DataFrame:
+    """canonical_texts of those among distinct texts that are not plain."""
+    spark = distinct.sparkSession
     other = distinct.where(~F.col("text").rlike(PLAIN)).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("#"), "text")).withColumn("combining", F.col("text").rlike(COMBINING))
     table = F.broadcast(mapping_table(spark))
 
@@ -202,8 +211,7 @@ def canonical_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     joined = stretches.join(F.broadcast(_composition_row(spark)))  # one row
     composed = joined.select("k1", "k2", "stretch", F.when(F.size("cs") > 1, _composed(F.col("cs"), F.col("compositions"))).otherwise(F.col("cs")[0]["ch"]).alias("s"))
     forms = simple.unionByName(rebuilt(composed, "stretch", "s"))
-    complex_ = other.select("text", "k1", "k2").join(forms, ["k1", "k2"], "left").select("text", F.coalesce("canonical", F.lit("")).alias("canonical"))
-    return plain.unionByName(complex_).withColumn("canonical", F.trim(F.regexp_replace("canonical", " +", " ")))
+    return other.select("text", "k1", "k2").join(forms, ["k1", "k2"], "left").select("text", F.coalesce("canonical", F.lit("")).alias("canonical")).withColumn("canonical", _squeezed("canonical"))
 
 
 def _composition_row(spark: SparkSession) -> DataFrame:
@@ -218,30 +226,32 @@ def _composition_row(spark: SparkSession) -> DataFrame:
 def with_canonical(records: DataFrame, column: str = "text", out: str = "canonical") -> DataFrame:
     """``records`` with the canonical form of ``column``; null stays null. Plain texts take no part in the look-up join."""
     plain = F.col(column).isNull() | F.col(column).rlike(PLAIN)
-    simple = records.where(plain).withColumn(out, F.trim(F.regexp_replace(column, " +", " ")))
+    simple = records.where(plain).withColumn(out, _squeezed(column))
     rest = records.where(~plain)
-    forms = canonical_texts(rest, column).select(F.col("text").alias("__text"), F.col("canonical").alias(out))
+    forms = _looked_up(rest.select(F.col(column).alias("text")).distinct()).select(F.col("text").alias("__text"), F.col("canonical").alias(out))
     return simple.unionByName(rest.join(forms, F.col(column) == F.col("__text")).drop("__text"))
 
 
 def equal_looking_pairs(records: DataFrame) -> DataFrame:
     """Pairs of records that look the same but differ in characters, from (source_field, scope, record_id, text).
 
-    Records meet inside one source_field and scope. Equal texts are one class: classes of one canonical form are paired and
+    Records meet inside one source_field and scope; a scope with one text only (scope '' means the whole field) is set aside before anything is
+    exploded, which loses no pair. Equal texts are one class: classes of one canonical form are paired and
     only pairs of different texts expanded to their records, so copies of one text never meet each other. Null texts and
     texts without a visible sign take no part.
     """
     group = ["source_field", "scope", "canonical"]
-    rows = Workspace(records.sparkSession, "canonical").save(
-        with_canonical(records.where("record_id IS NOT NULL AND text IS NOT NULL")).where("canonical <> ''").select(*group, "text", "record_id")
-    )
+    usable = records.where("record_id IS NOT NULL AND text IS NOT NULL").select("source_field", "scope", "record_id", "text")
+    several = usable.where("scope <> ''").groupBy("source_field", "scope").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("source_field", "scope")
+    meeting = usable.where("scope <> ''").join(several, ["source_field", "scope"], "left_semi").unionByName(usable.where("scope = ''"))
+    meeting = Workspace(records.sparkSession, "meeting").save(meeting)  # read several times below
+    rows = Workspace(records.sparkSession, "canonical").save(with_canonical(meeting).where("canonical <> ''").select(*group, "text", "record_id").distinct())
     mixed = rows.groupBy(*group).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*group)
     kept = Workspace(records.sparkSession, "equal-looking").save(rows.join(mixed, group, "left_semi"))
     classes = kept.select(*group, "text").distinct()
     pairs = classes.withColumnRenamed("text", "text_a").join(classes.withColumnRenamed("text", "text_b"), group).where("text_a < text_b")
-    members = kept.distinct()
-    full = pairs.join(members.select(*group, F.col("text").alias("text_a"), F.col("record_id").alias("x")), [*group, "text_a"]).join(
-        members.select(*group, F.col("text").alias("text_b"), F.col("record_id").alias("y")), [*group, "text_b"]
+    full = pairs.join(kept.select(*group, F.col("text").alias("text_a"), F.col("record_id").alias("x")), [*group, "text_a"]).join(
+        kept.select(*group, F.col("text").alias("text_b"), F.col("record_id").alias("y")), [*group, "text_b"]
     )
     return full.where("x <> y").select("source_field", F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).distinct()
 
