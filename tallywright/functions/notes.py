@@ -83,3 +83,17 @@ def compose_reference(header: Column, value: Column) -> Column:
         .when(section != "", F.struct(F.concat(F.lit("附注"), section, F.lit("-"), own["ordinal"].cast("string")).alias("reference"), F.lit("COMPOSED").alias("status")))
         .otherwise(F.struct(own["ordinal"].cast("string").alias("reference"), F.lit("SECTION_UNKNOWN").alias("status")))
     )
+
+
+def note_reference_key(x: Column | str) -> Column:
+    """FN33: struct(raw, normalized, section, item, confidence): the last two numbers of a reference are section and item; 附注八-9 and 八、9 share both.
+    Without a number all but raw are empty and confidence is NONE."""
+    raw = F.trim(F.translate(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), "（）－０１２３４５６７８９", "()-0123456789"))
+    found = F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r"([一二三四五六七八九十百]+|\d+)"), 1), chinese_number), lambda n: n.isNotNull() & (n > 0))
+
+    def key(numbers: Column) -> Column:
+        item, section = F.try_element_at(numbers, F.lit(-1)), F.try_element_at(numbers, F.lit(-2))
+        shown = F.when(section.isNotNull(), F.concat(F.lit("附注"), section.cast("string"), F.lit("-"), item.cast("string"))).when(item.isNotNull(), F.concat(F.lit("附注"), item.cast("string"))).otherwise("")
+        return F.struct(raw.alias("raw"), shown.alias("normalized"), section.alias("section"), item.alias("item"), F.when(item.isNotNull(), "HIGH").otherwise("NONE").alias("confidence"))
+
+    return let(found, key)

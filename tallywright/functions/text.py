@@ -231,6 +231,51 @@ def title_match_weight(target: Column | str, heading: Column | str) -> Column:
     )
 
 
+def title_compatible(title: Column | str, query: Column | str) -> Column:
+    """FI21: whether a heading may be that of the wanted table: one contains the other, the heading with four characters at least; blank texts fit nothing."""
+    t, q = (F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\s+", "") for x in (title, query))
+    return (t != "") & (q != "") & (t.contains(q) | (q.contains(t) & (F.length(t) >= 4)))
+
+
+def scope_compatible(hint: Column, wanted: Column) -> Column:
+    """FI24: an unknown scope fits every wanted one."""
+    h = F.when(F.coalesce(hint, F.lit("")) == "", "UNKNOWN").otherwise(hint)
+    return (h == "UNKNOWN") | F.coalesce(h == wanted, F.lit(False))
+
+
+# Texts of an amount cell that state no amount.
+NO_AMOUNT = ("", "-", "—", "–", "－")
+
+
+def member_period_status(regime: Column, member_regime: Column, amount: Column, outside: Column) -> Column:
+    """FN41: state of a statement row. ``outside``: a registered member that does not stand below the explicit parent of its page."""
+    mixed, fresh, legacy, _ = REGIMES
+    raw = F.trim(F.coalesce(amount, F.lit("")))
+    stated = ~raw.isin(*NO_AMOUNT)
+    return (
+        F.when(F.coalesce(outside, F.lit(False)), "OUTSIDE_FAMILY")
+        .when((regime == mixed) & F.coalesce(member_regime == legacy, F.lit(False)) & raw.isin(*NO_AMOUNT, "N/A", "n/a"), "COMPARATIVE_ONLY_LEGACY_MEMBER")
+        .when(F.coalesce(regime.isin(fresh, mixed, legacy), F.lit(False)) & stated, "ACTIVE_CURRENT_PERIOD")
+        .otherwise("UNRESOLVED")
+    )
+
+
+def page_cache_key(mode: Column, language: Column, dpi: Column, quality: Column, native: Column, pages: Column) -> Column:
+    """FN49: 12 digits that name a configuration of page reading; ``pages``: array of page numbers read anew, in any order."""
+    parts = F.concat(mode, F.lit("_"), language, F.lit("_"), dpi.cast("string"), F.lit("_fq"), quality.cast("string"), F.lit("_mn"), F.coalesce(native.cast("string"), F.lit("na")), F.lit("_"), F.array_join(F.array_sort(pages).cast("array<string>"), "-"))
+    return F.substring(F.sha1(parts), 1, 12)
+
+
+def list_to_json(x: Column) -> Column:
+    """FN47: list column as JSON text; null as an empty list."""
+    return F.to_json(F.coalesce(x, F.array().cast("array<string>")))
+
+
+def json_to_list(x: Column) -> Column:
+    """FN47: JSON text to a list; blank and broken text to an empty one."""
+    return F.coalesce(F.from_json(x, T.ArrayType(T.StringType())), F.array().cast("array<string>"))
+
+
 def find_label(cells: Column | str, is_number) -> Column:
     """FN7: first non-blank, non-numeric cell of at most 150 characters among the first eight; struct(column, label) or null."""
     numbered = F.transform(F.slice(_c(cells), 1, 8), lambda x, i: F.struct(i.alias("column"), clean_cell(x).alias("label")))
@@ -320,3 +365,27 @@ def string_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
             memo[pair] = difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
         out.append(memo[pair])
     return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def best_similarity(label: pd.Series, names: pd.Series) -> pd.Series:
+    """FN3: greatest ratio of a label to any of several names; 0 where either side is empty. Each pair of a batch is computed once, and only
+    where its length and characters leave room for more than the best so far."""
+    memo: dict[tuple, float] = {}
+
+    def ratio(x: str, y: str, floor: float) -> float:
+        if (x, y) not in memo:
+            m = difflib.SequenceMatcher(None, x, y)
+            if m.real_quick_ratio() <= floor or m.quick_ratio() <= floor:
+                return 0.0
+            memo[x, y] = m.ratio()
+        return memo[x, y]
+
+    out = []
+    for x, ys in zip(label, names):
+        best = 0.0
+        for y in dict.fromkeys(ys if ys is not None else ()):
+            if x and y:
+                best = max(best, ratio(x, y, best))
+        out.append(best)
+    return pd.Series(out, dtype="float64")

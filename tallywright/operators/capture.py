@@ -80,7 +80,7 @@ def best_blocks(blocks: DataFrame, query: str) -> DataFrame:
 
 
 def refresh_merge(spark: SparkSession, folder: str, out: str, dims: Sequence[str] = ob.DIMENSIONS) -> dict[str, DataFrame]:
-    """GV18, SK1, SC20: a merge project once more from its stored rows and its (edited) mapping queue: mapped rows, resolved values, conflicts and coverage are
+    """GV18: a merge project once more from its stored rows and its (edited) mapping queue: mapped rows, resolved values, conflicts and coverage are
     written to ``out`` and returned. Stored datasets: raw_long and mapping_queue, as Parquet in ``folder``."""
     raw = spark.read.parquet(f"{folder}/raw_long")
     queue = spark.read.parquet(f"{folder}/mapping_queue")

@@ -40,7 +40,7 @@ def inbox_order(parity: bool = False) -> list[Column]:
 
 
 def json_key(payload: str, path: str, fallback: str) -> Column:
-    """JO16, FN45, FN47: key of a row: its own field, else one inside its JSON payload; broken JSON gives null."""
+    """JO16, FN45: key of a row: its own field, else one inside its JSON payload; broken JSON gives null."""
     return F.coalesce(F.nullif(F.trim(fallback), F.lit("")), F.get_json_object(payload, path))
 
 
@@ -58,7 +58,7 @@ def rerun_candidates(plans: DataFrame, latest: DataFrame, key: Sequence[str]) ->
 
 
 def usage(capture: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
-    """FI37, FI32, FI38, GV8: where captures are used: rows (capture_id, kind, n) over merges, bundles and flags."""
+    """FI37, GV8: where captures are used: rows (capture_id, kind, n) over merges, bundles and flags."""
     out = None
     for kind, rows in kinds.items():
         one = rows.join(capture.select("capture_id").distinct(), "capture_id", "left_semi").groupBy("capture_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
@@ -109,7 +109,7 @@ def move_noise(official: DataFrame, excluded: DataFrame, noise: DataFrame, key:
 
 
 def check_periods(rows: DataFrame) -> DataFrame:
-    """PR10, PR11: the rows, once no relative period is left; otherwise the action fails and names the label."""
+    """PR10: the rows, once no relative period is left; otherwise the action fails and names the label."""
     from tallywright.functions.periods import relative_kind
 
     bad = relative_kind("data_year").isNotNull()
@@ -140,13 +140,13 @@ def join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def batch_long(results: DataFrame) -> DataFrame:
-    """PR21, PR24-PR26: machine results with their effective year: the value's own, else the document's, and which one it was."""
+    """PR21, PR25, PR26: machine results with their effective year: the value's own, else the document's, and which one it was."""
     own, doc = F.nullif(F.regexp_extract(identity_text("value_year"), r"(20\d{2})", 1), F.lit("")), F.nullif(F.regexp_extract(identity_text("document_year"), r"(20\d{2})", 1), F.lit(""))
     return results.withColumn("effective_year", F.coalesce(own, doc)).withColumn("year_source", F.when(own.isNotNull(), "table_header").otherwise("document_fallback")).withColumn("company", F.coalesce(F.nullif(identity_text("company"), F.lit("")), F.lit("UNKNOWN")))
 
 
 def metric_candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
-    """SO11, SO12, RK21, UD4: best metrics of each query by 0.8 x similarity of the closest name and 0.2 x keyword share: (query, metric_id, score, place).
+    """SO11: best metrics of each query by 0.8 x similarity of the closest name and 0.2 x keyword share: (query, metric_id, score, place).
     Queries are distinct texts; ``terms`` (metric_id, term, weight) is the fixed rulebook, so every query meets every term in one pass over a broadcast list."""
     q = queries.select("query").where("query IS NOT NULL").distinct()
     pairs = q.join(F.broadcast(terms))  # the rulebook: a few hundred terms
@@ -158,7 +158,7 @@ def metric_candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataF
 
 
 def candidate_order() -> list[Column]:
-    """SO4, RK7: order of candidates: match class, evidence, arbitration, source quality, has values, score, number of values, then the earlier page."""
+    """SO4: order of candidates: match class, evidence, arbitration, source quality, has values, score, number of values, then the earlier page."""
     return [*(F.col(c).desc() for c in ("match_class", "evidence_quality", "arbitration", "source_quality", "has_values", "score", "n_values")), F.col("page").asc()]
 
 
@@ -175,7 +175,7 @@ def recover_values(rows: DataFrame, part: Sequence[str] = ("page_id",)) -> DataF
 
 
 def nearest_section_parent(rows: DataFrame) -> DataFrame:
-    """WI19, HI3, RE5: parent of a row is the nearest earlier row whose label is its section; rows: capture_id, row_order, label, parent_section.
+    """WI19: parent of a row is the nearest earlier row whose label is its section; rows: capture_id, row_order, label, parent_section.
     Each row meets only rows of that label, and the running maximum is taken in one window over both."""
     label = rows.select("capture_id", "row_order", F.col("label").alias("name"), F.lit(0).alias("asks"))
     ask = rows.where(identity_text("parent_section") != "").select("capture_id", "row_order", F.col("parent_section").alias("name"), F.lit(1).alias("asks"))
@@ -252,7 +252,7 @@ def numeric_parents(rows: DataFrame, least: float = 6.0, most: float = 72.0) ->
 
 
 def segment_class(segments: DataFrame) -> DataFrame:
-    """HI12, HI13: class of each piece from its predecessor in the capture: PRIMARY first, CONTINUATION with the same header and the next page, PEER with the same
+    """HI13: class of each piece from its predecessor in the capture: PRIMARY first, CONTINUATION with the same header and the next page, PEER with the same
     header elsewhere, SUPPLEMENTARY with another header, UNRESOLVED where a header is unknown. Segments: capture_id, segment_id, page, header."""
     w = Window.partitionBy("capture_id").orderBy("page", "segment_id")
     x = segments.withColumn("before", F.lag("header").over(w)).withColumn("page_before", F.lag("page").over(w)).withColumn("place", F.row_number().over(w))
@@ -275,20 +275,79 @@ def header_fingerprint(headers: Column) -> Column:
 
 
 def company_key(x: Column | str) -> Column:
-    """FN50, FN33: company text without blanks and brackets' contents, lower case."""
+    """FN50: company text without blanks and brackets' contents, lower case."""
     s = F.col(x) if isinstance(x, str) else x
     return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(s, F.lit("")), r"[（(].*?[)）]", ""), r"\s+", ""))
 
 
-def value_type_adjustment(kind: Column, units: Column) -> Column:
-    """FN16: bonus or penalty where the units of the values fit or contradict a metric's value type."""
-    from tallywright.functions.numbers import UNIT_FACTORS
-
-    money, percent = F.exists(units, lambda u: u.isin(*UNIT_FACTORS)), F.array_contains(units, "%")
-    return F.when((kind == "percentage") & percent, 0.055).when((kind == "percentage") & money, -0.22).when((kind == "monetary") & percent, -0.22).when((kind == "monetary") & money, 0.025).otherwise(0.0)
-
-
 def selection_summary(rows: DataFrame) -> DataFrame:
-    """AG36, AG19, FI25, RE9, RE11, RE16: selected captures in one row: number, companies, years, incomplete identities and restated ones."""
+    """AG36, FI25: selected captures in one row: number, companies, years, incomplete identities and restated ones."""
     blank = (identity_text("company") == "") | (identity_text("table_family_id") == "")
     return rows.agg(F.count("*").alias("n"), F.countDistinct("company").alias("companies"), F.countDistinct("document_year").alias("years"), F.count_if(blank).alias("incomplete"), F.count_if(as_bool("merge_ready")).alias("ready"))
+
+
+def repaired_periods(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """PR11: stored rows with the document year of their source as text and relative periods resolved against it; rows of no source keep theirs.
+    Sources: capture_run_id, document_year (the smallest absolute year counts where one is listed twice)."""
+    from tallywright.functions.periods import absolute_year, resolve_year
+
+    one = sources.groupBy("capture_run_id").agg(F.min(absolute_year("document_year")).alias("__year"))
+    j = rows.join(one, "capture_run_id", "left").withColumn("document_year", F.coalesce("__year", F.col("document_year").cast("string")))
+    return j.withColumn("data_year", resolve_year(F.col("data_year").cast("string"), F.col("document_year"))).select(*rows.columns)
+
+
+def capture_metadata(captures: DataFrame, columns: DataFrame) -> DataFrame:
+    """PR24: company and document year of each capture: the greatest absolute year of its file name and its column headers; '' without one.
+    Captures: capture_id, pdf_name; columns: capture_id, data_year, period_label, header_raw."""
+    from tallywright.functions.periods import latest_year
+    from tallywright.functions.text import file_company, file_year
+
+    top = columns.groupBy("capture_id").agg(F.max(F.greatest(*(latest_year(c) for c in ("data_year", "period_label", "header_raw")))).alias("y"))
+    year = F.greatest(F.col("y"), file_year("pdf_name").cast("int"))
+    return captures.join(top, "capture_id", "left").select("capture_id", "pdf_name", file_company("pdf_name").alias("company"), F.coalesce(year.cast("string"), F.lit("")).alias("document_year"))
+
+
+def ordered_sources(sources: DataFrame) -> DataFrame:
+    """FI32: (merge_id, place, capture_id) in stored order; places are dense from 1, ties by capture."""
+    w = Window.partitionBy("merge_id").orderBy("source_order", "capture_id")
+    return sources.select("merge_id", F.row_number().over(w).alias("place"), "capture_id")
+
+
+def active_members(members: DataFrame) -> DataFrame:
+    """FI38: active members of each family in canonical order: (family_id, place, member_id)."""
+    w = Window.partitionBy("family_id").orderBy(F.col("canonical_order").asc_nulls_last(), "member_id")
+    return members.where("status = 'ACTIVE'").select("family_id", F.row_number().over(w).alias("place"), "member_id")
+
+
+def latest_attempts(jobs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """WI3: per key the attempt that counts and all attempts in order: a rerun takes the place of the job it reruns only if it succeeded and is ready to merge;
+    of the rest the newest counts. Jobs: key, job_id, rerun_of (or null), status, merge_ready, at."""
+    good = jobs.where("rerun_of IS NOT NULL AND status = 'SUCCESS' AND merge_ready = 1").select(*key, F.col("rerun_of").alias("job_id")).distinct()
+    failed_rerun = (F.col("rerun_of").isNotNull()) & ~F.coalesce((F.col("status") == "SUCCESS") & (F.col("merge_ready") == 1), F.lit(False))
+    w = Window.partitionBy(*key).orderBy(F.col("failed_rerun"), F.col("at").desc_nulls_last(), F.desc("job_id"))
+    live = jobs.join(good, [*key, "job_id"], "left_anti").withColumn("failed_rerun", failed_rerun)
+    chosen = live.withColumn("__place", F.row_number().over(w)).where("__place = 1").select(*key, "job_id", "status")
+    history = jobs.groupBy(*key).agg(F.count("*").alias("attempts"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "job_id", "status"))), lambda x: x["status"]), ">").alias("history"))
+    return chosen.join(history, list(key))
+
+
+def semantic_rows(rows: DataFrame) -> DataFrame:
+    """HI3: stable row id, role, parent row and path by levels: sections and details may be parents, totals and notes are not.
+    Rows: capture_id, row_order, row_level, raw_item, row_type, has_value. Output adds row_id, row_role, parent_row_order."""
+    from tallywright.functions.text import infer_row_role
+    from tallywright.operators.structure import parents_by_level
+
+    role = infer_row_role("raw_item", F.col("row_type"), F.col("has_value"))
+    x = rows.withColumn("row_role", role).withColumn("level", F.coalesce("row_level", F.lit(0)))
+    closed = ~(F.col("row_role").isin("SECTION", "DETAIL", "BREAKDOWN_DETAIL") & (F.coalesce("raw_item", F.lit("")) != ""))
+    tree = parents_by_level(x.select("capture_id", "row_order", "level", closed.alias("is_total"))).select("capture_id", "row_order", "parent_row_order")
+    row_id = F.concat(F.lit("ROW_"), F.substring(F.sha2(F.concat_ws("\u001f", "capture_id", F.col("row_order").cast("string")), 256), 1, 20))
+    return x.drop("level").join(tree, ["capture_id", "row_order"]).withColumn("row_id", row_id)
+
+
+def sum_relations(rows: DataFrame) -> DataFrame:
+    """RE5: arithmetic relations that the tree suggests, as candidates only: (capture_id, row_order, relationship, n_children, children).
+    Totals and net values with children that hold a value; rows: capture_id, row_order, row_role, parent_row_order, has_value."""
+    kids = rows.where("has_value AND parent_row_order IS NOT NULL").groupBy("capture_id", F.col("parent_row_order").alias("row_order")).agg(F.count("*").alias("n_children"), F.array_join(F.array_sort(F.collect_list("row_order")).cast("array<string>"), ",").alias("children"))
+    kind = F.when(F.col("row_role") == "NET_VALUE", "GROSS_MINUS_ADJUSTMENT").otherwise("SUM_CHILDREN")
+    return rows.where(F.col("row_role").isin("TOTAL", "IMPLICIT_TOTAL", "NET_VALUE")).join(kids, ["capture_id", "row_order"]).select("capture_id", "row_order", kind.alias("relationship"), "n_children", "children")

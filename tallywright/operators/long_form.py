@@ -38,7 +38,7 @@ def column_names(columns: DataFrame) -> DataFrame:
 
 
 def column_issues(columns: DataFrame) -> DataFrame:
-    """AG14, PR29: per capture: columns, repeated years without scope, columns without a period, equal dimension keys, falling year order broken."""
+    """AG14: per capture: columns, repeated years without scope, columns without a period, equal dimension keys, falling year order broken."""
     one = columns.groupBy("capture_id", "ordinal").agg(F.min("data_year").alias("y"), F.min("statement_scope").alias("s"), F.bool_or(F.coalesce("restated", F.lit(False))).alias("r"))
     year = Window.partitionBy("capture_id", "y")
     key = Window.partitionBy("capture_id", "y", "s", "r")
@@ -57,3 +57,21 @@ def capture_wide(long: DataFrame, ordinals: Sequence[int]) -> DataFrame:
     """JO5, PV2: one row per source row with its units and one column per ordinal, in one aggregate; ``n_unlabelled`` counts the values of other ordinals."""
     cells = [F.min_by(F.when(F.col("column_ordinal") == k, F.col("value")), F.when((F.col("column_ordinal") == k) & F.col("value").isNotNull(), F.col("observation_id"))).alias(f"col_{k}") for k in ordinals]
     return long.groupBy("capture_run_id", "row_order").agg(F.min("normalized_item").alias("item"), units_sorted("unit").alias("unit"), F.count_if(F.col("value").isNotNull() & ~F.coalesce(F.col("column_ordinal").isin(*ordinals), F.lit(False))).alias("n_unlabelled"), *cells)
+
+
+def column_review(values: DataFrame, columns: DataFrame) -> DataFrame:
+    """PR29: issues of the final columns of each capture, as codes in order: VALUE_COLUMN_COUNT_MISMATCH (a row with another number of values than there are columns),
+    NUMERIC_TOKEN_ORIGIN_AMBIGUOUS (a whole value that reads like a year), PERIOD_COLUMN_SWAP_RISK (years of the columns not falling), LAST_COLUMN_SPARSE (the last column filled in under
+    half of the rows). Values: capture_id, row_order, column_ordinal, value, is_derived; derived rows take no part. Columns: capture_id, ordinal, data_year."""
+    v = values.where("value IS NOT NULL AND NOT coalesce(is_derived, false)").groupBy("capture_id", "row_order", "column_ordinal").agg(F.max("value").alias("value"))
+    one = columns.groupBy("capture_id", "ordinal").agg(F.min("data_year").alias("y"))
+    w = Window.partitionBy("capture_id").orderBy("ordinal")
+    c = one.withColumn("before", F.lag("y").over(w)).groupBy("capture_id").agg(F.count("*").alias("n_columns"), F.max("ordinal").alias("last"), F.count_if(F.col("before") < F.col("y")).alias("rising"))
+    rows = v.groupBy("capture_id", "row_order").agg(F.count("*").alias("n"), F.max(((F.col("value") == F.floor("value")) & F.col("value").between(2000, 2099)).cast("int")).alias("year_like"), F.max("column_ordinal").alias("top"))
+    j = rows.join(c, "capture_id").groupBy("capture_id").agg(
+        F.max((F.col("n") != F.col("n_columns")).cast("int")).alias("count_off"), F.max("year_like").alias("year_like"), F.max("rising").alias("rising"), (F.count_if(F.col("top") >= F.col("last")) * 2 < F.count("*")).alias("sparse")
+    )
+    codes = F.array(
+        F.when(F.col("count_off") == 1, "VALUE_COLUMN_COUNT_MISMATCH"), F.when(F.col("year_like") == 1, "NUMERIC_TOKEN_ORIGIN_AMBIGUOUS"), F.when(F.col("rising") > 0, "PERIOD_COLUMN_SWAP_RISK"), F.when(F.col("sparse"), "LAST_COLUMN_SPARSE")
+    )
+    return j.select("capture_id", F.array_join(F.filter(codes, lambda x: x.isNotNull()), "|").alias("issues"))

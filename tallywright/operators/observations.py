@@ -150,14 +150,31 @@ def source_keys(rows: DataFrame) -> DataFrame:
     )
 
 
-def mapping_queue(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """AG10: per row key the occurrences, captures, companies (number and first by name), first six raw labels and the status:
-    AUTO_EXACT_IDENTITY where two captures share the key, else UNMAPPED_PRESERVED. Raw labels are reduced to six before they are gathered."""
+def mapping_queue(rows: DataFrame, keys: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
+    """AG10: per row key the occurrences, captures, companies (number, first by name, and all in name order), first six raw labels, canonical fields and the status:
+    AUTO_TAXONOMY where the taxonomy (source_key, canonical_section, canonical_item, category) lists the key, AUTO_EXACT_IDENTITY where two captures share it, else
+    UNMAPPED_PRESERVED, which keeps section and item of its first row. Raw labels are reduced to six and companies to distinct names before they are gathered.
+    Suggestions for what is unmapped are ``retrieval.suggest_labels``'s.
+    """
     keyed = _numeric(rows).join(keys, ["capture_run_id", "row_order", "normalized_item"])
     raw = keyed.where("raw_item IS NOT NULL").groupBy("row_key", "raw_item").agg(F.min("observation_id").alias("o"))
     six = raw.withColumn("k", F.row_number().over(Window.partitionBy("row_key").orderBy("o", "raw_item"))).where("k <= 6").groupBy("row_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "raw_item"))), lambda x: x["raw_item"]), " | ").alias("examples"))
-    main = keyed.groupBy("row_key").agg(F.count("*").alias("occurrences"), F.countDistinct("capture_run_id").alias("capture_count"), F.countDistinct("company").alias("company_count"), F.min("company").alias("first_company"))
-    return main.join(six, "row_key", "left").withColumn("mapping_status", F.when(F.col("capture_count") >= 2, "AUTO_EXACT_IDENTITY").otherwise("UNMAPPED_PRESERVED"))
+    names = keyed.where("trim(company) <> ''").groupBy("row_key", "company").agg(F.lit(1).alias("one")).groupBy("row_key").agg(F.array_join(F.array_sort(F.collect_list("company")), " | ").alias("companies"))
+    section = F.col("parent_section") if "parent_section" in rows.columns else F.lit("")
+    first = F.min_by(F.struct(F.coalesce(section, F.lit("")).alias("section"), F.coalesce("normalized_item", F.lit("")).alias("item")), "observation_id").alias("f")
+    main = keyed.groupBy("row_key").agg(F.count("*").alias("occurrences"), F.countDistinct("capture_run_id").alias("capture_count"), F.countDistinct("company").alias("company_count"), F.min("company").alias("first_company"), first)
+    out = main.join(six, "row_key", "left").join(names, "row_key", "left")
+    known = F.lit(False)
+    if taxonomy is not None:
+        entry = taxonomy.groupBy(F.col("source_key").alias("row_key")).agg(F.min(F.struct("canonical_section", "canonical_item", "category")).alias("t"))
+        out, known = out.join(entry, "row_key", "left"), F.col("t").isNotNull()
+    else:
+        out = out.withColumn("t", F.lit(None).cast("struct<canonical_section:string,canonical_item:string,category:string>"))
+    status = F.when(known, "AUTO_TAXONOMY").when(F.col("capture_count") >= 2, "AUTO_EXACT_IDENTITY").otherwise("UNMAPPED_PRESERVED")
+    return out.select(
+        "row_key", "occurrences", "capture_count", "company_count", "first_company", F.coalesce("companies", F.lit("")).alias("companies"), "examples",
+        F.coalesce("t.canonical_section", "f.section").alias("canonical_section"), F.coalesce("t.canonical_item", "f.item").alias("canonical_item"), F.coalesce("t.category", F.lit("")).alias("category"), status.alias("mapping_status"),
+    )
 
 
 def apply_mapping(rows: DataFrame, queue: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:

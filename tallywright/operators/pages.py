@@ -69,7 +69,7 @@ def primary_pages(found: DataFrame) -> DataFrame:
 
 
 def note_references(pages: DataFrame, items: Sequence[str]) -> DataFrame:
-    """RK16, RK17: (page_id, line, item, note): in each line the longest listed item, then the first note number after it; lines without one give no row."""
+    """RK16: (page_id, line, item, note): in each line the longest listed item, then the first note number after it; lines without one give no row."""
     longest = F.lit(None).cast("string")
     for item in sorted(items, key=lambda x: (len(x), x)):
         longest = F.when(F.col("content").contains(item), F.lit(item)).otherwise(longest)
@@ -79,7 +79,7 @@ def note_references(pages: DataFrame, items: Sequence[str]) -> DataFrame:
 
 
 def locate_notes(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """RK12, RK13, RK25-RK27, FI21, FI24: best heading for each wanted note (item, note): confidence 0.98 with number and title, 0.90 with title alone, 0 without.
+    """RK13, RK27: best heading for each wanted note (item, note): confidence 0.98 with number and title, 0.90 with title alone, 0 without.
 
     Headings and wanted notes meet by number first and by title for the rest, so no note meets all headings.
     """
@@ -123,7 +123,7 @@ def absence(found: Column, exact: Column, alias: Column, searched: Column, table
 
 
 def statement_rows(pages: DataFrame, members: Sequence[str]) -> DataFrame:
-    """RK22-RK24, AG30, FN41, FN42: member rows of a statement family per page: number of members, first line, amounts on the line, regime of the page's labels.
+    """AG30, FN42: member rows of a statement family per page: number of members, first line, amounts on the line, regime of the page's labels.
     Pages without a member give no row."""
     from tallywright.functions.text import presentation_regime
 

@@ -23,7 +23,7 @@ def filter_captures(
     only_trash: bool = False,
     in_batches: DataFrame | None = None,
 ) -> DataFrame:
-    """FI9-FI11, FI28-FI31, JO20, JO22: the one filter builder behind list, count and id queries. ``in_batches`` (batch_id) is a semi join."""
+    """FI9-FI11, FI29, JO20, JO22: the one filter builder behind list, count and id queries. ``in_batches`` (batch_id) is a semi join."""
     out = captures
     if only_trash:
         out = out.where("is_trashed = 1 OR lifecycle_status = 'TRASHED'")
@@ -66,7 +66,7 @@ def search(rows: DataFrame, equals: dict[str, object], contains_any: tuple[str,
 
 
 def top_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """WI1-WI4, WI20, SO5-SO7: first ``n`` rows of each key; the order needs a unique last column. Catalyst turns the rank filter into
+    """WI1, WI2, WI4, WI20, SO5-SO7: first ``n`` rows of each key; the order needs a unique last column. Catalyst turns the rank filter into
     a per-task limit before the shuffle, so a hot key sends ``n`` rows per task."""
     return rows.withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__place") <= n).drop("__place")
 
@@ -117,7 +117,7 @@ def joined_set(column: str) -> Column:
 
 
 def batch_summary(captures: DataFrame) -> DataFrame:
-    """AG15, AG16: counts, first and last time, producer versions and status of each batch."""
+    """AG15: counts, first and last time, producer versions and status of each batch."""
     g = captures.where(identity_text("batch_id") != "").groupBy("batch_id").agg(
         F.count("*").alias("capture_count"),
         F.count_if((F.col("lifecycle_status") == "ACTIVE") & (F.col("is_trashed") == 0)).alias("active_count"),
@@ -186,7 +186,7 @@ def bundle_check(children: DataFrame, bundle: str, order: str, ready: Column) ->
 
 
 def dependency_status(sources: DataFrame, captures: DataFrame) -> DataFrame:
-    """GV8, GV9, JO18, AG33: state of each merge from its sources: missing capture, capture not active, else CURRENT, with the numbers."""
+    """GV9, JO18, AG33: state of each merge from its sources: missing capture, capture not active, else CURRENT, with the numbers."""
     j = sources.join(captures.select("capture_id", "lifecycle_status", "is_trashed"), "capture_id", "left")
     missing = F.col("lifecycle_status").isNull()
     bad = F.coalesce((F.col("lifecycle_status") != "ACTIVE") | (F.col("is_trashed") == 1), F.lit(False))
@@ -195,14 +195,14 @@ def dependency_status(sources: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def lifecycle_after(captures: DataFrame, transitions: DataFrame) -> DataFrame:
-    """GV7, GV10, GV19, GV23: status of each capture after its latest transition; captures without one keep theirs.
+    """GV7, GV19, GV23: status of each capture after its latest transition; captures without one keep theirs.
     Transitions: capture_id, new_status, at, seq (ties in time are settled by seq)."""
     last = transitions.groupBy("capture_id").agg(F.max(F.struct("at", "seq", "new_status")).alias("m")).select("capture_id", F.col("m.new_status").alias("new_status"))
     return captures.join(last, "capture_id", "left").withColumn("lifecycle_status", F.coalesce("new_status", "lifecycle_status")).drop("new_status")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """GV1-GV5, SE11, GV24, SC18: rows of ``new`` replace those of the same key; others stay. Columns only one side has are null."""
+    """GV1-GV3, GV5, SE11, GV24: rows of ``new`` replace those of the same key; others stay. Columns only one side has are null."""
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -216,7 +216,7 @@ def fill_missing(rows: DataFrame, other: DataFrame, key: str, columns: Sequence[
 
 
 def merge_lists(a: DataFrame, b: DataFrame, key: Sequence[str], lists: Sequence[str], scalars: Sequence[str] = ()) -> DataFrame:
-    """SE9, SE10, GV17, GV21: full outer join of two rule tables: lists are united in order, scalars keep the left value."""
+    """SE9, SE10, GV21: full outer join of two rule tables: lists are united in order, scalars keep the left value."""
     right = b.select(*key, *(F.col(c).alias("__" + c) for c in (*lists, *scalars)))
     out = a.join(right, list(key), "full_outer")
     empty = F.array().cast("array<string>")
@@ -247,7 +247,7 @@ def adjudicated(results: DataFrame, reviews: DataFrame, key: Sequence[str]) -> D
 
 
 def expected_members(observed: DataFrame, required: Sequence[str], optional: Sequence[str], group: Sequence[str], member: str) -> DataFrame:
-    """AG31, SE8, RE14: missing and unexpected members of each group and the covered share of the required ones."""
+    """AG31, SE8: missing and unexpected members of each group and the covered share of the required ones."""
     have = observed.groupBy(*group).agg(F.array_sort(F.collect_set(member)).alias("have"))
     need, may = F.array(*map(F.lit, required)), F.array(*map(F.lit, [*required, *optional]))
     hit = F.size(F.array_intersect("have", need))
@@ -264,7 +264,7 @@ def golden_compare(expected: DataFrame, actual: DataFrame, key: Sequence[str]) -
 
 
 def readiness(captures: DataFrame, columns: DataFrame, segments: DataFrame) -> DataFrame:
-    """RE8, RE10, RE12, RE13: blocker codes of each capture and whether it may enter a merge (no blocker)."""
+    """RE10: blocker codes of each capture and whether it may enter a merge (no blocker)."""
     cols = columns.groupBy("capture_id").agg(F.count("*").alias("n_columns"), F.count_if(F.col("data_year").isNull()).alias("no_year"))
     seg = segments.groupBy("capture_id").agg(F.count("*").alias("n_segments"), F.count_if(F.col("confidence") == "LOW").alias("low"))
     j = captures.join(cols, "capture_id", "left").join(seg, "capture_id", "left")
@@ -288,3 +288,76 @@ def compatible_segments(found: DataFrame, certified: DataFrame, tolerance: float
     near = F.forall(F.zip_with("bbox", "f_box", lambda a, b: F.abs(a - b) <= tolerance), lambda x: x)
     j = certified.join(f, "segment_id", "left")
     return j.select("segment_id", F.when(F.col("f_page").isNull(), "SEGMENT_MISSING").when(F.col("f_page") != F.col("page"), "PAGE_DIFFERS").when(F.col("bbox").isNull() | F.col("f_box").isNull(), "BOX_UNKNOWN").when(near, "OK").otherwise("BOX_DIFFERS").alias("issue"))
+
+
+# --- lists, resynchronisation and append-only layers ---------------------------
+
+
+def newest(rows: DataFrame, at: str, key: str, limit: int = 500) -> DataFrame:
+    """SC13, SC14, FI28, FI30, FI31, FI36: the newest rows first, rows without a time last, ties by key; at most ``limit`` (1..2000) of them."""
+    return page(rows, [F.col(at).desc_nulls_last(), F.col(key)], limit)
+
+
+def resync(stored: DataFrame, seen: DataFrame, key: Sequence[str]) -> DataFrame:
+    """SC18, SC20: the table after a full scan, with what happened to each row: rows of ``seen`` replace stored ones (ADDED, CHANGED, UNCHANGED); what was not seen any more is
+    REMOVED and keeps its stored values, so that the caller may delete or archive it. Keys are unique on both sides (the smallest row counts otherwise)."""
+    cols = [c for c in stored.columns if c not in key]
+    one = lambda t, name: t.groupBy(*key).agg(F.min(F.struct(*cols)).alias(name))
+    j = one(stored, "a").join(one(seen.select(*stored.columns), "b"), list(key), "full_outer")
+    state = F.when(F.col("b").isNull(), "REMOVED").when(F.col("a").isNull(), "ADDED").when(F.col("a").eqNullSafe(F.col("b")), "UNCHANGED").otherwise("CHANGED")
+    row = F.coalesce("b", "a")
+    return j.select(*key, *(row[c].alias(c) for c in cols), state.alias("sync_state"))
+
+
+def append_once(layer: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+    """GV12-GV14: rows that an append-only layer takes: those of new keys. A new row whose key is there with other values would change history, so the action fails;
+    equal repeats are dropped."""
+    cols = [c for c in layer.columns if c not in key]
+    fresh = new.select(*layer.columns).distinct()
+    old = layer.select(*key, F.struct(*cols).alias("__old")).distinct()
+    j = fresh.join(old, list(key), "left")
+    clash = F.col("__old").isNotNull() & ~F.col("__old").eqNullSafe(F.struct(*cols))
+    checked = j.withColumn("__ok", F.when(clash, F.raise_error(F.lit("rows of this layer are never changed")).cast("boolean")).otherwise(F.col("__old").isNull()))
+    return checked.where("__ok").select(*layer.columns)
+
+
+def stale_merges(merges: DataFrame, sources: DataFrame, changed: DataFrame) -> DataFrame:
+    """GV8: merges with a changed source are STALE, the others keep their status: (merge_id, status, n_changed)."""
+    hit = sources.join(changed.select("capture_id").distinct(), "capture_id", "left_semi").groupBy("merge_id").agg(F.countDistinct("capture_id").alias("n_changed"))
+    return merges.join(hit, "merge_id", "left").select("merge_id", F.when(F.col("n_changed") > 0, "STALE").otherwise(F.col("status")).alias("status"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+
+
+def cascade_archive(children: DataFrame, archived: DataFrame, parent: str) -> DataFrame:
+    """GV10: children of an archived parent carry the flag; archived children stay archived, others of live parents are untouched."""
+    gone = archived.select(parent).distinct().withColumn("__gone", F.lit(True))
+    return children.join(gone, parent, "left").withColumn("parent_archived", F.coalesce("__gone", F.lit(False))).drop("__gone")
+
+
+def replaced_sources(old_sources: DataFrame, new_sources: DataFrame) -> DataFrame:
+    """GV4: sources of merges after an upsert: all rows of a merge that ``new_sources`` names are replaced by its own, in order; other merges keep theirs.
+    Each row is a dependency of its merge. Columns: merge_id, source_order, capture_id."""
+    kept = old_sources.join(new_sources.select("merge_id").distinct(), "merge_id", "left_anti")
+    return kept.unionByName(new_sources.select(*old_sources.columns))
+
+
+def persisted_taxonomy(taxonomy: DataFrame, queue: DataFrame) -> DataFrame:
+    """GV17: taxonomy (section, item, source_keys) with the confirmed keys of a queue (canonical_section, canonical_item, row_key, mapping_status) added; keys are sorted and distinct.
+    Keys are gathered per entry of the taxonomy, which a reviewer keeps by hand."""
+    new = queue.where(F.col("mapping_status").isin("CONFIRMED", "CONFIRMED_OVERRIDE")).select(F.col("canonical_section").alias("section"), F.col("canonical_item").alias("item"), F.col("row_key").alias("key"))
+    old = taxonomy.select("section", "item", F.explode_outer("source_keys").alias("key"))
+    return old.unionByName(new).groupBy("section", "item").agg(F.array_sort(F.collect_set("key")).alias("source_keys"))
+
+
+def dedup_anchors(candidates: DataFrame, key: Sequence[str]) -> DataFrame:
+    """AG29: one row per identity with the candidate of most children (then the smallest id), the distinct strategies in order, and the number of candidates."""
+    best = F.min_by(F.struct("candidate_id", "n_children"), F.struct((-F.coalesce("n_children", F.lit(0))).alias("n"), "candidate_id")).alias("b")
+    return candidates.groupBy(*key).agg(best, F.array_join(F.array_sort(F.collect_set("strategy")), "|").alias("strategies"), F.count("*").alias("duplicate_count")).select(*key, F.col("b.candidate_id").alias("candidate_id"), F.col("b.n_children").alias("n_children"), "strategies", "duplicate_count")
+
+
+def table_names(captures: DataFrame, n: int = 3) -> DataFrame:
+    """AG16: per batch (a capture without one is its own: LEGACY_SINGLE::id) the captures, each status' number as 'STATUS=n', and the first ``n`` table names in order."""
+    x = captures.select(F.when(identity_text("batch_id") != "", F.col("batch_id")).otherwise(F.concat(F.lit("LEGACY_SINGLE::"), "capture_id")).alias("batch"), F.coalesce("lifecycle_status", F.lit("UNKNOWN")).alias("status"), "table_query")
+    status = x.groupBy("batch", "status").agg(F.count("*").alias("n")).groupBy("batch").agg(F.sum("n").alias("captures"), F.array_join(F.array_sort(F.collect_list(F.concat("status", F.lit("="), F.col("n").cast("string")))), ",").alias("statuses"))
+    names = x.where("table_query IS NOT NULL").select("batch", "table_query").distinct().withColumn("k", F.row_number().over(Window.partitionBy("batch").orderBy("table_query"))).where(F.col("k") <= n)
+    lead = names.groupBy("batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "table_query"))), lambda v: v["table_query"]), "|").alias("tables"))
+    return status.join(lead, "batch", "left")

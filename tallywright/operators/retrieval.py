@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.functions.text import normalize_text, position_bonus, qualified_variant_penalty, string_similarity
+from tallywright.functions.numbers import value_type_adjustment
+from tallywright.functions.text import best_similarity, normalize_text, position_bonus, qualified_variant_penalty, string_similarity
 
 EXACT, ALIAS, KEYWORD = 8.0, 5.0, 1.0
 
@@ -75,29 +76,51 @@ def with_neighbours(pages: DataFrame, last: Column, radius: int = 1) -> DataFram
     return pages.select(F.explode(around).alias("page_id")).distinct()
 
 
+#: Columns that score_labels takes where a caller has them, with what stands for them otherwise.
+OPTIONAL = {"user_aliases": "array<string>", "keywords": "array<string>", "table_hint": "array<string>", "table_type": "string", "value_type": "string", "units": "array<string>"}
+# Lexical scores of exact matches by match class, of a contained name, and the shares of similarity and keywords.
+EXACT_SCORES = {50: 0.985, 45: 0.955, 42: 0.925, 38: 0.855}
+CONTAINS = {"name": 0.74, "alias": 0.70, "user_alias": 0.67}
+SIMILARITY_SHARE, KEYWORD_SHARE = 0.63, 0.50
+TABLE_FITS, TABLE_DIFFERS, UNKNOWN_TABLE = 0.045, -0.04, "未知表"
+
+
 def score_labels(pairs: DataFrame) -> DataFrame:
-    """RK2, FN14, FN15, FN53: score of a label for a metric, from (label, canonical_name, aliases, soft_aliases, exclude, position_hint, row, rows, n_values).
+    """RK2, FN14-FN16, FN53: score and match class of a label for a metric, with ``qualified`` where a qualifier was penalized.
 
-    Exact name 0.985, alias 0.955, soft alias 0.855; otherwise the best of similarity x 0.63 and containment 0.74 / 0.70, less the qualifier penalty.
-    Structure adds position and number bonuses, an excluded word takes 0.90 off; the result lies in 0..1 and an exact name is never below 0.985.
+    Pairs: label, canonical_name, aliases, soft_aliases, exclude, position_hint, row, rows, n_values, and the OPTIONAL columns where known.
+    An exact name, alias, user alias or soft alias has the score of its class (EXACT_SCORES); otherwise the greatest of similarity to any of these names,
+    a contained name (CONTAINS) and the share of keywords contained, less the qualifier penalty. Table kind, position, number of values and value type add their
+    bonuses, an excluded word takes 0.90 off; the result lies in 0..1, an exact name is never below its score and an exact alias never above 0.975.
     """
-    norm_list = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), normalize_text)
-    x = pairs.withColumns({"nl": normalize_text("label"), "ns": normalize_text("canonical_name"), "na": norm_list(F.col("aliases")), "nf": norm_list(F.col("soft_aliases")), "nx": norm_list(F.col("exclude"))})
-    x = x.withColumn("excluded", F.exists("nx", lambda e: (e != "") & F.col("nl").contains(e)))
-    kind = F.when(F.col("nl") == F.col("ns"), 50).when(F.array_contains("na", F.col("nl")), 45).when(F.array_contains("nf", F.col("nl")), 38)
-    holds = F.when((F.col("ns") != "") & F.col("nl").contains(F.col("ns")), 0.74).when(F.exists("na", lambda a: (a != "") & F.col("nl").contains(a)), 0.70).otherwise(0.0)
-    x = x.withColumn("exact", kind).withColumn("contains", holds).withColumn("similar", string_similarity("nl", "ns") * 0.63)
-    lexical = F.when(F.col("exact") == 50, 0.985).when(F.col("exact") == 45, 0.955).when(F.col("exact") == 38, 0.855).otherwise(F.greatest("similar", "contains"))
+    x = pairs
+    for c, kind in OPTIONAL.items():
+        if c not in x.columns:
+            x = x.withColumn(c, F.lit(None).cast(kind))
+    norm_list = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), normalize_text), lambda t: t != "")
+    lists = {"na": "aliases", "nu": "user_aliases", "nf": "soft_aliases", "nx": "exclude", "nk": "keywords"}
+    x = x.withColumns({"nl": normalize_text("label"), "ns": normalize_text("canonical_name"), **{k: norm_list(v) for k, v in lists.items()}})
+    within = lambda names: F.exists(names, lambda t: F.col("nl").contains(t))
+    kind = F.when(F.col("nl") == F.col("ns"), 50).when(F.array_contains("na", F.col("nl")), 45).when(F.array_contains("nu", F.col("nl")), 42).when(F.array_contains("nf", F.col("nl")), 38)
+    holds = F.when((F.col("ns") != "") & F.col("nl").contains(F.col("ns")), CONTAINS["name"]).when(within("na"), CONTAINS["alias"]).when(within("nu"), CONTAINS["user_alias"]).otherwise(0.0)
+    words = F.when(F.size("nk") > 0, F.size(F.filter("nk", lambda k: F.col("nl").contains(k))) / F.size("nk") * KEYWORD_SHARE).otherwise(0.0)
+    x = x.withColumn("exact", kind).withColumn("contains", holds).withColumn("similar", best_similarity(F.col("nl"), F.concat(F.array("ns"), "na", "nu", "nf")) * SIMILARITY_SHARE)
+    lexical = F.greatest("similar", "contains", words)
+    for cls, score in EXACT_SCORES.items():
+        lexical = F.when(F.col("exact") == cls, score).otherwise(lexical)
     penalty = F.when(F.col("exact").isNull(), qualified_variant_penalty(F.col("nl"), F.col("ns"))).otherwise(0.0)
     numeric = F.when(F.col("n_values") > 0, F.least(F.lit(0.025), 0.008 + F.col("n_values") * 0.006)).otherwise(-0.12)
-    raw = lexical + position_bonus(F.col("position_hint"), F.col("row"), F.col("rows")) + numeric + penalty + F.when(F.col("excluded"), -0.90).otherwise(0.0)
-    capped = F.when(F.col("exact") == 50, F.least(F.lit(1.0), F.greatest(raw, F.lit(0.985)))).when(F.col("exact") == 45, F.least(F.lit(0.975), raw)).otherwise(raw)
+    hinted = F.coalesce(F.size("table_hint"), F.lit(0)) > 0
+    in_table = F.when(hinted & F.array_contains("table_hint", F.col("table_type")), TABLE_FITS).when(hinted & (F.coalesce("table_type", F.lit(UNKNOWN_TABLE)) != UNKNOWN_TABLE), TABLE_DIFFERS).otherwise(0.0)
+    typed = F.when((F.col("n_values") > 0) & F.col("units").isNotNull(), value_type_adjustment(F.lower("value_type"), F.col("units"))).otherwise(0.0)
+    raw = lexical + position_bonus(F.col("position_hint"), F.col("row"), F.col("rows")) + numeric + penalty + F.coalesce(in_table, F.lit(0.0)) + F.coalesce(typed, F.lit(0.0)) + F.when(within("nx"), -0.90).otherwise(0.0)
+    capped = F.when(F.col("exact") == 50, F.least(F.lit(1.0), F.greatest(raw, F.lit(EXACT_SCORES[50])))).when(F.col("exact") == 45, F.least(F.lit(0.975), raw)).otherwise(raw)
     match_class = F.coalesce("exact", F.when(F.col("contains") > 0, 25).otherwise(15))
-    return x.select(*pairs.columns, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)), 6).alias("score"), match_class.alias("match_class"))
+    return x.select(*pairs.columns, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)), 6).alias("score"), match_class.alias("match_class"), (penalty < 0).alias("qualified"))
 
 
 def rank_with_margin(rows: DataFrame, key: Sequence[str], score: str, tie: str, least: float = 0.85, margin: float = 0.10) -> DataFrame:
-    """WI9, WI10, RK5, RK10: place and margin to the second of each key; PRESELECTED with a score of ``least`` and that margin (or alone), MULTIPLE_VALID within 0.03
+    """WI9, WI10, RK10: place and margin to the second of each key; PRESELECTED with a score of ``least`` and that margin (or alone), MULTIPLE_VALID within 0.03
     of the second, else REVIEW."""
     w = Window.partitionBy(*key).orderBy(F.desc(score), tie)
     x = rows.withColumn("place", F.row_number().over(w)).withColumn("next_score", F.lead(score).over(w))
@@ -107,12 +130,62 @@ def rank_with_margin(rows: DataFrame, key: Sequence[str], score: str, tie: str,
 
 
 def weighted_score(components: dict[str, Column], gates: dict[str, Column]) -> Column:
-    """RK3, RK4, RK9: struct(score, passed, failed): components summed into 0..1 with four decimals, gates all true, names of failed gates."""
+    """Struct(score, passed, failed): components summed into 0..1 with four decimals, gates all true, names of failed gates."""
     total = sum(components.values(), F.lit(0.0))
     failed = F.filter(F.array(*(F.when(~F.coalesce(g, F.lit(False)), n) for n, g in gates.items())), lambda n: n.isNotNull())
     return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(total, 4))).alias("score"), (F.size(failed) == 0).alias("passed"), F.array_join(failed, "|").alias("failed"))
 
 
+# Titles of formal statements and of pages that only summarize them, and the form of a full note reference.
+FORMAL_TITLES = ("资产负债表", "利润表", "现金流量表", "所有者权益变动表")
+SUMMARY_TITLES = ("目录", "摘要", "主要会计数据", "财务指标")
+NOTE_FORM = r"^附注(?:[一二三四五六七八九十百\d]+-)?[一二三四五六七八九十百\d]+$"
+# Weights of the anchor score, and the score that qualifies.
+ANCHOR_WEIGHTS = {
+    "exact_parent": 0.14, "contained_parent": 0.08, "formal_region": 0.13, "statement_type": 0.06, "scope_wanted": 0.05, "scope_known_only": 0.03, "children": 0.10, "note_rows": 0.12, "valid_notes": 0.05,
+    "amounts": 0.09, "periods": 0.07, "unit": 0.04, "scope_known": 0.03, "alignment": 0.04, "history": 0.03, "definition": 0.02, "summary": -0.28, "note_section": -0.22, "no_children": -0.18,
+    "scope_conflict": -0.18, "ocr_only": -0.12,
+}
+QUALIFIED_SCORE = 0.70
+
+
+def anchor_score() -> Column:
+    """RK9: struct(score, passed, failed, tier) of an anchor candidate from 20 weighted components and 9 gates.
+
+    Columns: pdf_id, scope, wanted_scope, statement_type, title, parent_text, display_name, n_children, note_rows, valid_notes, value_rows, n_periods, unit, formal_region, summary_page,
+    period_header, columns_aligned, history, definition, ocr_only, bbox_verified (null counts as verified). Null numbers and flags count as 0 and false.
+    """
+    w = ANCHOR_WEIGHTS
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    gain = lambda test, name: F.when(test, w[name]).otherwise(0.0)
+    parent, target = normalize_text("parent_text"), normalize_text("display_name")
+    scope, kind, wanted = F.when(text("scope") == "", "UNKNOWN").otherwise(text("scope")), F.upper(text("statement_type")), text("wanted_scope")
+    per_child = lambda c: F.when(number("n_children") > 0, number(c) / number("n_children")).otherwise(0.0)
+    formal = text("title").rlike("|".join(FORMAL_TITLES)) | flag("formal_region")
+    summary = text("title").rlike("|".join(SUMMARY_TITLES)) | flag("summary_page")
+    periods = (number("n_periods") >= 2) | flag("period_header")
+    verified = F.coalesce("bbox_verified", F.lit(True))
+    conflict = (wanted != "") & ~scope.isin("UNKNOWN") & (scope != wanted)
+    components = {
+        "exact_parent": gain((parent != "") & (parent == target), "exact_parent"), "contained_parent": gain((parent != "") & (target != "") & (parent.contains(target) | target.contains(parent)), "contained_parent"),
+        "formal_region": gain(formal, "formal_region"), "statement_type": gain(~kind.isin("", "UNKNOWN", "NOTE_SECTION"), "statement_type"),
+        "scope_match": F.when((wanted != "") & (scope == wanted), w["scope_wanted"]).when(scope != "UNKNOWN", w["scope_known_only"]).otherwise(0.0),
+        "children": F.least(number("n_children") / 4, F.lit(1.0)) * w["children"], "note_rows": per_child("note_rows") * w["note_rows"], "valid_notes": per_child("valid_notes") * w["valid_notes"],
+        "amounts": per_child("value_rows") * w["amounts"], "periods": gain(periods, "periods"), "unit": gain(text("unit") != "", "unit"), "scope_known": gain(scope != "UNKNOWN", "scope_known"),
+        "alignment": gain(flag("columns_aligned"), "alignment"), "history": gain(flag("history"), "history"), "definition": gain(flag("definition"), "definition"), "summary": gain(summary, "summary"),
+        "note_section": gain(kind == "NOTE_SECTION", "note_section"), "no_children": gain(number("n_children") == 0, "no_children"), "scope_conflict": gain(conflict, "scope_conflict"),
+        "ocr_only": gain(flag("ocr_only") & ~F.coalesce("bbox_verified", F.lit(False)), "ocr_only"),
+    }
+    gates = {
+        "source_pdf_identity": text("pdf_id") != "", "scope_compatible": ~conflict, "target_parent_exists": parent != "", "amount_columns_present": number("value_rows") > 0, "period_recognized": (number("n_periods") > 0) | flag("period_header"),
+        "formal_statement_not_note": (kind != "NOTE_SECTION") & ~summary, "bbox_intersects_statement": verified, "not_toc_or_summary": ~summary, "ocr_evidence_sufficient": ~flag("ocr_only") | F.coalesce("bbox_verified", F.lit(False)),
+    }
+    s = weighted_score(components, gates)
+    return F.struct(s["score"].alias("score"), s["passed"].alias("passed"), s["failed"].alias("failed"), F.when(s["passed"] & (s["score"] >= QUALIFIED_SCORE), "QUALIFIED").otherwise("LOW_CONFIDENCE").alias("tier"))
+
+
 def evidence_clusters(rows: DataFrame, key: Sequence[str], confidence: str, member: str, keep: Sequence[str]) -> DataFrame:
     """AG28, AG29, SE5, SE6, Q12: one row per key with the most confident member, number of members and a stable cluster id."""
     best = F.max_by(F.struct(*keep), F.struct(F.coalesce(confidence, F.lit(0.0)), member)).alias("b")
@@ -131,7 +204,7 @@ def choose_primary(values: Column, target_year: Column) -> Column:
 
 
 def backoff_share(a: DataFrame, b: DataFrame, key: str, levels: Sequence[str]) -> DataFrame:
-    """RK19, RK20: share of equal levels between each row of ``a`` and the rows of ``b`` with its key, best first: (id_a, id_b, share)."""
+    """RK19: share of equal levels between each row of ``a`` and the rows of ``b`` with its key, best first: (id_a, id_b, share)."""
     left = a.select(key, F.col("id").alias("id_a"), *(F.col(c).alias("a_" + c) for c in levels))
     right = b.select(key, F.col("id").alias("id_b"), *(F.col(c).alias("b_" + c) for c in levels))
     equal = sum((F.coalesce(F.col("a_" + c) == F.col("b_" + c), F.lit(False)).cast("int") for c in levels), F.lit(0))

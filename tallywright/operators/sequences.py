@@ -99,12 +99,35 @@ def structural_order(sequences: DataFrame) -> DataFrame:
 
 
 def note_order(members: DataFrame) -> DataFrame:
-    """HI5: members by note ordinal of the reference year, then hint, year and key; members without a note come last. Ranks are dense per table."""
+    """HI5 without a reference year: members by note ordinal, then hint, year and key; members without a note come last. Ranks are dense per table."""
     w = Window.partitionBy("table_id").orderBy(F.col("note_ordinal").asc_nulls_last(), F.col("hint").asc_nulls_last(), F.col("year").desc_nulls_last(), "key")
     best = members.groupBy("table_id", "key").agg(F.min("note_ordinal").alias("note_ordinal"), F.min("hint").alias("hint"), F.max("year").alias("year"))
     return best.withColumn("base_order", F.row_number().over(w))
 
 
+def reference_year_order(rows: DataFrame, sources: DataFrame, year: str) -> DataFrame:
+    """HI5: order of canonical keys by the notes of one year's sources: (table_id, key, base_order, note_ordinal).
+
+    Rows: table_id, source, key, member, row_order; sources: table_id, source, document_year, member, member_order, note_ordinal, is_reference. Members come by the smallest note ordinal they
+    have in sources of ``year``, then by their order hint there; members without a note follow by hint and name. Keys of a member come by their row order in sources of the
+    year, in the reference source, anywhere, then by name. Keys without a member and tables without a source of the year have no row: their caller keeps the order of the
+    reference source (``structural_order``).
+    """
+    of_year = sources.where(F.col("document_year") == year)
+    hints = of_year.groupBy("table_id", "member").agg(F.min("note_ordinal").alias("note_ordinal"), F.min("member_order").alias("hint"))
+    kind = sources.groupBy("table_id", "source").agg(F.bool_or(F.col("document_year") == year).alias("in_year"), F.bool_or(F.coalesce("is_reference", F.lit(False))).alias("in_reference"))
+    far = F.lit(10**9)
+    placed = rows.where("key IS NOT NULL AND trim(member) <> ''").join(kind, ["table_id", "source"], "left").groupBy("table_id", "key").agg(
+        F.min("member").alias("member"),
+        F.coalesce(F.min(F.when(F.col("in_year"), F.col("row_order"))), far).alias("of_year"),
+        F.coalesce(F.min(F.when(F.col("in_reference"), F.col("row_order"))), far).alias("of_reference"),
+        F.coalesce(F.min("row_order"), far).alias("anywhere"),
+    )
+    covered = placed.join(of_year.select("table_id").distinct(), "table_id", "left_semi").join(hints, ["table_id", "member"], "left")
+    w = Window.partitionBy("table_id").orderBy(F.col("note_ordinal").asc_nulls_last(), F.coalesce("hint", F.lit(0)), "member", "of_year", "of_reference", "anywhere", "key")
+    return covered.select("table_id", "key", F.row_number().over(w).alias("base_order"), "note_ordinal")
+
+
 # --- page geometry -----------------------------------------------------------
 
 _LINES = T.StructType().add("page_id", "long").add("line", "integer").add("x0", "double").add("y0", "double").add("x1", "double").add("y1", "double").add("text", "string")
@@ -169,7 +192,7 @@ def overlap_ratio(a0, a1, b0, b1):
 
 
 def page_context(pages: DataFrame, declared: str) -> DataFrame:
-    """JO29, WI11, WI12: value of ``declared`` on the page, else that of the page right before. Pages: pdf_id, page."""
+    """JO29: value of ``declared`` on the page, else that of the page right before. Pages: pdf_id, page."""
     before = pages.select("pdf_id", (F.col("page") + 1).alias("page"), F.col(declared).alias("__before"))
     one = before.groupBy("pdf_id", "page").agg(F.max("__before").alias("__before"))
     return pages.join(one, ["pdf_id", "page"], "left").withColumn("inherited", F.coalesce(declared, "__before")).drop("__before")

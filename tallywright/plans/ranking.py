@@ -125,3 +125,10 @@ SELECT capture_id, segment_id, place, round(margin, 6) AS margin, CASE WHEN plac
     "order_conflicts": f"WITH {_SEQ}, m AS (SELECT key, floor(sum(pos) * 1000 / count(*))::BIGINT AS ref_pos FROM fp GROUP BY 1), x AS (SELECT fp.source, fp.key, m.ref_pos, max((m.ref_pos, fp.key)) OVER (PARTITION BY fp.source ORDER BY fp.pos, fp.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM fp JOIN m USING (key)) SELECT source, key, top[2] AS predecessor FROM x WHERE ref_pos < top[1]",
     "duplicate_keys": f"WITH {_SEQ} SELECT s.source, s.key, fp.pos AS first_pos, s.pos AS duplicate_pos FROM sq s JOIN fp USING (source, key) WHERE s.pos > fp.pos",
 }
+SQL["greedy_assignment"] = """WITH RECURSIVE s AS (SELECT DISTINCT capture_id, segment_id FROM table_segments), ob AS (SELECT DISTINCT capture_run_id AS capture_id, row_order, physical_segment_id AS own FROM long_observations),
+lk AS (SELECT capture_id AS anchor, row_order AS child_order, concat_ws(':', row_order, own) AS child, segment_id AS candidate, CASE WHEN own = segment_id THEN 0.9 ELSE 0.4 END AS score FROM ob JOIN s USING (capture_id)),
+kid AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY child_order NULLS FIRST, child) AS k FROM (SELECT DISTINCT anchor, child_order, child FROM lk)),
+walk AS (SELECT DISTINCT anchor, 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::VARCHAR AS child, NULL::VARCHAR AS candidate, NULL::DOUBLE AS score FROM lk
+ UNION ALL SELECT anchor, k, CASE WHEN m IS NULL THEN used ELSE list_append(used, m.c) END, child, m.c, -m.s FROM (SELECT w.anchor, w.k + 1 AS k, w.used, kid.child, min(CASE WHEN lk.candidate IS NOT NULL THEN {'s': -lk.score::DOUBLE, 'c': lk.candidate} END) AS m
+  FROM walk w JOIN kid ON kid.anchor = w.anchor AND kid.k = w.k + 1 LEFT JOIN lk ON lk.anchor = w.anchor AND lk.child = kid.child AND NOT list_contains(w.used, lk.candidate) GROUP BY 1, 2, 3, 4))
+SELECT anchor, child, candidate, score, CASE WHEN candidate IS NULL THEN 'CONFLICT' ELSE 'ASSIGNED' END AS status FROM walk WHERE k > 0"""

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.functions import text
 from tallywright.operators import inbox as ib
 from tallywright.operators import pages as pg
 from tallywright.operators import registry as rg
 from tallywright.operators import retrieval as rt
 from tallywright.operators.observations import latest_delivery
+from tallywright.plans.scalars import sql_norm
 from tallywright.sources.tables import table
 
 ITEMS = ("租赁负债", "使用权资产", "投资合同负债", "保险合同", "递延所得税资产", "未到期责任准备金")
@@ -177,3 +179,34 @@ y AS (SELECT *, lower(regexp_replace(array_to_string(ls, ''), '\s+', '', 'g')) A
 SELECT page_id, contains(head, '目录') OR contains(head, 'contents') OR (len(list_filter(ls, lambda l: regexp_matches(l, '[.．·…]{{3,}}'))) >= 2 AND len(list_filter(ls, lambda l: regexp_matches(trim(l), '\d{{1,4}}$'))) >= 3) AS is_contents,
  CASE WHEN {" OR ".join(f"contains(c, '{w}')" for w in pg.STATEMENTS["INCOME"])} THEN round(least(0.99::DOUBLE, 0.58::DOUBLE + least(0.22::DOUBLE, ({" + ".join(f"contains(c, '{w}')::INT" for w in pg.STRUCTURE_WORDS)}) * 0.04::DOUBLE)
   + CASE WHEN regexp_matches(c, '20\d{{2}}年|年\d{{1,2}}月\d{{1,2}}日|期末|期初') THEN 0.08 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(c, '人民币[元万千]|单位[:：]?(?:元|万元|千元|百万元)') THEN 0.06 ELSE 0 END::DOUBLE), 4) ELSE 0.0 END::DOUBLE AS income_score FROM y"""
+
+
+def _sql_number(x: str) -> str:
+    """0 to 999 from digits or Chinese numerals."""
+
+    def digit(t: str, missing: int) -> str:
+        return f"CASE WHEN regexp_matches({t}, '^[零〇一二三四五六七八九]$') THEN try_cast(translate({t}, '零〇一二三四五六七八九', '00123456789') AS INT) ELSE {missing} END"
+
+    def below(t: str) -> str:
+        left, right = f"split_part({t}, '十', 1)", f"regexp_replace({t}, '^[^十]*十', '')"
+        tens = f"(CASE WHEN {left} = '' THEN 1 ELSE {digit(left, 1)} END) * 10 + (CASE WHEN {right} = '' THEN 0 ELSE {digit(right, 0)} END)"
+        return f"CASE WHEN regexp_matches({t}, '^\\d+$') THEN try_cast({t} AS INT) WHEN contains({t}, '十') THEN {tens} WHEN regexp_matches({t}, '^[零〇一二三四五六七八九]+$') THEN try_cast(translate({t}, '零〇一二三四五六七八九', '00123456789') AS INT) END"
+
+    rest = f"regexp_replace({x}, '^[^百]*百', '')"
+    hundreds = digit(f"split_part({x}, '百', 1)", 1)
+    return f"CASE WHEN contains({x}, '百') THEN {hundreds} * 100 + coalesce(CASE WHEN {rest} = '' THEN 0 ELSE {below(rest)} END, 0) ELSE {below(x)} END"
+
+
+_HEADING = r"^[（(]?(\d{1,3}|[零〇一二三四五六七八九十百]{1,5})[）)]?(?:[.．、:：])?(.+?)$"
+_HEADS = rf"""hl AS (SELECT doc_id AS page_id, unnest(range(len(s))) AS line, regexp_replace(unnest(s), '\s+', '', 'g') AS c FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+hx AS (SELECT *, regexp_extract(c, '{_HEADING}', 1) AS num, regexp_extract(c, '{_HEADING}', 2) AS title FROM hl WHERE regexp_matches(c, '{_HEADING}') AND NOT regexp_matches(c, '^\d+(?:个)?(?:月|日|天|年)(?:至|到|以上|以内|以下|—|–|-)')),
+hd AS (SELECT page_id, line, {_sql_number('num')} AS ordinal, title FROM hx), heads AS (SELECT * FROM hd WHERE ordinal IS NOT NULL AND regexp_matches(title, '[A-Za-z\x{{4E00}}-\x{{9FFF}}]') AND NOT regexp_matches(title, '(?i)^[+\-−(（]?\d|^(?:人民币|RMB|USD)\d'))"""
+SQL["note_heading_lines"] = f"WITH {_HEADS} SELECT page_id, line, ordinal, title FROM heads"
+SQL["located_notes"] = rf"""WITH {_REFS}, {_HEADS}, w AS (SELECT DISTINCT item, note, {sql_norm('item')} AS n FROM refs), h AS (SELECT *, {sql_norm('title')} AS t FROM heads),
+f AS (SELECT item, note, page_id, line, 0.98 AS c, CASE WHEN t = n THEN 0.28 WHEN starts_with(t, n) THEN 0.24 ELSE 0.14 END AS g FROM w JOIN h ON h.ordinal = w.note AND contains(t, n) UNION ALL SELECT item, note, page_id, line, 0.90, 0.28 FROM w JOIN h ON t = n),
+b AS (SELECT item, note, min((-c, -g, page_id, line)) AS m FROM f GROUP BY 1, 2) SELECT w.item, w.note, m[3] AS page_id, m[4] AS line, coalesce(-m[1], 0)::DOUBLE AS confidence FROM w LEFT JOIN b USING (item, note)"""
+_MEMBER = "CASE " + " ".join(f"WHEN starts_with(content, '{i}') THEN '{i}'" for i in sorted(ITEMS, key=lambda x: (len(x), x), reverse=True)) + " END"
+SQL["statement_member_rows"] = rf"""WITH {_LINES}, m AS (SELECT *, {_MEMBER} AS member, len(regexp_extract_all(content, '(\d[\d,]*(?:\.\d+)?)', 1)) AS n FROM ln),
+g AS (SELECT page_id, count(DISTINCT member) AS members, min(line) AS first_line, sum(n)::BIGINT AS amounts, string_agg(DISTINCT member, '|' ORDER BY member) AS labels FROM m WHERE member IS NOT NULL GROUP BY 1),
+r AS (SELECT *, regexp_matches(labels, '{"|".join(text.NEW_REGIME)}') AS a, regexp_matches(labels, '{"|".join(text.LEGACY_REGIME)}') AS b FROM g)
+SELECT page_id, members, first_line, amounts, labels, CASE WHEN a AND b THEN '{text.REGIMES[0]}' WHEN a THEN '{text.REGIMES[1]}' WHEN b THEN '{text.REGIMES[2]}' ELSE 'UNKNOWN' END AS regime FROM r"""

@@ -94,7 +94,7 @@ PageParser = Callable[[str, bytes], Iterator[dict]]
 
 
 def read_pages(spark: SparkSession, path: str, parser: PageParser, config_key: str = "", cached: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
-    """SC8-SC11, SC21, FN13, FN49: pages of stored files by a pluggable parser (path, bytes) -> page records.
+    """SC8-SC10, FN13: pages of stored files by a pluggable parser (path, bytes) -> page records.
 
     Files are read as binary and parsed where they lie; pages already in ``cached`` (same file hash and configuration) are not parsed
     again, and ``wanted`` (pdf_sha256) restricts the files by a semi join. The result is PAGE_INDEX; cached pages are united with new ones.
@@ -117,6 +117,27 @@ def read_pages(spark: SparkSession, path: str, parser: PageParser, config_key: s
     return new if cached is None else cached.where(F.col("config_key") == config_key).unionByName(new)
 
 
+def read_candidate_pages(spark: SparkSession, path: str, parser: Callable[[str, bytes, list[int]], Iterator[dict]], candidates: DataFrame, budget: int, config_key: str = "") -> DataFrame:
+    """SC11: costly reading of the best candidate pages only: of each file at most ``budget`` pages (pdf_sha256, page, score; ties go to the earlier page) are handed to the parser
+    (path, bytes, pages). Files without candidates are not parsed. The result is PAGE_INDEX with ocr_used true."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("pdf_sha256").orderBy(F.desc("score"), "page")
+    chosen = candidates.groupBy("pdf_sha256", "page").agg(F.max("score").alias("score")).withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= budget)
+    wanted = chosen.groupBy("pdf_sha256").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("pdf_sha256")).join(wanted, "pdf_sha256")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for f in pdf.itertuples():
+                allowed = {int(p) for p in f.pages}
+                rows = [{"pdf_sha256": f.pdf_sha256, "config_key": config_key, "page": p["page"], "text": p.get("text", ""), "text_chars": len(p.get("text", "")), "source": p.get("source", "ocr"), "ocr_used": True} for p in parser(f.path, f.content, sorted(allowed)) if p["page"] in allowed]
+                if rows:
+                    yield pd.DataFrame(rows, columns=schemas.PAGE_INDEX.names)
+
+    return files.select("path", "content", "pdf_sha256", "pages").mapInPandas(parse, schemas.PAGE_INDEX)
+
+
 def text_pages(path: str, content: bytes) -> Iterator[dict]:
     """Parser of plain text files: pages end with a form feed."""
     for k, text in enumerate(content.decode("utf-8", "replace").split("\f"), start=1):
@@ -126,3 +147,13 @@ def text_pages(path: str, content: bytes) -> Iterator[dict]:
 def read_control_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """SC15: one control-plane table over JDBC, for import; Parquet tables are the working form."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+def import_control_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """SC15: control-plane tables (from ``read_control_table`` or any other reader) as Parquet in ``folder``, read back under their names."""
+    out = {}
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        out[name] = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+        out[name].createOrReplaceTempView(name)
+    return out

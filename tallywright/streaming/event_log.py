@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import queue
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tallywright import schemas
 
@@ -20,7 +22,7 @@ def once_each(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """ST1, ST2: events per type and window; events later than ``late`` behind the newest are left out."""
+    """ST2: events per type and window; events later than ``late`` behind the newest are left out."""
     g = events.withWatermark("at", late).groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n"))
     return g.select(F.col("window.start").alias("start"), "event_type", "n")
 
@@ -57,3 +59,36 @@ def cache_pages(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
     query = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+class ProgressQueue(StreamingQueryListener):
+    """ST1: progress of running streams as events in a queue: register it with ``spark.streams.addListener``, poll it, and drain it once a query has ended.
+
+    Events are dictionaries: kind STARTED, PROGRESS (batch, rows, rows a second), IDLE or TERMINATED (with the error, if any). The end comes after all progress of its query.
+    """
+
+    def __init__(self) -> None:
+        self._events: queue.Queue[dict] = queue.Queue()
+
+    def onQueryStarted(self, event) -> None:
+        self._events.put({"kind": "STARTED", "id": str(event.id), "name": event.name})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._events.put({"kind": "PROGRESS", "id": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_a_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        self._events.put({"kind": "IDLE", "id": str(event.id)})
+
+    def onQueryTerminated(self, event) -> None:
+        self._events.put({"kind": "TERMINATED", "id": str(event.id), "error": event.exception})
+
+    def poll(self, seconds: float = 0.2) -> list[dict]:
+        """Events that are there; waits up to ``seconds`` for a first one."""
+        out = []
+        try:
+            out.append(self._events.get(timeout=seconds))
+            while True:
+                out.append(self._events.get_nowait())
+        except queue.Empty:
+            return out

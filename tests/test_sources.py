@@ -88,8 +88,75 @@ def test_page_cache_stream(spark, tmp_path):
 
 def test_strategies(spark):
     reg = StrategyRegistry()
-    reg.register(Strategy("none", lambda r: True, lambda r: spark.createDataFrame([], "x int"), lambda d: d))
+    reg.register(Strategy("none", lambda r: not r["ok"], lambda r: spark.createDataFrame([], "x int"), lambda d: d))  # several that support one request are an error
     reg.register(Strategy("one", lambda r: r["ok"], lambda r: spark.range(3), lambda d: d.orderBy("id")))
     assert reg.resolve({"ok": True})[0] == "one" and reg.resolve({"ok": False}) == (None, None)
     with pytest.raises(ValueError):
         reg.register(Strategy("one", lambda r: True, lambda r: spark.range(1), lambda d: d))
+
+
+def test_presentation_sheet(spark, tmp_path):
+    import zipfile
+    import xml.etree.ElementTree as ET
+
+    from tallywright.sources import sinks
+
+    df = spark.createDataFrame([("资产 & <b>", 1.5, None, False), ("合计", 2.0, 7.0, True)], "item string, a double, b double, total boolean")
+    path = str(tmp_path / "sheet.xlsx")
+    assert sinks.write_presentation(df, path, {"item": ["", "项目"], "a": ["2022", "合并"], "b": ["2022", "公司"]}, bold="total") == 2
+    with zipfile.ZipFile(path) as z:
+        for name in z.namelist():
+            ET.fromstring(z.read(name))
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert 'mergeCell ref="B1:C1"' in sheet and '<c r="A4" s="1"' in sheet and "资产 &amp; &lt;b&gt;" in sheet and '<c r="B3" s="0"><v>1.5</v>' in sheet
+    with pytest.raises(ValueError):
+        sinks.write_presentation(df, path, {}, rows=1)
+
+
+def test_candidate_pages_within_a_budget(spark, tmp_path):
+    import hashlib
+
+    from tallywright.sources import documents
+
+    (tmp_path / "a.txt").write_text("p1\fp2\fp3")
+    (tmp_path / "b.txt").write_text("q1")
+    sha = hashlib.sha256(b"p1\fp2\fp3").hexdigest()
+    cand = spark.createDataFrame([(sha, 1, 0.1), (sha, 2, 0.9), (sha, 3, 0.9), (sha, 2, 0.2), ("other", 1, 1.0)], "pdf_sha256 string, page int, score double")
+
+    def parser(path, content, pages):
+        return [{"page": k, "text": t} for k, t in enumerate(content.decode().split("\f"), start=1)]  # gives more than it was asked for
+
+    got = documents.read_candidate_pages(spark, str(tmp_path), parser, cand, 2, "k").collect()
+    assert sorted((r.page, r.text, r.ocr_used) for r in got) == [(2, "p2", True), (3, "p3", True)]
+
+
+def test_progress_queue(spark, tmp_path):
+    from tallywright.streaming.event_log import ProgressQueue
+
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    progress = ProgressQueue()
+    spark.streams.addListener(progress)
+    try:
+        q = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        events = []
+        for _ in range(50):
+            events += progress.poll(0.2)
+            if events and events[-1]["kind"] == "TERMINATED":
+                break
+    finally:
+        spark.streams.removeListener(progress)
+    assert events[0]["kind"] == "STARTED" and events[-1] == {"kind": "TERMINATED", "id": events[0]["id"], "error": None} and sum(e.get("rows", 0) for e in events) == 3
+
+
+def test_control_tables_and_datasets(spark, tmp_path):
+    from tallywright.sources import documents, sinks
+
+    t = documents.import_control_tables({"jobs_imported": spark.createDataFrame([("a", None)], "id string, n int")}, str(tmp_path / "control"))
+    assert spark.sql("SELECT count(*) FROM jobs_imported").first()[0] == 1 and t["jobs_imported"].first().n is None
+    long = spark.createDataFrame([("o1", "c", 1, 1, "x", "X", 5.0, "元"), ("o2", "c", 9, 1, "y", "Y", 6.0, None)], "observation_id string, capture_run_id string, row_order int, column_ordinal int, normalized_item string, raw_item string, value double, unit string")
+    sets = sinks.capture_datasets(long, spark.createDataFrame([("c", 5)], "capture_run_id string, cutoff int"), [1])
+    assert {k: v.count() for k, v in sets.items()} == {"machine_full_long": 2, "official_long": 1, "excluded_long": 1, "official_wide": 1, "item_dictionary": 1}
+    r = spark.createDataFrame([("k", "UNRESOLVED", 1.0)], "id string, status string, value double")
+    v = spark.createDataFrame([], "id string, line int, review_status string, override_value double")
+    assert sinks.batch_datasets(r, v, ["id"])["review_queue"].count() == 1
