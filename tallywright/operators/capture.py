@@ -12,6 +12,7 @@ from tallywright.functions.numbers import is_number_like, parse_number
 from tallywright.functions.periods import is_period_header, latest_year
 from tallywright.functions.text import find_label, infer_table_type, normalize_text
 from tallywright.operators import observations as ob
+from tallywright.session import small
 from tallywright.sources.sinks import write_datasets
 
 
@@ -32,7 +33,7 @@ def table_regions(lines: DataFrame, titles: DataFrame) -> DataFrame:
     placed = x.withColumn("start", at).where("start IS NOT NULL AND heading IS NULL")
     wanted = titles.select("title", normalize_text("title").alias("n")).where("n <> ''").distinct()
     hit = normalize_text("start.title").contains(F.col("n"))
-    return placed.join(F.broadcast(wanted), hit).select("doc_id", "title", F.col("start.page").alias("start_page"), F.col("start.line").alias("start_line"), "page", "line", "content")  # the list of titles is fixed
+    return placed.join(small(wanted), hit).select("doc_id", "title", F.col("start.page").alias("start_page"), F.col("start.line").alias("start_line"), "page", "line", "content")
 
 
 def header_lines(region_lines: DataFrame) -> DataFrame:

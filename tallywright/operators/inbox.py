@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions.text import as_bool, identity_text, string_similarity
+from tallywright.session import small
 
 SEVERITY = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
@@ -147,9 +148,9 @@ def batch_long(results: DataFrame) -> DataFrame:
 
 def metric_candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
     """SO11: best metrics of each query by 0.8 x similarity of the closest name and 0.2 x keyword share: (query, metric_id, score, place).
-    Queries are distinct texts; ``terms`` (metric_id, term, weight) is the fixed rulebook, so every query meets every term in one pass over a broadcast list."""
+    Queries are distinct texts; ``terms`` (metric_id, term, weight) is the fixed rulebook, whose size is checked before it is broadcast to them."""
     q = queries.select("query").where("query IS NOT NULL").distinct()
-    pairs = q.join(F.broadcast(terms))  # the rulebook: a few hundred terms
+    pairs = q.join(small(terms))
     scored = pairs.withColumn("s", string_similarity("query", "term")).groupBy("query", "metric_id").agg(
         F.max("s").alias("sim"), (F.count_if(F.col("query").contains(F.col("term")) & (F.col("weight") <= 1)) / F.greatest(F.lit(1), F.count_if(F.col("weight") <= 1))).alias("kw")
     )

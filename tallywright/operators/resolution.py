@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tallywright.functions.numbers import UNIT_FACTORS
 from tallywright.functions.periods import is_period_header
 from tallywright.functions.text import clean_cell, normalize_text
+from tallywright.session import small
 
 # Base quality of a row's source by the beginning or part of its method, and what recovery takes off.
 SOURCE_BASE = (("^pdfplumber_table", 1.0), ("pymupdf_ocr", 0.80), ("^coordinate_rows", 0.70))
@@ -202,11 +203,9 @@ def template_rank(queries: DataFrame, templates: DataFrame, n: int = 5, most: in
     Queries: query_id, company, table_id, row_paths; templates: template_id and the same. A store of templates is small: more than ``most`` are refused, and
     they are broadcast to the queries. Null or blank company and table give no bonus.
     """
-    if templates.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} templates")
     t = templates.select("template_id", F.col("company").alias("__c"), F.col("table_id").alias("__t"), F.array_join(F.coalesce("row_paths", F.array().cast("array<string>")), "|").alias("__rows"))
     same = lambda a, b: F.coalesce((F.col(a) == F.col(b)) & (F.col(a) != ""), F.lit(False))
-    x = queries.select("query_id", "company", "table_id", F.array_join(F.coalesce("row_paths", F.array().cast("array<string>")), "|").alias("rows")).join(F.broadcast(t))
+    x = queries.select("query_id", "company", "table_id", F.array_join(F.coalesce("row_paths", F.array().cast("array<string>")), "|").alias("rows")).join(small(t, most))
     score = _ratio("rows", "__rows") * TEMPLATE_ROWS + F.when(same("company", "__c"), TEMPLATE_COMPANY).otherwise(0.0) + F.when(same("table_id", "__t"), TEMPLATE_TABLE).otherwise(0.0)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "template_id")
     return x.withColumn("score", F.round(F.least(F.lit(1.0), score), 4)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "template_id", "score", "place")

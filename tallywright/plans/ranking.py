@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywright.operators import retrieval as rt
 from tallywright.operators import sequences as sq
 from tallywright.plans.scalars import sql_norm
+from tallywright.session import small
 from tallywright.sources.tables import table
 
 
@@ -29,7 +30,7 @@ def label_scores(spark: SparkSession, d: str) -> DataFrame:
     """RK2: every distinct query against every metric of the rulebook (no SQL: difflib ratio)."""
     q = table(spark, d, "captures").where("table_query IS NOT NULL").groupBy(F.col("table_query").alias("label")).agg(F.count("*").alias("n_values")).withColumn("row", F.lit(3)).withColumn("rows", F.lit(20))
     m = table(spark, d, "metric_aliases").select("metric_id", "canonical_name", "aliases", "soft_aliases", "exclude", "position_hint")
-    return rt.score_labels(q.crossJoin(F.broadcast(m))).select("label", "metric_id", "score", "match_class")  # the rulebook is fixed
+    return rt.score_labels(q.crossJoin(small(m))).select("label", "metric_id", "score", "match_class")
 
 
 def label_rank_margin(spark: SparkSession, d: str) -> DataFrame:

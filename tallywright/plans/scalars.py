@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions import notes, numbers, periods, text
+from tallywright.session import small
 from tallywright.sources.tables import table
 
 
@@ -75,7 +76,7 @@ def fn_title_match(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "captures").select("table_query").where("table_query IS NOT NULL").distinct()
     m = table(spark, d, "metric_aliases").select("metric_id", "canonical_name")
     w = text.title_match_weight("canonical_name", "table_query")
-    pairs = q.join(F.broadcast(m), text.normalize_text("table_query").contains(text.normalize_text("canonical_name")))  # the list of names is fixed
+    pairs = q.join(small(m), text.normalize_text("table_query").contains(text.normalize_text("canonical_name")))
     return pairs.select("table_query", "metric_id", w["kind"].alias("kind"), w["weight"].alias("weight"))
 
 

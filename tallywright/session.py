@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -42,17 +43,42 @@ def checkpoint_root(spark: SparkSession) -> str:
     return str(current).rstrip("/")
 
 
+#: Most rows of a list that ``small`` lets through.
+SMALL_ROWS = 20_000
+
+
+def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A short list (rulebook, titles, one-row aggregate) marked for broadcast, once its size is checked: more than ``most`` rows are an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows where a short list is expected")
+    return F.broadcast(rows)
+
+
+#: Folders of the workspaces of each application, until they are released.
+_FOLDERS: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that workspaces of this application wrote; frames that read them are of no use afterwards. Returns the number of folders."""
+    folders = _FOLDERS.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        files, target = _files(spark, folder)
+        files.delete(target, True)
+    return len(folders)
+
+
 class Workspace:
     """Tables written to the shared folder, so that iterative operators survive a lost executor.
 
     ``save`` writes a frame as Parquet and reads it back (lineage ends there);
-    ``drop`` deletes a table that later steps do not read any more.
+    ``drop`` deletes a table that later steps do not read any more. What a result still reads stays until ``release``.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
