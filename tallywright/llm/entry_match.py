@@ -30,6 +30,8 @@ TRAILING = (
     r"(?:明细表|构成表|情况表|明细|一览表|汇总表)$",
 )
 ROUNDS = 3
+#: Most reference terms whose symmetric-delete dictionary (37 keys a term at most) is broadcast.
+MOST_BROADCAST = 20_000
 
 
 def core(text: Column | str) -> Column:
@@ -46,6 +48,11 @@ def allowed_steps(length: int) -> int:
     return 1 if length < 6 else 2
 
 
+def _may_be_near(a: str, b: str) -> Column:
+    """Whether two texts can lie within the bound: a swap of neighbours is two steps of the plain edit distance, so twice the bound loses no pair."""
+    return F.when(F.least(F.length(a), F.length(b)) < 6, F.levenshtein(a, b, 2) >= 0).otherwise(F.levenshtein(a, b, 4) >= 0)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _keys(term: pd.Series) -> pd.Series:
     return term.map(lambda t: deletion_variants(t, allowed_steps(len(t))))
@@ -85,10 +92,13 @@ def match_cores(cores: DataFrame, terms: DataFrame) -> DataFrame:
     """
     frequency = terms.join(cores.withColumnRenamed("core", "term"), ["source_field", "term"]).groupBy("source_field", "ref_id").agg(F.sum("n").alias("frequency"))
     keyed = terms.join(frequency, ["source_field", "ref_id"], "left").select("source_field", "term", "ref_id", "rank", F.coalesce("frequency", F.lit(0)).alias("frequency"))
-    longest = (terms.agg(F.max(F.length("term"))).first()[0] or 0) + 2  # longer texts cannot lie within two steps of any term
+    bound = terms.agg(F.max(F.length("term")).alias("longest"), F.count("*").alias("n")).first()
+    longest = (bound.longest or 0) + 2  # longer texts cannot lie within two steps of any term
     dictionary = keyed.select("*", F.explode(_keys("term")).alias("key"))
+    if bound.n <= MOST_BROADCAST:  # else the two sides meet by a shuffle
+        dictionary = F.broadcast(dictionary)
     probes = cores.where((F.length("core") > 0) & (F.length("core") <= longest)).select("source_field", "core", F.explode(_keys("core")).alias("key"))
-    near = probes.join(dictionary, ["source_field", "key"]).where(F.abs(F.length("core") - F.length("term")) <= 2)
+    near = probes.join(dictionary, ["source_field", "key"]).where(F.abs(F.length("core") - F.length("term")) <= 2).where(_may_be_near("core", "term"))
     tasks = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but many distances: spread by hand, not by size
     spread = near.select("source_field", "core", "term", "ref_id", "rank", "frequency").distinct().repartition(tasks, "core", "term")
     weight = _weight.asNondeterministic()  # keeps the null filter from pulling the distance below the spread, where it would run in one task
