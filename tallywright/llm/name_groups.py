@@ -182,37 +182,47 @@ def similar_forms(forms: DataFrame, least: float, ws: Workspace) -> DataFrame:
 def average_linkage(nodes: DataFrame, edges: DataFrame, threshold: float, ws: Workspace) -> DataFrame:
     """Average-linkage groups of weighted nodes (id, n) under similarities (a, b, cosine); (id, cluster).
 
-    Reciprocal nearest neighbours merge in rounds until no pair averages ``threshold``; for average linkage this gives the same
-    groups as merging the closest pair one at a time. Pairs without an edge count as similarity 0. A round is a few
-    aggregates over the remaining edges; no group is ever gathered in one task.
+    Reciprocal nearest neighbours merge in rounds until no pair averages ``threshold``. Average linkage is reducible: merging two nearest neighbours never brings
+    a third group nearer than it was to one of them, so the order of such merges does not matter except between equal averages, where the smaller id
+    is taken. Pairs without an edge count as similarity 0. A round is two aggregates over the remaining edges and two joins with the few
+    groups that merged; no group is ever gathered in one task. Merges are kept as links old -> new, each group has one, and pointer doubling follows
+    them at the end, so the plan does not grow with the rounds.
     """
-    assign = nodes.select("id", F.col("id").alias("cluster"), "n")
     sums = ws.save(
         edges.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
         .join(nodes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
         .select("a", "b", (F.col("cosine") * F.col("na") * F.col("nb")).alias("s"), "na", "nb")
     )
-    maps: list[DataFrame] = []
+    steps: list[DataFrame] = []
     while True:
         scored = sums.withColumn("avg", F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)).where(F.col("avg") >= threshold)
-        both = scored.select(F.col("a").alias("x"), F.col("b").alias("y"), "avg").unionByName(scored.select(F.col("b").alias("x"), F.col("a").alias("y"), "avg"))
-        best = both.groupBy("x").agg(F.min(F.struct((-F.col("avg")).alias("d"), F.col("y"))).alias("m")).select("x", F.col("m.y").alias("y"))
-        mutual = best.alias("p").join(best.alias("q"), (F.col("p.y") == F.col("q.x")) & (F.col("q.y") == F.col("p.x"))).where("p.x < p.y")
-        step = ws.save(mutual.select(F.col("p.y").alias("old"), F.col("p.x").alias("new")))
+        ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")
+        best = scored.select(ends, "avg", (F.col("na") + F.col("nb")).alias("n")).groupBy("e.x").agg(F.min(F.struct((-F.col("avg")).alias("d"), F.col("e.y").alias("y"), "n")).alias("m"))
+        mutual = best.groupBy(F.least("x", "m.y").alias("new"), F.greatest("x", "m.y").alias("old")).agg(F.count("*").alias("k"), F.max("m.n").alias("n")).where("k = 2")
+        step = ws.save(mutual.select("old", "new", "n"))
         if step.isEmpty():
             break
-        maps.append(step)
-        size = sums.select(F.col("a").alias("id"), F.col("na").alias("n")).unionByName(sums.select(F.col("b").alias("id"), F.col("nb").alias("n"))).distinct()
-        grown = size.join(step, size["id"] == step["old"], "left").groupBy(F.coalesce("new", "id").alias("id")).agg(F.sum("n").alias("n"))
-        moved = sums.select("a", "b", "s").join(step.select(F.col("old").alias("a"), F.col("new").alias("a2")), "a", "left").join(step.select(F.col("old").alias("b"), F.col("new").alias("b2")), "b", "left")
-        ends = moved.select(F.coalesce("a2", "a").alias("u"), F.coalesce("b2", "b").alias("v"), "s").where("u <> v")
-        merged = ends.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum("s").alias("s"))
-        new = ws.save(merged.join(grown.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(grown.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "s", "na", "nb"))
+        steps.append(step)
+        moves = step.select(F.explode(F.array("old", "new")).alias("id"), "new", "n")
+        moved = sums.join(moves.select(F.col("id").alias("a"), F.col("new").alias("a2"), F.col("n").alias("na2")), "a", "left").join(moves.select(F.col("id").alias("b"), F.col("new").alias("b2"), F.col("n").alias("nb2")), "b", "left")
+        end = lambda x: F.struct(F.coalesce(x + "2", x).alias("id"), F.coalesce("n" + x + "2", "n" + x).alias("n"))
+        pairs = moved.select(end("a").alias("u"), end("b").alias("v"), "s").where("u.id <> v.id").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "s")
+        new = ws.save(pairs.groupBy(F.col("u.id").alias("a"), F.col("v.id").alias("b")).agg(F.sum("s").alias("s"), F.max("u.n").alias("na"), F.max("v.n").alias("nb")))
         ws.drop(sums)
         sums = new
-    for step in maps:
-        assign = assign.join(step, assign["cluster"] == step["old"], "left").select("id", F.coalesce("new", "cluster").alias("cluster"))
-    return assign.select("id", "cluster")
+    ws.drop(sums)
+    assign = nodes.select("id", F.col("id").alias("cluster"))
+    if not steps:
+        return assign
+    links = steps[0].select("old", "new")
+    for step in steps[1:]:
+        links = links.unionByName(step.select("old", "new"))
+    links = ws.save(links)
+    for _ in range((len(steps) - 1).bit_length()):
+        longer = ws.save(links.join(links.select(F.col("old").alias("new"), F.col("new").alias("next")), "new", "left").select("old", F.coalesce("next", "new").alias("new")))
+        ws.drop(links)
+        links = longer
+    return assign.join(links, assign["id"] == links["old"], "left").select("id", F.coalesce("new", "cluster").alias("cluster"))
 
 
 def group_names(assets: DataFrame, captures: DataFrame, least: float = 0.2, threshold: float = 0.34) -> DataFrame:
