@@ -7,7 +7,7 @@ import pkgutil
 
 
 def registered() -> tuple[dict, dict]:
-    """Queries and SQL of every plan module, and of the text subpackage where it is installed."""
+    """Queries and SQL of every plan module."""
     queries: dict = {}
     sql: dict = {}
     for info in sorted(pkgutil.iter_modules(__path__), key=lambda m: m.name):

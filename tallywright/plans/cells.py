@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.functions import numbers, text
+from tallywright.functions import numbers, periods, text
 from tallywright.operators import capture as cp
 from tallywright.operators import inbox as ib
 from tallywright.operators import observations as ob
 from tallywright.operators import pages as pg
 from tallywright.operators import registry as rg
 from tallywright.operators import sequences as sq
+from tallywright.plans.reviewing import _HEADS, _LINES
 from tallywright.plans.scalars import sql_norm
 from tallywright.sources.documents import taxonomy_lookup
 from tallywright.sources.tables import table
@@ -160,3 +161,76 @@ SELECT page_id, lane::BIGINT AS lane, min(x1) AS "left", max(x1) AS "right", cou
     "word_columns": f"""WITH {_WORDS}, an AS (SELECT DISTINCT page_id, floor(x0 / 80)::INT AS anchor_id FROM ws), m AS (SELECT ws.page_id, ws.text AS word_id, min((abs((x0 + x1) / 2 - (anchor_id * 80.0::DOUBLE + 20)), anchor_id)) AS b FROM ws JOIN an USING (page_id) WHERE abs((x0 + x1) / 2 - (anchor_id * 80.0::DOUBLE + 20)) <= 18 GROUP BY 1, 2)
 SELECT ws.text AS word_id, b[2] AS anchor_id, b[1] AS distance, round(greatest(0.0, least(x1, 120.0) - greatest(x0, 80.0)) / greatest(1e-9, least(x1 - x0, 40.0)), 6)::DOUBLE AS overlap FROM ws LEFT JOIN m ON m.page_id = ws.page_id AND m.word_id = ws.text""",
 }
+
+TITLES = ("说明", "保险", "准备金", "风险", "结余")
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    lines = pg.lines_of(_docs(spark, d)).select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), "line", "content")
+    return cp.table_regions(lines, spark.createDataFrame([(t,) for t in TITLES], "title string"))
+
+
+def region_lines(spark: SparkSession, d: str) -> DataFrame:
+    """HI18: lines below headings that name one of TITLES."""
+    return _regions(spark, d).select("doc_id", "title", "start_line", "line")
+
+
+def region_headers(spark: SparkSession, d: str) -> DataFrame:
+    """HI16."""
+    h = cp.header_lines(_regions(spark, d))
+    return h.select("doc_id", "title", "start_line", "header_line", F.array_join("headers", "|").alias("headers"))
+
+
+def region_rows(spark: SparkSession, d: str) -> DataFrame:
+    """HI17, HI21."""
+    r = _regions(spark, d)
+    return cp.table_rows(r, cp.header_lines(r)).select("doc_id", "title", "start_line", "row_order", "raw_item", "column_ordinal", "value", "data_year")
+
+
+def best_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """HI20: pieces of a capture on its pages as blocks; cells are their identity, unit and confidence."""
+    s = table(spark, d, "table_segments").where("pdf_page_number IS NOT NULL").groupBy("capture_id", "pdf_page_number", "segment_id").agg(F.min(F.coalesce("note_identity", F.lit(""))).alias("a"), F.min(F.coalesce("unit", F.lit(""))).alias("b"))
+    rows = F.array(F.array("a", "b"), F.when(F.col("b") != "", F.array(F.lit("12"), "a", F.lit("3"))).otherwise(F.array(F.lit("7"), "a")))
+    return cp.best_blocks(s.select(F.col("capture_id").alias("doc_id"), F.col("pdf_page_number").alias("page"), F.col("segment_id").alias("block"), rows.alias("rows")), "附注")
+
+
+def definition_versions(spark: SparkSession, d: str) -> DataFrame:
+    """UD7: the rulebook as definitions; one gets a new version, another is archived."""
+    m = table(spark, d, "metric_aliases").select(F.col("metric_id").alias("definition_id"), F.lit(1).alias("version"), F.col("canonical_name").alias("payload"), F.lit("CURRENT").alias("status"))
+    return cp.new_definition(cp.new_definition(m, "MET-001", "新"), "MET-002", "", archive=True)
+
+
+QUERIES |= {f.__name__: f for f in (region_lines, region_headers, region_rows, best_blocks, definition_versions)}
+
+_TITLES = ", ".join(f"('{t}')" for t in TITLES)
+_CELLS = r"list_filter(regexp_split_to_array(content, '\t+|\s{2,}|\s*\|\s*'), lambda c: trim(c) <> '')"
+_REGION = f"""{_LINES}, {_HEADS}, wt AS (SELECT title AS t, {sql_norm('title')} AS n FROM (VALUES {_TITLES}) v(title)),
+pl AS (SELECT ln.page_id AS doc_id, ln.line, ln.content, max(h.line) AS start_line FROM ln JOIN heads h ON h.page_id = ln.page_id AND h.line < ln.line WHERE NOT EXISTS (SELECT 1 FROM heads g WHERE g.page_id = ln.page_id AND g.line = ln.line) GROUP BY ALL),
+rg AS (SELECT pl.*, wt.t AS title FROM pl JOIN heads h ON h.page_id = pl.doc_id AND h.line = pl.start_line JOIN wt ON contains({sql_norm('h.title')}, wt.n)), rc AS (SELECT *, {_CELLS} AS cells FROM rg)"""
+_PERIOD = rf"""list_filter(cells, lambda c: {_CELL.format('c')} <> '' AND (regexp_matches({_CELL.format('c')}, '20\d{{2}}') OR regexp_matches({sql_norm(_CELL.format('c'))}, '{"|".join(periods.HEADER_WORDS)}')))"""
+_HEADER = f"{_REGION}, hp AS (SELECT *, {_PERIOD} AS ps FROM rc), hh AS (SELECT * FROM hp WHERE len(ps) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, title, start_line ORDER BY len(ps) DESC, line) = 1)"
+_F = "translate({0}, '（）', '()')"
+
+
+def _ok(x: str) -> str:
+    c = _CELL.format(x)
+    return f"(regexp_matches({_F.format(c)}, '{numbers.NUMBER}') AND {c} NOT IN ('', '-', '—', '–', '－', '不适用', 'N/A', 'n/a'))"
+
+
+def _value(x: str) -> str:
+    f = _F.format(_CELL.format(x))
+    v = f"try_cast(regexp_replace(regexp_extract({f}, '{numbers.NUMBER}', 2), '[,，]', '', 'g') AS DOUBLE)"
+    return f"CASE WHEN regexp_extract({f}, '{numbers.NUMBER}', 1) = '-' OR (starts_with({f}, '(') AND contains({f}, ')')) THEN -{v} ELSE {v} END"
+
+
+SQL["region_lines"] = f"WITH {_REGION} SELECT doc_id, title, start_line, line FROM rg"
+SQL["region_headers"] = f"WITH {_HEADER} SELECT doc_id, title, start_line, line AS header_line, array_to_string(ps, '|') AS headers FROM hh"
+SQL["region_rows"] = rf"""WITH {_HEADER}, b AS (SELECT rc.*, hh.ps, list_filter(rc.cells, lambda c: {_ok('c')}) AS ns, list_filter(list_transform(rc.cells[1:8], lambda c: {_CELL.format('c')}), lambda c: c <> '' AND length(c) <= 150 AND NOT {_ok('c')})[1] AS label FROM rc JOIN hh USING (doc_id, title, start_line) WHERE rc.line > hh.line),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title, start_line ORDER BY line) AS row_order FROM b WHERE len(ns) > 0), u AS (SELECT *, unnest(range(1, len(ns) + 1)) AS k FROM r)
+SELECT doc_id, title, start_line, row_order, label AS raw_item, k AS column_ordinal, {_value('ns[k]')} AS value, list_max(list_transform(regexp_extract_all(coalesce(ps[k], ''), '(20\d{{2}})', 1), lambda y: y::INT)) AS data_year FROM u"""
+SQL["best_blocks"] = rf"""WITH s AS (SELECT capture_id AS doc_id, pdf_page_number AS page, segment_id AS block, min(coalesce(note_identity, '')) AS a, min(coalesce(unit, '')) AS b FROM table_segments WHERE pdf_page_number IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT *, CASE WHEN b <> '' THEN [a, b, '12', a, '3'] ELSE [a, b, '7', a] END AS cs, CASE WHEN b <> '' THEN 3 ELSE 2 END AS width FROM s),
+x AS (SELECT *, len(list_filter(cs, lambda c: {_ok('c')}))::DOUBLE / len(cs) + CASE WHEN contains({sql_norm("array_to_string(cs, ' ')")}, '附注') THEN 1 ELSE 0 END AS score, {sql_norm("array_to_string(cs, ' ')")} AS n FROM c), f AS (SELECT doc_id, arg_min(width, (page, -score, block)) AS wanted FROM x GROUP BY 1),
+y AS (SELECT *, {", ".join(f"{v} AS h{i}" for i, v in enumerate(_HITS.values()))} FROM x JOIN f USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY (width = wanted) DESC, score DESC, block) = 1)
+SELECT doc_id, page, block, width, CASE WHEN greatest({", ".join(f"h{i}" for i in range(len(_HITS)))}) = 0 THEN '未知表' {" ".join(f"WHEN h{i} = greatest({', '.join(f'h{j}' for j in range(len(_HITS)))}) THEN '{k}'" for i, k in enumerate(_HITS))} END AS table_type, round(score, 6) AS score FROM y"""
+SQL["definition_versions"] = "SELECT metric_id AS definition_id, 1 AS version, canonical_name AS payload, CASE metric_id WHEN 'MET-001' THEN 'SUPERSEDED' WHEN 'MET-002' THEN 'ARCHIVED' ELSE 'CURRENT' END AS status FROM metric_aliases UNION ALL SELECT 'MET-001', 2, '新', 'CURRENT'"
