@@ -52,7 +52,8 @@ def source_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def mapping_queue_status(spark: SparkSession, d: str) -> DataFrame:
     o = _obs(spark, d).withColumn("normalized_item", F.trim(F.coalesce("normalized_item", F.lit(""))))
-    return ob.mapping_queue(o, ob.source_keys(o))
+    q = ob.mapping_queue(o, ob.source_keys(o))
+    return q.select("row_key", "occurrences", "capture_count", "company_count", "first_company", "examples", "mapping_status")  # the other columns: taxonomy_queue
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
