@@ -59,12 +59,12 @@ def resolve(rows: DataFrame, dims: Sequence[str] = DIMENSIONS, seq: Sequence[str
     by_capture = _numeric(rows).groupBy(F.struct(*dims).alias("__id"), "capture_run_id", "value").agg(
         F.min(F.struct(*seq)).alias("s"), F.count("*").alias("n"), F.min("column_ordinal").alias("lo"), F.max("column_ordinal").alias("hi")
     )
-    small = by_capture.groupBy("__id", "value").agg(F.min("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    captures = by_capture.groupBy("__id").agg(F.countDistinct("capture_run_id").alias("capture_count"))
+    first = (F.row_number().over(Window.partitionBy("__id", "capture_run_id").orderBy("value")) == 1) & F.col("capture_run_id").isNotNull()  # counts each capture once
+    small = by_capture.withColumn("c", first.cast("long")).groupBy("__id", "value").agg(F.min("s").alias("s"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     collected = small.groupBy("__id").agg(
-        F.sum("n").alias("source_count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("s", F.col("value").alias("v")))).alias("vs")
+        F.sum("n").alias("source_count"), F.sum("c").alias("capture_count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("s", F.col("value").alias("v")))).alias("vs")
     )
-    grouped = collected.join(captures, "__id").select(*(F.col("__id." + d).alias(d) for d in dims), "source_count", "capture_count", "lo", "hi", "vs")
+    grouped = collected.select(*(F.col("__id." + d).alias(d) for d in dims), "source_count", "capture_count", "lo", "hi", "vs")
     values = grouped.withColumn("values", distinct_in_order(F.col("vs.v"))).withColumn("identity_missing", missing)
     many = F.size("values") > 1
     dim_missing = (identity_text("data_year") == "") | (identity_text("statement_scope") == "")

@@ -71,14 +71,16 @@ class Workspace:
     """Tables written to the shared folder, so that iterative operators survive a lost executor.
 
     ``save`` writes a frame as Parquet and reads it back (lineage ends there);
-    ``drop`` deletes a table that later steps do not read any more. What a result still reads stays until ``release``.
+    ``drop`` deletes a table that later steps do not read any more. What a result still reads stays until ``release``;
+    ``lasting`` tables (fixed look-up tables of an application) stay beyond it.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, lasting: bool = False):
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(self.base)
+        if not lasting:
+            _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
