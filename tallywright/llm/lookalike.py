@@ -117,7 +117,7 @@ def mapping_table(spark: SparkSession) -> DataFrame:
     """
     app = spark.sparkContext.applicationId
     if app not in _SAVED or not Workspace.holds(_SAVED[app]):
-        _SAVED[app] = Workspace(spark, "lookalikes").save(_mapping_rows(spark).coalesce(1))
+        _SAVED[app] = Workspace(spark, "lookalikes", lasting=True).save(_mapping_rows(spark).coalesce(1))
     return _SAVED[app]
 
 
@@ -219,7 +219,7 @@ def _composition_row(spark: SparkSession) -> DataFrame:
     key = spark.sparkContext.applicationId + "/compositions"
     if key not in _SAVED or not Workspace.holds(_SAVED[key]):
         one = spark.createDataFrame(pd.DataFrame({"compositions": [list(compositions().items())]}), T.StructType().add("compositions", T.ArrayType(T.StructType().add("pair", "string").add("ch", "string"))))
-        _SAVED[key] = Workspace(spark, "compositions").save(one.select(F.map_from_entries("compositions").alias("compositions")).coalesce(1))
+        _SAVED[key] = Workspace(spark, "compositions", lasting=True).save(one.select(F.map_from_entries("compositions").alias("compositions")).coalesce(1))
     return _SAVED[key]
 
 
