@@ -85,9 +85,9 @@ def schedule(spark: SparkSession, targets: DataFrame, total_tokens: int, sizes:
     """(mix_id, slot, source, rank): which source fills each slot of each mix, and the slot's rank inside its source.
 
     Slot i of a mix has the point frac((i + 1) * golden ratio); the cumulative target shares map it to a source, so every prefix of the schedule is
-    close to the shares. Shares of tokens become shares of slots by the mean tokens of a source's blocks (from ``sizes``, its tokens). The sequence
-    goes on past the mean number of slots by what its discrepancy, a few times the logarithm, may keep from the smallest share; what a source gets
-    beyond its target is dropped when slots are filled. ``targets`` is a short list (one row per mix and source) and is read by the driver, MAX_TARGETS rows at
+    close to the shares. Shares of tokens become shares of slots by the mean tokens of a source's blocks (from ``sizes``, its tokens). Behind the
+    sequence every source gets as many slots more as the sequence's discrepancy, a few times the logarithm of its length, may have kept from it; what a source
+    gets beyond its target is dropped when slots are filled. ``targets`` is a short list (one row per mix and source) and is read by the driver, MAX_TARGETS rows at
     most; slots are generated and ranked in chunks on the executors.
     """
     parts = []
@@ -105,8 +105,7 @@ def schedule(spark: SparkSession, targets: DataFrame, total_tokens: int, sizes:
         whole = sum(wanted.values())
         if not whole:
             continue
-        slack = 8 + 2 * math.log2(whole + 1)
-        slots = math.ceil(whole * (1 + slack / max(min(wanted.values()), 1.0))) + 1
+        slots = math.ceil(whole) + 1
         edge, pick = 0.0, F.lit(None).cast("string")
         cases = []
         for source, number in wanted.items():
@@ -116,6 +115,9 @@ def schedule(spark: SparkSession, targets: DataFrame, total_tokens: int, sizes:
         for edge, source in reversed(cases):
             pick = F.when(F.col("point") < edge, F.lit(source)).otherwise(pick)
         point = F.expr(f"((id + 1) * {GOLDEN!r}D) % 1D")
+        extra, sources = math.ceil(8 + 3 * math.log2(slots + 1)), list(wanted)
+        tail = spark.range(extra * len(sources)).select(F.lit(mix).alias("mix_id"), (F.col("id") + slots).alias("slot"), F.element_at(F.array(*map(F.lit, sources)), (F.col("id") % len(sources) + 1).cast("int")).alias("source"))
+        parts.append(tail)
         parts.append(spark.range(slots).select(F.lit(mix).alias("mix_id"), F.col("id").alias("slot"), point.alias("point")).select("mix_id", "slot", pick.alias("source")))
     if not parts:
         return spark.createDataFrame([], "mix_id string, slot long, source string, rank long")
