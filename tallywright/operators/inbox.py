@@ -104,9 +104,14 @@ def keep_columns(columns: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def move_noise(official: DataFrame, excluded: DataFrame, noise: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """FI5, FI6: rows marked as noise leave the official rows and join the excluded ones with a reason."""
-    moved = official.join(noise.select(*key).distinct(), list(key), "left_semi").withColumn("reason", F.lit("HUMAN_LAYOUT_NOISE"))
-    return official.join(noise.select(*key).distinct(), list(key), "left_anti"), excluded.unionByName(moved, allowMissingColumns=True)
+    """FI5, FI6: rows marked as noise leave the official rows and join the excluded ones with a reason.
+
+    The key is joined as one struct, so a null key is named by a null key. Both sides are shuffled by it: the official rows may be a union whose parts are
+    already partitioned by the key, and Spark 4.1 takes such a union as partitioned alike, yet runs it with the partitions of all parts, where a join fails."""
+    named = noise.select(F.struct(*key).alias("__key")).distinct()
+    rows = official.withColumn("__key", F.struct(*key))
+    moved = rows.join(named, "__key", "left_semi").drop("__key").withColumn("reason", F.lit("HUMAN_LAYOUT_NOISE"))
+    return rows.join(named, "__key", "left_anti").drop("__key"), excluded.unionByName(moved, allowMissingColumns=True)
 
 
 def check_periods(rows: DataFrame) -> DataFrame:

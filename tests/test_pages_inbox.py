@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallywright.operators import inbox as ib
 from tallywright.operators import pages as pg
 from tallywright.operators import retrieval as rt
+from tallywright.plans.resolving import united_rows
 
 PAGES = "page_id long, text string"
 
@@ -91,3 +92,19 @@ def test_provenance_lists_every_source(rows):
     got = ib.provenance(rows("source_key string, observation_id long, capture_run_id string, source_pdf string, page int, raw_item string", *data), ["source_key"], "observation_id").orderBy("source_key", "chunk").collect()
     assert [(r.source_key, r.chunk, r.n_sources) for r in got] == [("k", 0, 123), ("k", 1, 123), ("k", 2, 123), ("one", 0, 1)]
     assert " | ".join(r.source_rows for r in got[:3]) == " | ".join(f"r{i:03d}:p{i}:x" for i in range(123))
+
+
+def test_noise_leaves_a_union_whose_parts_are_partitioned_by_the_key(spark, rows, tmp_path):
+    families = ("投资资产", "保险合同", "其他")
+    data = [(f"o{i}", families[i % 3], i * 300, f"p{i}", f"n{i}", 1.0, i) for i in range(40)] + [("o21", families[0], 6000, "p21", "n21", 1.0, 99), (None, families[1], 9000, "p", "n", 1.0, 1)]
+    s = "observation_id string, table_family string, row_order int, row_path string, normalized_item string, value double, loaded_at int"
+    rows(s, *data).write.parquet(f"{tmp_path}/long_observations.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables that are not broadcast
+    try:
+        got = [tuple(r) for r in united_rows(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    latest = [d for d in data if d[1] != families[2] and (d[0], d[6]) != ("o21", 21)]
+    want = [(d[0], *(("INVEST", "投资", f"投资 / {d[3]}") if d[1] == families[0] else (d[1], None, None)), "HUMAN_LAYOUT_NOISE" if d[2] >= 5000 else None) for d in latest]
+    assert sorted(got, key=str) == sorted(want, key=str)
