@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 
 import numpy as np
 import pandas as pd
@@ -130,6 +132,17 @@ def test_long_document_is_searched_in_pieces(monkeypatch):
     assert text[spans[0]["start"] : spans[-1]["end"]] == EN.rstrip(".")
 
 
+def test_nothing_of_a_searched_shard_stays():
+    docs = leaks.tokenise([ZH, EN, OTHER])
+    kept = [weakref.ref(t.hashes.base) for t in docs]
+    got = leaks._search_shard([[1], [2], [3]], [ZH, EN, OTHER], docs, [(0, leaks.prepare([ZH, EN]))])
+    long = leaks._search_long([4], ZH, docs[0], [(0, leaks.prepare([ZH]))])
+    assert set(zip(got.doc_id, got.passage)) == {(1, 0), (2, 1)} and list(long.doc_id) == [4]
+    del docs
+    gc.collect()
+    assert not any(k() is not None for k in kept)
+
+
 def test_many_passages(spark, monkeypatch):
     rng = random.Random(4)
     passages = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(40)) for _ in range(50_000)]
